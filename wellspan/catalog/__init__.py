@@ -3,7 +3,7 @@
 
 def load():
     """(queries, sql twins); importing the modules registers them."""
-    from wellspan.catalog import tables  # noqa: F401
+    from wellspan.catalog import field_facts, tables  # noqa: F401
     from wellspan.catalog.registry import ORACLE, QUERIES
 
     return QUERIES, ORACLE

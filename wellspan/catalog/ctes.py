@@ -110,11 +110,11 @@ from b_entities e join b_axis a using (field) left join b_entity r on r.field=e.
 CTES["b_seg"] = """
 select *, case when role='P' and days_on>0 and liq>0 then liq end ux from b_grid"""
 CTES["b_med"] = """
-select *, list_filter([ux_m3,ux_m2,ux_m1,ux,ux_p1,ux_p2,ux_p3], v -> v is not null) seg from (
+select *, list_filter([ux_m3,ux_m2,ux_m1,ux,ux_p1,ux_p2,ux_p3], lambda v: v is not null) seg from (
 select *, lag(ux,3) over w ux_m3, lag(ux,2) over w ux_m2, lag(ux,1) over w ux_m1, lead(ux,1) over w ux_p1, lead(ux,2) over w ux_p2,
  lead(ux,3) over w ux_p3 from b_seg window w as (partition by field, entity order by step))"""
 CTES["b_mad"] = """
-select *, 1.4826*list_median(list_transform(seg, v -> abs(v-med))) mad from (select *, list_median(seg) med from b_med)"""
+select *, 1.4826*list_median(list_transform(seg, lambda v: abs(v-med))) mad from (select *, list_median(seg) med from b_med)"""
 CTES["b_clean"] = """
 select field, well, entity, role, step, date, t_days, dt_days, n_steps, days_on, oil oil_raw, water water_raw, liq liq_raw, inj inj_raw,
  is_spike, case when is_spike then med else liq end liq, inj, inj_s, gas,

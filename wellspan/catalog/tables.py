@@ -329,11 +329,11 @@ def _(t):
     return grid.window_slice(raw_grid(t), 12, 60).select("field", "entity", "step", "t_days", "dt_days", "n_steps")
 
 
-@query("active_entities", """select field, entity, count(*) n, sum(coalesce(liq,inj)) volume from b_grid where step<24 group by 1,2
+@query("active_entities", """select field, entity, count(*) n, round(sum(coalesce(liq,inj)),4) volume from b_grid where step<24 group by 1,2
  having count(*) filter (days_on>0)>=20 and sum(coalesce(liq,inj))>0""")
 def _(t):
     g = grid.active_entities(raw_grid(t).where(F.col("step") < 24), 20)
-    return g.groupBy("field", "entity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("liq", "inj")).alias("volume"))
+    return g.groupBy("field", "entity").agg(F.count(F.lit(1)).alias("n"), rd(F.sum(F.coalesce("liq", "inj")), 4).alias("volume"))
 
 
 @query("subset", """select field, entity, step, liq, inj from b_grid where entity in (select well from b_category where reservoir='B') or entity in ('S-0','S-1')""")
@@ -426,7 +426,7 @@ def _(t):
     return events.lift_event_counts(t.events(), entities(t).where(F.col("role") == "P"))
 
 
-@query("long_shutins", """select field, entity, min(step) step_from, max(step)+1 step_to, (count(*))::int months, min(date) since from (
+@query("long_shutins", """select field, entity, min(step) step_from, max(step)+1 step_to, (count(*))::int "months", min(date) since from (
  select *, row_number() over (partition by field, entity order by step) - row_number() over (partition by field, entity, days_on<=0 order by step) grp
  from (select * replace (case when step%29 between 11 and 18 then 0 else days_on end as days_on) from b_grid where role='P')) where days_on<=0 group by field, entity, grp, n_steps
  having count(*)>=6 and min(step)>0 and max(step)+1<n_steps""")

@@ -65,15 +65,22 @@ def pressure_on_grid(grid: DataFrame, pressure: DataFrame) -> DataFrame:
     return p.join(monthly_pressure(pressure), ["field", "well", "date"], "left")
 
 
-def whp_gate(on_grid: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
-    """Producers whose wellhead pressure varies enough to stand in for flowing pressure."""
-    s = on_grid.groupBy(*ENTITY).agg(
-        F.count("whp").alias("n"), F.avg("whp").alias("mean_whp"), F.stddev_pop("whp").alias("std_whp")
-    )
+def with_whp_gate(on_grid: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """Mark producers whose wellhead pressure varies enough to stand in for flowing pressure."""
+    w = Window.partitionBy(*ENTITY)
+    s = on_grid.withColumns({
+        "n": F.count("whp").over(w), "mean_whp": F.avg("whp").over(w), "std_whp": F.stddev_pop("whp").over(w),
+    })
     ok = (F.col("n") > 3) & (F.col("mean_whp") > 0) & (F.col("std_whp") / F.col("mean_whp") >= cfg.whp_variation_min)
     return s.withColumn("usable", F.coalesce(ok, F.lit(False)))
 
 
+def whp_gate(on_grid: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
+    """The gate as one row per producer."""
+    s = with_whp_gate(on_grid, cfg)
+    return s.groupBy(*ENTITY).agg(*[F.max(c).alias(c) for c in ("n", "mean_whp", "std_whp", "usable")])
+
+
 def esp_clean(on_grid: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Spike-free intake pressure on the valid points."""
     valid = F.col("bhp").isNotNull() & (F.col("bhp") > 0)
@@ -119,11 +126,10 @@ def prepare_pressure(
     src = well_pressure_source(pressure).select("field", "well", "source")
     g = pressure_on_grid(grid, pressure).join(src, ["field", "well"], "left")
     g = g.withColumn("source", F.coalesce("source", F.lit("none")))
-    usable = whp_gate(g, cfg).select(*ENTITY, F.col("usable").alias("whp_ok"))
-    g = esp_clean(g, cfg).join(usable, ENTITY)
+    g = esp_clean(with_whp_gate(g, cfg), cfg)
     p = (
         F.when(F.col("source") == "esp", F.col("bhp_clean")).when(F.col("source") == "gauge", F.col("bhp"))
-        .when((F.col("source") == "whp") & F.col("whp_ok"), F.col("whp"))
+        .when((F.col("source") == "whp") & F.col("usable"), F.col("whp"))
     )
     g = depth_correction(g.withColumn("p", p), "p", coords, pressure, datum, cfg)
     g = g.withColumn("p_datum", F.when(F.col("source") == "whp", F.col("p")).otherwise(F.col("p_datum")))

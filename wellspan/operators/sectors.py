@@ -36,7 +36,7 @@ def cutoff_radius(near: DataFrame, factor: float) -> DataFrame:
 def pair_distances(entities: DataFrame, factor: float, cfg: Settings = DEFAULTS, near: DataFrame | None = None) -> DataFrame:
     """Injector-producer distances: every pair in fields of at most ``sector_auto_above`` entities, else the pairs
     inside the influence radius, the only ones any later step reads."""
-    near = nearest_both(entities) if near is None else near
+    near = cut_lineage(nearest_both(entities)) if near is None else near
     size = entities.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
     mean = near.groupBy("field").agg(
         F.avg(F.when(F.col("role") == "I", F.col("d"))).alias("mi"), F.avg(F.when(F.col("role") == "P", F.col("d"))).alias("mp")
@@ -141,7 +141,7 @@ def influence_distance_prior(
 
 def distance_mask(entities: DataFrame, factor: float, cfg: Settings = DEFAULTS) -> DataFrame:
     """Pairs that may connect: inside the radius, plus each producer's nearest injector (ties included)."""
-    near = nearest_both(entities)
+    near = cut_lineage(nearest_both(entities))
     radius = cutoff_radius(near, factor)
     i, p = points(entities, "I"), points(entities, "P")
     inside = pairs_within(i, p, radius.select("field", "r"))
