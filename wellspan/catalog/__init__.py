@@ -3,7 +3,8 @@
 
 def load():
     """(queries, sql twins); importing the modules registers them."""
-    from wellspan.catalog import field_facts, tables  # noqa: F401
+    from wellspan.catalog import field_facts, models, tables  # noqa: F401
+    from wellspan.catalog.ctes import with_ctes
     from wellspan.catalog.registry import ORACLE, QUERIES
 
-    return QUERIES, ORACLE
+    return QUERIES, {name: with_ctes(sql) for name, sql in ORACLE.items()}

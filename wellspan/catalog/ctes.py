@@ -25,8 +25,9 @@ def with_ctes(sql: str) -> str:
     recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in order) or "/*recursive*/" in sql else ""
     head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return f"WITH {recursive}{head},\n{body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"WITH {recursive}{head},\n{body[len(start):]}"
     return f"WITH {recursive}{head}\n{body}"
 
 

@@ -18,7 +18,8 @@ def n_blind(n_steps: Column, cfg: Settings = DEFAULTS) -> Column:
 
 def blind_split(axis: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     s = axis.groupBy("field").agg(F.count(F.lit(1)).alias("n_total"))
-    return s.select("field", (F.col("n_total") - n_blind(F.col("n_total"), cfg)).alias("n_train"), n_blind(F.col("n_total"), cfg).alias("n_blind"), "n_total")
+    return s.select("field", (F.col("n_total") - n_blind(F.col("n_total"), cfg)).cast("int").alias("n_train"),
+                    n_blind(F.col("n_total"), cfg).alias("n_blind"), "n_total")
 
 
 def injection_cv(grid: DataFrame) -> DataFrame:
