@@ -10,20 +10,32 @@ import re
 CTES: dict[str, str] = {}
 
 
+def expand(sql: str) -> str:
+    """Inline ``b_fo(alpha, beta, offset, cwi)``: the oil cut of a power-law water-oil ratio, zero when it overflows."""
+
+    def oil_cut(m) -> str:
+        a, b, o, c = (x.strip() for x in m.group(1).split(","))
+        wor = f"({a}*pow(greatest({o}+{c},1e-9),{b}))"
+        return f"(case when isnan({wor}) then 0e0 else 1/(1+{wor}) end)"
+
+    return re.sub(r"\bb_fo\(([^()]*)\)", oil_cut, sql)
+
+
 def with_ctes(sql: str) -> str:
     order: list[str] = []
 
     def need(text: str) -> None:
         for name in dict.fromkeys(re.findall(r"\bb_\w+\b", text)):
             if name in CTES and name not in order:
-                need(CTES[name])
+                need(expand(CTES[name]))
                 order.append(name)
 
+    sql = expand(sql)
     need(sql)
     if not order:
         return sql
     recursive = "RECURSIVE " if any("/*recursive*/" in CTES[n] for n in order) or "/*recursive*/" in sql else ""
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    head = ",\n".join(f"{n} AS ({expand(CTES[n])})" for n in order)
     body = sql.strip()
     for start in ("with recursive ", "with "):
         if body.lower().startswith(start):

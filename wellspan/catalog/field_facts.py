@@ -271,6 +271,9 @@ _ELIG = """select field, variant, eligible, case when eligible then round(suit,6
  select field, 'pinn', g_long_history and od>=6, 0.5e0+case when g_event_heavy then 0.15e0 else 0 end from b_gates union all select field, 'rnn', false, 0e0 from b_gates)"""
 
 
-@query("eligibility", _ELIG)
+CTES["b_elig"] = _ELIG
+
+
+@query("eligibility", "select * from b_elig")
 def _(t):
     return gates.eligibility(gated(t)).drop("reason")

@@ -92,7 +92,7 @@ CTES["b_tankfit"] = """select field, tau, f, sse from (select * from b_tp1 union
 
 @query("fit_field_tank", "select field, round(tau,4) tau, round(f,5) f, round(sse,2) sse from b_tankfit")
 def _(t):
-    return fit.fit_field_tank(stages.tank_rows(t)).select("field", rd("tau", 4).alias("tau"), rd("f", 5).alias("f"), rd("sse", 2).alias("sse"))
+    return fit.fit_field_tank(stages.tank_rows(t), keep=cut_lineage).select("field", rd("tau", 4).alias("tau"), rd("f", 5).alias("f"), rd("sse", 2).alias("sse"))
 
 
 @query("tank_allocation", """select field, producer, round(v/sum(v) over (partition by field),6) share, round(f*v/sum(v) over (partition by field),6) f_per_injector, n_injectors from (
@@ -100,7 +100,7 @@ def _(t):
  join b_tankfit using (field) join (select field, count(*) n_injectors from b_entities where role='I' group by 1) using (field)""")
 def _(t):
     g = stages.grid(t)
-    tank = fit.fit_field_tank(stages.tank_rows(t)).join(stages.n_train(t), "field").select("field", "f", "n_train")
+    tank = fit.fit_field_tank(stages.tank_rows(t), keep=cut_lineage).join(stages.n_train(t), "field").select("field", "f", "n_train")
     a = fit.tank_allocation(fit.producer_rows(g), tank, stages.entities(t).where(F.col("role") == "I"))
     return a.select("field", "producer", rd("share").alias("share"), rd("f_per_injector").alias("f_per_injector"), "n_injectors")
 
@@ -122,15 +122,22 @@ def solved(t):
     return stages.stage(t, "solved", lambda: fit.solve_grams(grams))
 
 
+def fitted(t):
+    inj = fit.injector_rows(stages.grid(t))
+    return stages.stage(
+        t, "fitted", lambda: fit.fit_producer_grid(stages.response(t), inj, mask(t), stages.n_train(t), keep=cut_lineage)
+    )
+
+
 @query("fit_producer_grid")
 def _(t):
-    best = fit.best_tau(solved(t)).join(stages.params(t).select(*fit.PROD, F.col("tau").alias("true_tau")), fit.PROD)
+    best = fitted(t).join(stages.params(t).select(*fit.PROD, F.col("tau").alias("true_tau")), fit.PROD)
     return best.select("field", "producer", "tau", "true_tau", F.size("injectors").alias("n_injectors"), "sse")
 
 
 @query("fit_couplings")
 def _(t):
-    f = fit.couplings(fit.best_tau(solved(t)))
+    f = fit.couplings(fitted(t))
     truth = stages.pairs(t).select("field", "injector", "producer", F.col("f").alias("true_f"))
     return f.join(truth, ["field", "injector", "producer"])
 
@@ -142,13 +149,13 @@ def _(t):
 
 @query("quick_sum_f")
 def _(t):
-    return fit.quick_sums(fit.couplings(fit.best_tau(solved(t))))
+    return fit.quick_sums(fit.couplings(fitted(t)))
 
 
 @query("injector_sum_bound")
 def _(t):
     inj = fit.injector_rows(stages.grid(t)).withColumn("inj", F.col("inj") * 0.6)
-    best = fit.best_tau(solved(t)).select(*fit.PROD, F.array("tau").alias("taus"))
+    best = fitted(t).select(*fit.PROD, F.array("tau").alias("taus"))
     grams = cut_lineage(fit.producer_grams(stages.response(t), inj, mask(t), stages.n_train(t), taus=best))
     return fit.injector_sum_bound(grams, keep=cut_lineage)
 
@@ -171,7 +178,7 @@ def _(t):
     from wellspan.operators.grid import field_collapse
 
     g = stages.grid(t)
-    near = sectors.distance_mask(stages.entities(t), 1.5).select("field", "injector", "producer")
+    near = cut_lineage(sectors.distance_mask(stages.entities(t), 1.5).select("field", "injector", "producer"))
     return fit.fit_aquifer_grid(
-        stages.response(t), fit.injector_rows(g), near, stages.n_train(t), field_collapse(g).select("field", "step", "dt_days", "inj", "liq")
+        stages.response(t), fit.injector_rows(g), near, stages.n_train(t), cut_lineage(field_collapse(g).select("field", "step", "dt_days", "inj", "liq")), keep=cut_lineage,
     )

@@ -73,6 +73,15 @@ def n_train(t: Tables) -> DataFrame:
 
 def tank_rows(t: Tables) -> DataFrame:
     """Field totals with a known injection response laid over the real production noise."""
+    return stage(t, "tank_rows", lambda: _tank_rows(t))
+
+
+def response(t: Tables) -> DataFrame:
+    """Producer liquid with a known response: primary decline plus the filtered prior couplings, no noise."""
+    return stage(t, "response", lambda: _response(t))
+
+
+def _tank_rows(t: Tables) -> DataFrame:
     g = grid(t)
     tot = g.groupBy("field", "step", "t_days", "dt_days").agg(
         F.sum(F.coalesce("inj", F.lit(0.0))).alias("inj"), F.sum(F.coalesce("liq", F.lit(0.0))).alias("raw")
@@ -89,8 +98,7 @@ def tank_rows(t: Tables) -> DataFrame:
     )
 
 
-def response(t: Tables) -> DataFrame:
-    """Producer liquid with a known response: primary decline plus the filtered prior couplings, no noise."""
+def _response(t: Tables) -> DataFrame:
     g = grid(t)
     prod, inj = fit.producer_rows(g), fit.injector_rows(g)
     src = fit.allocated_source(pairs(t), inj, ["field"])

@@ -128,21 +128,19 @@ def _tank_pass(rows: DataFrame, keys: list[str], taus: DataFrame) -> DataFrame:
     return s.withColumn("sse", F.col("yy") - 2 * F.col("f") * F.col("cy") + F.col("f") * F.col("f") * F.col("cc"))
 
 
-def fit_field_tank(rows: DataFrame, keys: list[str] | None = None, cfg: Settings = DEFAULTS, refine: bool = True) -> DataFrame:
+def fit_field_tank(rows: DataFrame, keys: list[str] | None = None, cfg: Settings = DEFAULTS, keep=None) -> DataFrame:
     """One injector, one producer per field.  rows: keys, step, t_days, dt_days, inj, q, q0, w, n_train.
-    A second pass searches between the neighbours of the best grid point."""
+    A second pass searches between the neighbours of the best grid point; ``keep`` materialises the first pass."""
     keys = keys or ["field"]
     n = cfg.tau_grid_points
     b = tau_bounds(rows, keys, cfg)
     coarse = b.select(*keys, tau_grid(F.col("lo"), F.col("hi"), n).alias("taus"))
     first = _tank_pass(rows, keys, coarse)
     pick = lambda d: d.groupBy(*keys).agg(F.min_by(F.struct("tau", "f", "sse"), F.struct("sse", "tau")).alias("b")).select(*keys, "b.*")
-    best = pick(first)
-    if not refine:
-        return best
+    best = (keep or (lambda d: d))(pick(first))
     ratio = F.exp((F.log("hi") - F.log("lo")) / (n - 1))
     fine = best.join(b, keys).select(*keys, tau_grid(F.col("tau") / ratio, F.col("tau") * ratio, n).alias("taus"))
-    return pick(_tank_pass(rows, keys, fine).unionByName(first))
+    return pick(_tank_pass(rows, keys, fine).select(*keys, "tau", "f", "sse").unionByName(best))
 
 
 def tank_allocation(prod: DataFrame, tank: DataFrame, injectors: DataFrame) -> DataFrame:
@@ -264,11 +262,26 @@ def best_tau(solved: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def fit_producer_grid(
     prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None,
-    cfg: Settings = DEFAULTS, freeze: bool = True,
+    cfg: Settings = DEFAULTS, freeze: bool = True, keep=None, refine: bool = True,
 ) -> DataFrame:
-    """Best time constant and couplings per producer: keys, producer, tau, injectors, f, sse."""
-    grams = producer_grams(prod, inj, mask, n_train, keys, cfg, freeze)
-    return best_tau(solve_grams(grams, keys), keys)
+    """Best time constant and couplings per producer: keys, producer, tau, injectors, f, sse.
+
+    A second pass searches between the neighbours of each producer's best grid point; ``keep`` materialises the first.
+    """
+    ks = keys or ["field"]
+    best = best_tau(solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze), ks), ks)
+    if not refine:
+        return best
+    best = (keep or (lambda d: d))(best)
+    taus = refined_taus(best, tau_bounds(prod, ks, cfg), ks, cfg)
+    fine = solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze, taus), ks)
+    return best_tau(fine.unionByName(best), ks)
+
+
+def refined_taus(best: DataFrame, bounds: DataFrame, keys: list[str], cfg: Settings = DEFAULTS) -> DataFrame:
+    ratio = F.exp((F.log("hi") - F.log("lo")) / (cfg.tau_grid_points - 1))
+    grid = tau_grid(F.col("tau") / ratio, F.col("tau") * ratio, cfg.tau_grid_points)
+    return best.join(bounds, keys).select(*keys, "producer", grid.alias("taus"))
 
 
 def couplings(fit: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -352,7 +365,8 @@ AQUIFER_ID = "AQUIFER@I"
 
 
 def fit_aquifer_grid(
-    prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, field_rows: DataFrame, cfg: Settings = DEFAULTS
+    prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, field_rows: DataFrame, cfg: Settings = DEFAULTS,
+    keep=None,
 ) -> DataFrame:
     """Tank parameters per field by penalised SSE over the start grid; the tank acts as one more injector."""
     keys = ["field", "cand"]
@@ -367,7 +381,8 @@ def fit_aquifer_grid(
     reach = mask.select("field", "injector", "producer").unionByName(
         prod.select("field", F.lit(AQUIFER_ID).alias("injector"), "producer").distinct()
     ).join(ids, "field")
-    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg)
+    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg, refine=False)
+    fit = (keep or (lambda d: d))(fit)
     f = couplings(fit, keys)
     rows = f.groupBy(*keys, "injector").agg(F.sum("f").alias("s"))
     over = F.when(F.col("injector") == AQUIFER_ID, F.pow(F.col("s") - 1.0, 2)).otherwise(F.pow(F.greatest(F.col("s") - 1.0, F.lit(0.0)), 2))
