@@ -28,7 +28,8 @@ CTES["b_state"] = """select p.field, p.member, p.producer, p.state x0, m.tau, s.
  (select field, entity injector, sum(inj*dt_days) v from b_grid where role='I' group by 1,2) using (field, injector) group by 1,2,3) c using (field, member, producer) where p.step=p.n_steps-1"""
 CTES["b_plan"] = """select field, 'base' "plan", injector, rate from b_cur union all select field, 'equal', injector, avg(rate) over (partition by field) from b_cur
  union all select field, 'tilt', injector, rate*(0.5+cast(regexp_extract(injector,'[0-9]+') as int)%4/3.0) from b_cur"""
-CTES["b_fsrc"] = """select field, "plan", member, producer, sum(f*rate*g) source, sum(f*rate) support from b_plan join b_mpair using (field, injector) join b_gend using (field, member, injector) group by 1,2,3,4"""
+CTES["b_fsrc"] = """select field, "plan", member, producer, coalesce(source,0) source, coalesce(support,0) support from (select distinct field, "plan" from b_plan) join b_mprod using (field) left join (
+ select field, "plan", member, producer, sum(f*rate*g) source, sum(f*rate) support from b_plan join b_mpair using (field, injector) join b_gend using (field, member, injector) group by 1,2,3,4) using (field, "plan", member, producer)"""
 _SIM = """select {k}, h, date, dt_days, t_cum, cwi, liq, liq*ratio*cut oil, greatest(liq*ratio-liq*ratio*cut,0) water from (select *, case when alpha is null then coalesce(anchor,0.5)
  when anchor is null then fo when fe>1e-3 and fe<0.999 then least(greatest(fo*anchor/fe,0),1) else anchor end cut from (select *, b_fo(alpha,beta,"offset",cwi) fo, b_fo(alpha,beta,"offset",cwi0) fe from (
  select *, cwi0+support*t_cum cwi, (case when active then 1 else 0 end)*greatest(q0*exp(-(age+t_cum)/tau)+case when active then x0*exp(-t_cum/tau)+source*(1-exp(-t_cum/tau)) else x0 end,0) liq
@@ -81,7 +82,7 @@ def plans(t):
 
 
 def sources(t):
-    return stages.stage(t, "sources", lambda: forecast.plan_sources(plans(t), stages.member_pairs(t), g_end(t), ["field", "plan"]))
+    return stages.stage(t, "sources", lambda: forecast.plan_sources(plans(t), stages.member_pairs(t), g_end(t), ["field", "plan"], producers=state(t)))
 
 
 def fc(t):
@@ -123,7 +124,7 @@ def _(t):
 def _(t):
     """The same base plan given month by month, through the response filter instead of the closed form."""
     h = plans(t).where(F.col("plan") == "base").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(24))))
-    src = forecast.plan_sources(h, stages.member_pairs(t), g_end(t), ["field", "plan"])
+    src = forecast.plan_sources(h, stages.member_pairs(t), g_end(t), ["field", "plan"], producers=state(t))
     return forecast.simulate(src, state(t), calendar(t), ["field", "plan"]).select("field", "member", "producer", "h", r("liq", 4))
 
 

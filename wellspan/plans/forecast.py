@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.config import DEFAULTS, Settings
 from wellspan.functions.numeric import clip, safe_div
@@ -40,14 +40,22 @@ def redistribution_at_end(pairs: DataFrame, active: DataFrame, keys: list[str],
     return p.select(*keys, "injector", F.least(g, F.lit(max(1.0, cfg.shut_in_max_multiplier))).alias("g"))
 
 
-def plan_sources(plan: DataFrame, pairs: DataFrame, g: DataFrame, plan_keys: list[str], member: str = "member") -> DataFrame:
-    """Source and allocated support per plan, member and producer.  plan: plan_keys (with field), injector, rate[, h]."""
+def plan_sources(
+    plan: DataFrame, pairs: DataFrame, g: DataFrame, plan_keys: list[str], member: str = "member", producers: DataFrame | None = None
+) -> DataFrame:
+    """Source and allocated support per plan, member and producer.  plan: plan_keys (with field), injector, rate[, h].
+
+    ``producers`` (field, member, producer) adds those without any coupled injector, with a zero source.
+    """
     extra = ["h"] if "h" in plan.columns else []
     rows = plan.join(pairs, ["field", "injector"]).join(g, ["field", member, "injector"])
     v = F.col("f") * F.col("rate")
-    return rows.groupBy(*plan_keys, member, "producer", *extra).agg(
-        F.sum(v * F.col("g")).alias("source"), F.sum(v).alias("support")
-    )
+    k = [*plan_keys, member, "producer", *extra]
+    parts = rows.select(*k, (v * F.col("g")).alias("source"), v.alias("support"))
+    if producers is not None:
+        idle = plan.select(*plan_keys, *extra).distinct().join(producers.select("field", member, "producer"), "field")
+        parts = parts.unionByName(idle.select(*k, F.lit(0.0).alias("source"), F.lit(0.0).alias("support")))
+    return parts.groupBy(*k).agg(F.sum("source").alias("source"), F.sum("support").alias("support"))
 
 
 def simulate(sources: DataFrame, state: DataFrame, cal: DataFrame, plan_keys: list[str], member: str = "member") -> DataFrame:
@@ -67,8 +75,6 @@ def simulate(sources: DataFrame, state: DataFrame, cal: DataFrame, plan_keys: li
         r = r.withColumn("x", F.when(F.col("active"), moved).otherwise(F.col("x0")))
         r = r.withColumn("cwi", F.col("cwi0") + F.col("support") * F.col("t_cum"))
     else:
-        from pyspark.sql import Window
-
         r = sources.join(cal, ["field", "h"])
         start = r.groupBy(*k).agg(F.lit(0).alias("h")).withColumns({"source": F.lit(0.0), "support": F.lit(0.0), "dt_days": F.lit(0.0), "t_cum": F.lit(0.0)})
         r = r.unionByName(start, allowMissingColumns=True).join(state, ["field", member, "producer"])

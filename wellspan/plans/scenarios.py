@@ -6,7 +6,7 @@ added to the base, never by simulating the whole field once per well.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.config import DEFAULTS, Settings
 from wellspan.functions.quantiles import group_quantile, ordered_values
@@ -156,8 +156,6 @@ def pattern_balance(current: DataFrame, liquid: DataFrame, vrr: float) -> DataFr
 
 def gradient_by(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
     """Derivative on an uneven grid: second-order inside, one-sided at the ends."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(x)
     xl, xr, yl, yr = F.lag(x).over(w), F.lead(x).over(w), F.lag(y).over(w), F.lead(y).over(w)
     hs, hd = F.col(x) - xl, xr - F.col(x)
@@ -221,7 +219,7 @@ def draw_candidates(bounds: DataFrame, n: int, seed: int, shrink: float | None =
 
 def evaluate_plans(plans: DataFrame, pairs: DataFrame, g: DataFrame, state: DataFrame, cal: DataFrame) -> DataFrame:
     """Cumulative oil per plan and member."""
-    src = plan_sources(plans, pairs, g, ["field", "plan"])
+    src = plan_sources(plans, pairs, g, ["field", "plan"], producers=state)
     fc = simulate(src, state, cal, ["field", "plan"])
     return fc.groupBy("field", "plan", "member").agg(F.sum(F.col("oil") * F.col("dt_days")).alias("cum_oil"))
 
