@@ -3,7 +3,7 @@
 
 def load():
     """(queries, sql twins); importing the modules registers them."""
-    from wellspan.catalog import field_facts, followup, models, planning, scores, tables  # noqa: F401
+    from wellspan.catalog import field_facts, followup, io_streams, models, planning, scores, tables  # noqa: F401
     from wellspan.catalog.ctes import with_ctes
     from wellspan.catalog.registry import ORACLE, QUERIES
 

@@ -26,8 +26,8 @@ CTES["b_moves"] = f"""select field, injector, b.rate rate_from, t.rate rate_to,
  from (select * from b_plan where "plan"='base') b join (select * from b_plan where "plan"='tilt') t using (field, injector)"""
 CTES["b_ramp"] = """select *, case when suppressed then rate_from else rate_to end target, case when confidence='HIGH' then 0.15e0 else 0.08e0 end frac from (
  select *, abs(rate_to-rate_from)<0.05*greatest(rate_from,1e-9) or abs(rate_to-rate_from)<10/6.289810770432105e0 suppressed from b_moves)"""
-_WEEKS = """with recursive wk as (select field, injector, 0 week, rate_from rate, target, frac from b_ramp union all
- select field, injector, week+1, rate+least(greatest(target-rate,-cap),cap), target, frac from (select *, frac*greatest(rate,0.05*greatest(target,1e-9)) cap from wk where abs(target-rate)>=1e-9 and week<520)) """
+_WEEKS = """with recursive wk as (select field, injector, 0 wn, rate_from rate, target, frac from b_ramp union all
+ select field, injector, wn+1, rate+least(greatest(target-rate,-cap),cap), target, frac from (select *, frac*greatest(rate,0.05*greatest(target,1e-9)) cap from wk where abs(target-rate)>=1e-9 and wn<520)) """
 
 
 def ramped(t):
@@ -41,7 +41,7 @@ def ramped(t):
     return stages.stage(t, "ramped", build)
 
 
-@query("ramp_weekly", _WEEKS + "select field, injector, week, round(rate,5) rate from wk where week>0 /*recursive*/")
+@query("ramp_weekly", _WEEKS + 'select field, injector, wn "week", round(rate,5) rate from wk where wn>0 /*recursive*/')
 def _(t):
     return actions.weekly_rows(ramped(t)).select("field", "injector", "week", r("rate", 5))
 
@@ -53,19 +53,19 @@ def action_rows(t):
     return actions.action_list(ramped(t), gains, pl.marginal(t), "2002-01-01")
 
 
-@query("action_list", _WEEKS + """, nw as (select field, injector, max(week) weeks, max(rate) filter (week=1) w1 from wk group by 1,2),
+@query("action_list", _WEEKS + """, nw as (select field, injector, max(wn) nwk, max(rate) filter (wn=1) w1 from wk group by 1,2),
  g as (select field, greatest(sum(case "plan" when 'tilt' then cum_oil else -cum_oil end)/count(distinct member),0) tg from b_tot where "plan" in ('base','tilt') group by 1),
- a as (select r.*, weeks, w1, tg, abs(target-rate_from)*greatest(coalesce(delta/hh,0),0) s1, abs(target-rate_from) s2 from b_ramp r join nw using (field, injector) join g using (field)
+ a as (select r.*, nwk, w1, tg, abs(target-rate_from)*greatest(coalesce(delta/hh,0),0) s1, abs(target-rate_from) s2 from b_ramp r join nw using (field, injector) join g using (field)
   left join b_vmarg m on m.field=r.field and m."case"=r.injector left join b_h h on h.field=r.field),
  s as (select *, tg*case when sum(s1) over (partition by field)>0 then s1/sum(s1) over (partition by field) when sum(s2) over (partition by field)>0 then s2/sum(s2) over (partition by field) else 0 end gain from a)
- select field, injector, facility, round(rate_from,5) rate_from, round(target,5) rate_to, round(w1-rate_from,5) first_step, weeks, cast(date '2002-01-01'+weeks*7 as date) target_date, round(gain,2) expected_gain
+ select field, injector, facility, round(rate_from,5) rate_from, round(target,5) rate_to, round(w1-rate_from,5) first_step, nwk as "weeks", cast(date '2002-01-01'+nwk*7 as date) target_date, round(gain,2) expected_gain
  from s where not suppressed and s2>=1e-9 /*recursive*/""")
 def _(t):
     a = actions.in_order(action_rows(t))
     return a.select("field", "injector", "facility", r("rate_from", 5), r("rate_to", 5), r("first_step", 5), "weeks", "target_date", r("expected_gain", 2))
 
 
-@query("injectivity_hint", f"""select field, injector, case when ii>0 then printf('target %.0f, injection pressure about %.0f', rate_to, 9000+rate_to/ii) else printf('target %.0f, set choke or pump', rate_to) end hint from (
+@query("injectivity_hint", f"""select field, injector, case when ii>0 then printf('target %.0f, injection pressure about %.0f', round_even(rate_to,0), round_even(9000+rate_to/ii,0)) else printf('target %.0f, set choke or pump', round_even(rate_to,0)) end hint from (
  select *, ({_NUM.format(c='injector')}%3)*0.5 ii from b_moves)""")
 def _(t):
     m = ramped(t).withColumn("ii", (num("injector") % 3) * 0.5)

@@ -70,5 +70,5 @@ def in_order(actions: DataFrame) -> DataFrame:
 
 def injectivity_hint(rate: Column, injectivity: Column, p_res: Column) -> Column:
     p = p_res + rate / injectivity
-    known = F.format_string("target %.0f, injection pressure about %.0f", rate, p)
-    return F.when((injectivity > 0) & p_res.isNotNull(), known).otherwise(F.format_string("target %.0f, set choke or pump", rate))
+    known = F.format_string("target %.0f, injection pressure about %.0f", F.rint(rate), F.rint(p))
+    return F.when((injectivity > 0) & p_res.isNotNull(), known).otherwise(F.format_string("target %.0f, set choke or pump", F.rint(rate)))
