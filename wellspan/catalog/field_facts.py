@@ -168,12 +168,16 @@ def _(t):
     return sectors.assign_isolated(one, comp, near)
 
 
-@query("influence_distance_prior", """select field, injector, producer, round(d,6) d, round(0.8*w/sum(w) over (partition by field, injector),6) f from (
- select i.field, i.entity injector, p.entity producer, d, exp(-d/1500.0) w from b_loc i join b_loc p on i.field=p.field and i.role='I' and p.role='P'
- cross join lateral (select sqrt((i.x-p.x)*(i.x-p.x)+(i.y-p.y)*(i.y-p.y)) d) where d<=4000)""")
+CTES["b_ldist"] = """select i.field, i.entity injector, p.entity producer, sqrt((i.x-p.x)*(i.x-p.x)+(i.y-p.y)*(i.y-p.y)) d from b_loc i join b_loc p on i.field=p.field and i.role='I' and p.role='P'"""
+CTES["b_scale"] = """select field, quantile_cont(d,0.5) med from (select field, injector id, min(d) d from b_ldist group by 1,2 union all select field, producer, min(d) from b_ldist group by 1,2) where d>0 group by 1"""
+CTES["b_pair"] = """select field, injector, producer, d, 0.8*w/sum(w) over (partition by field, injector) f from (select *, exp(-d/(1.5*med)) w from b_ldist join b_scale using (field) where d<=3.0*med)"""
+
+
+@query("influence_distance_prior", "select field, injector, producer, round(d,6) d, round(f,6) f from b_pair")
 def _(t):
-    out = sectors.influence_distance_prior(cut_lineage(located(t)), 1500.0, 4000.0, 0.8)
-    return out.select("field", "injector", "producer", rd("d").alias("d"), rd("f").alias("f"))
+    e = cut_lineage(located(t))
+    scale = sectors.influence_scale(cut_lineage(sectors.nearest_both(e)), 1.5, 3.0)
+    return sectors.influence_distance_prior(e, scale, 0.8).select("field", "injector", "producer", rd("d").alias("d"), rd("f").alias("f"))
 
 
 @query("distance_mask", """select field, injector, producer, round(d,6) d from b_dist join b_cut using (field)

@@ -13,9 +13,6 @@ from wellspan.operators import fit, sectors
 from wellspan.session import cut_lineage
 
 CTES["b_xf"] = "select *, cast(substr(well,3) as int) k from b_grid where role='I'"
-CTES["b_pair"] = """select field, injector, producer, d, 0.8*w/sum(w) over (partition by field, injector) f from (
- select i.field, i.entity injector, p.entity producer, d, exp(-d/1500.0) w from b_loc i join b_loc p on i.field=p.field and i.role='I' and p.role='P'
- cross join lateral (select sqrt((i.x-p.x)*(i.x-p.x)+(i.y-p.y)*(i.y-p.y)) d) where d<=4000)"""
 CTES["b_prod"] = """select field, entity producer, cast(60+30*(cast(substr(well,3) as int)%5) as double) tau from b_entities where role='P'"""
 CTES["b_m"] = "select unnest(range(0,5))::int member"
 CTES["b_mpair"] = "select field, injector, producer, member, d, f*(0.9+0.05*member) f from b_pair, b_m"

@@ -346,8 +346,8 @@ def _(t):
 
 CTES["b_trend"] = "select field, regr_intercept(ln(f),d) a, regr_slope(ln(f),d) b, count(*) n from b_pair where f>0.02 group by 1 having count(*)>=4"
 CTES["b_rowsum"] = "select field, quantile_cont(s,0.5) row_sum from (select field, injector, sum(f) s from b_pair group by 1,2) group by 1"
-CTES["b_new"] = """select field, 'NEW' injector, producer, d, exp(-d/1500.0)/sum(exp(-d/1500.0)) over (partition by field)*0.8 f from (select p.field, p.entity producer, sqrt((p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)) d from b_loc p
- join (select field, avg(x) cx, avg(y) cy from b_loc group by 1) c using (field) where role='P') where d<=4000"""
+CTES["b_new"] = """select field, 'NEW' injector, producer, d, exp(-d/(1.5*med))/sum(exp(-d/(1.5*med))) over (partition by field)*0.8 f from (select p.field, p.entity producer, sqrt((p.x-cx)*(p.x-cx)+(p.y-cy)*(p.y-cy)) d from b_loc p
+ join (select field, avg(x) cx, avg(y) cy from b_loc group by 1) c using (field) where role='P') join b_scale using (field) where d<=3.0*med"""
 CTES["b_newf"] = """select field, injector, producer, d, shape/sum(shape) over (partition by field)*row_sum f from (select *, case when a is not null then sqrt(greatest(f,1e-12)*greatest(exp(a+b*d),1e-12)) else f end shape
  from b_new left join b_trend using (field)) join b_rowsum using (field)"""
 
@@ -363,7 +363,7 @@ def new_prior(t):
         center = e.groupBy("field").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
         site = center.select("field", F.lit("NEW").alias("well"), F.lit("NEW").alias("entity"), F.lit("I").alias("role"), "x", "y")
         pts = e.where(F.col("role") == "P").unionByName(site)
-        prior = sectors.influence_distance_prior(pts, stages.LENGTH, stages.CUTOFF, stages.ROW_SUM)
+        prior = sectors.influence_distance_prior(pts, stages.scale(t), stages.ROW_SUM)
         return scenarios.scaled_prior(prior, scenarios.distance_trend(stages.pairs(t)), scenarios.median_row_sum(stages.pairs(t)))
 
     return stages.stage(t, "new_prior", build)
@@ -407,8 +407,8 @@ def _(t):
 
 
 CTES["b_conv0"] = "select field, min(producer) producer from b_active where active group by 1"
-CTES["b_cprior"] = """select field, 'CONV' injector, producer, d, exp(-d/1500.0)/sum(exp(-d/1500.0)) over (partition by field)*0.8 f from (select p.field, p.entity producer, sqrt((p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)) d from b_loc p
- join (select l.field, l.x, l.y, l.entity from b_loc l join b_conv0 z on z.field=l.field and z.producer=l.entity) c on c.field=p.field and p.entity<>c.entity where role='P') where d<=4000"""
+CTES["b_cprior"] = """select field, 'CONV' injector, producer, d, exp(-d/(1.5*med))/sum(exp(-d/(1.5*med))) over (partition by field)*0.8 f from (select p.field, p.entity producer, sqrt((p.x-c.x)*(p.x-c.x)+(p.y-c.y)*(p.y-c.y)) d from b_loc p
+ join (select l.field, l.x, l.y, l.entity from b_loc l join b_conv0 z on z.field=l.field and z.producer=l.entity) c on c.field=p.field and p.entity<>c.entity where role='P') join b_scale using (field) where d<=3.0*med"""
 CTES["b_cf"] = """select field, injector, producer, d, shape/sum(shape) over (partition by field)*row_sum f from (select *, case when a is not null then sqrt(greatest(f,1e-12)*greatest(exp(a+b*d),1e-12)) else f end shape
  from b_cprior left join b_trend using (field)) join b_rowsum using (field)"""
 CTES["b_dconv"] = _case('select field, \'CONV\' "case", \'CONV\' injector, avg(rate) delta from b_cur group by 1').replace("b_mpair p", "(select n.*, member from b_cf n, b_m) p").replace(
@@ -428,7 +428,7 @@ def _(t):
         "field", "well", F.lit("CONV").alias("entity"), F.lit("I").alias("role"), "x", "y"
     )
     rest = e.where(F.col("role") == "P").join(chosen.withColumnRenamed("producer", "entity"), ["field", "entity"], "left_anti")
-    prior = sectors.influence_distance_prior(rest.unionByName(site), stages.LENGTH, stages.CUTOFF, stages.ROW_SUM)
+    prior = sectors.influence_distance_prior(rest.unionByName(site), stages.scale(t), stages.ROW_SUM)
     row = scenarios.scaled_prior(prior, scenarios.distance_trend(stages.pairs(t)), scenarios.median_row_sum(stages.pairs(t)))
     p = row.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(stages.MEMBERS - 1))))
     p = cut_lineage(p)

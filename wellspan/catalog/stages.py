@@ -12,7 +12,7 @@ from wellspan.sources.bindings import Tables
 
 _DONE: dict[tuple, DataFrame] = {}
 
-LENGTH, CUTOFF, ROW_SUM = 1500.0, 4000.0, 0.8
+LENGTH, CUTOFF, ROW_SUM = 1.5, 3.0, 0.8
 MEMBERS = 5
 
 
@@ -35,7 +35,13 @@ def entities(t: Tables) -> DataFrame:
 
 def pairs(t: Tables) -> DataFrame:
     """Couplings used where an operator is given parameters: the distance prior."""
-    return stage(t, "pairs", lambda: sectors.influence_distance_prior(entities(t), LENGTH, CUTOFF, ROW_SUM))
+    return stage(t, "pairs", lambda: sectors.influence_distance_prior(entities(t), scale(t), ROW_SUM))
+
+
+def scale(t: Tables) -> DataFrame:
+    """Decay length and cutoff per field."""
+    near = stage(t, "near", lambda: sectors.nearest_both(entities(t)))
+    return stage(t, "scale", lambda: sectors.influence_scale(near, LENGTH, CUTOFF))
 
 
 def tau_of(well):

@@ -188,26 +188,27 @@ def producer_grams(
     rows = exp_filter(rows, [*k, "injector"], F.col("inj"), F.col("tau"), "c", F.col("on") if freeze else None)
     y = F.col("liq") - F.col("q0") * F.exp(-(F.col("t_days") - F.col("t_start")) / F.col("tau"))
     rows = rows.where(F.col("step") < F.col("n_train")).withColumn("y", y)
-    # every step's filtered injections side by side; a producer has as many as its influence radius holds
-    at = rows.groupBy(*k, "step").agg(
-        F.array_sort(F.collect_list(F.struct("injector", "c"))).alias("v"), F.max("y").alias("y"), F.max("w").alias("w")
-    )
-    w2 = F.col("w") * F.col("w")
-    lines = at.select(*k, "w", "y", "v", F.posexplode("v").alias("i", "a"))
-    cells = lines.select(*k, "i", F.col("a.injector").alias("ia"), (w2 * F.col("a.c") * F.col("y")).alias("cy"),
-                         w2.alias("w2"), F.col("a.c").alias("ca"), F.posexplode("v").alias("j", "b"))
-    gram = cells.groupBy(*k, "i", "ia", "j").agg(
-        F.sum(F.col("w2") * F.col("ca") * F.col("b.c")).alias("g"), F.sum("cy").alias("cy")
-    )
-    mats = gram.groupBy(*k).agg(
-        F.array_sort(F.collect_list(F.struct("i", "j", "ia", "g", "cy"))).alias("m"), F.max("i").alias("last")
-    )
-    yy = at.groupBy(*k).agg(F.sum(w2 * F.col("y") * F.col("y")).alias("yy"))
-    first = F.filter("m", lambda e: e["j"] == 0)
-    return mats.join(yy, k).select(
-        *k, F.transform(first, lambda e: e["ia"]).alias("injectors"), F.transform("m", lambda e: e["g"]).alias("gram"),
-        F.transform(first, lambda e: e["cy"]).alias("rhs"), "yy",
-    )
+    # the filtered series of a producer's injectors side by side: bounded by its radius and the length of the history
+    cells = F.array_sort(F.collect_list(F.struct("injector", "step", "c", "y", "w")))
+    at = rows.groupBy(*k).agg(cells.alias("v"))
+    part = lambda name: F.transform("v", lambda e: e[name])
+    at = at.select(*k, F.array_distinct(part("injector")).alias("injectors"), part("c").alias("c"), part("y").alias("y"), part("w").alias("w"))
+    n = (F.size("c") / F.size("injectors")).cast("int")
+    at = at.withColumns({"y": F.slice("y", F.lit(1), n), "w": F.slice("w", F.lit(1), n)})
+    types = dict(at.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in k) + ", injectors array<string>, gram array<double>, rhs array<double>, yy double"
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for ids, c, y, w in zip(pdf["injectors"], pdf["c"], pdf["y"], pdf["w"]):
+                w, y = np.asarray(w, dtype=float), np.asarray(y, dtype=float)
+                cw, yw = np.asarray(c, dtype=float).reshape(len(ids), len(y)) * w, y * w
+                out.append(((cw @ cw.T).ravel(), cw @ yw, float(yw @ yw)))
+            gram, rhs, yy = zip(*out) if out else ((), (), ())
+            yield pdf[[*k, "injectors"]].assign(gram=gram, rhs=rhs, yy=yy)
+
+    return at.mapInPandas(reduce, schema)
 
 
 def box_least_squares(g: np.ndarray, r: np.ndarray, hi: float, linear: np.ndarray | None = None) -> np.ndarray:

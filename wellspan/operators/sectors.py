@@ -125,13 +125,19 @@ def assign_isolated(entities: DataFrame, components: DataFrame, near: DataFrame
     return with_i.unionByName(follow("P", with_i)).unionByName(lone).unionByName(blind)
 
 
-def influence_distance_prior(
-    entities: DataFrame, length: float, cutoff: float, injector_sum: float
-) -> DataFrame:
-    """Prior coupling exp(-d/L) inside the cutoff, each injector's row scaled to ``injector_sum``."""
-    r = entities.select("field").distinct().withColumn("r", F.lit(float(cutoff)))
-    pairs = pairs_within(points(entities, "I"), points(entities, "P"), r)
-    raw = pairs.withColumn("w", F.exp(-F.col("d") / length))
+def influence_scale(near: DataFrame, length: float, cutoff: float) -> DataFrame:
+    """Decay length and cutoff per field as multiples of the median nearest distance, so that the number of pairs per
+    well does not depend on how densely a field is drilled.  The two roles of a converted well share one place and say
+    nothing about spacing, so zero distances are left out."""
+    med = cutoff_radius(near.where(F.col("d") > 0), 1.0)
+    return med.select("field", (length * F.col("median_d")).alias("length"), (cutoff * F.col("median_d")).alias("cutoff"))
+
+
+def influence_distance_prior(entities: DataFrame, scale: DataFrame, injector_sum: float) -> DataFrame:
+    """Prior coupling exp(-d/L) inside the cutoff, each injector's row scaled to ``injector_sum``.
+    scale: field, length, cutoff."""
+    pairs = pairs_within(points(entities, "I"), points(entities, "P"), scale.select("field", F.col("cutoff").alias("r")))
+    raw = pairs.join(scale.select("field", "length"), "field").withColumn("w", F.exp(-F.col("d") / F.col("length")))
     total = raw.groupBy("field", "a_id").agg(F.sum("w").alias("tot"))
     return raw.join(total, ["field", "a_id"]).select(
         "field", F.col("a_id").alias("injector"), F.col("b_id").alias("producer"), "d",
