@@ -211,20 +211,21 @@ def producer_grams(
     return at.mapInPandas(reduce, schema)
 
 
-def box_least_squares(g: np.ndarray, r: np.ndarray, hi: float, linear: np.ndarray | None = None) -> np.ndarray:
-    """min f'Gf - 2 r'f + linear'f over 0 <= f <= hi by cyclic coordinate descent (convex, a dozen unknowns)."""
-    k = len(r)
-    f = np.zeros(k)
-    target = r if linear is None else r - 0.5 * linear
-    d = np.diag(g)
-    for _ in range(500):
+def box_least_squares(g: np.ndarray, r: np.ndarray, hi: float, sweeps: int = 500) -> np.ndarray:
+    """Many small problems at once: min f'Gf - 2 r'f over 0 <= f <= hi by cyclic coordinate descent.
+
+    g: (B, k, k), r: (B, k); the problems are convex and padded unknowns (zero diagonal) stay at zero.
+    """
+    f = np.zeros_like(r)
+    d = np.einsum("bii->bi", g)
+    inv = np.where(d > 0, 1.0 / np.where(d > 0, d, 1.0), 0.0)
+    for _ in range(sweeps):
         moved = 0.0
-        for i in range(k):
-            if d[i] <= 0:
-                continue
-            new = min(max(f[i] + (target[i] - g[i] @ f) / d[i], 0.0), hi)
-            moved = max(moved, abs(new - f[i]))
-            f[i] = new
+        for i in range(r.shape[1]):
+            new = np.clip(f[:, i] + (r[:, i] - np.einsum("bk,bk->b", g[:, i, :], f)) * inv[:, i], 0.0, hi)
+            new = np.where(inv[:, i] > 0, new, 0.0)
+            moved = max(moved, float(np.max(np.abs(new - f[:, i]), initial=0.0)))
+            f[:, i] = new
         if moved < 1e-12:
             break
     return f
@@ -241,14 +242,22 @@ def solve_grams(grams: DataFrame, keys: list[str] | None = None, upper: float =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            pdf = pdf.assign(k=pdf["rhs"].map(len)).sort_values("k", ignore_index=True)
             fs, errs = [], []
-            lams = pdf["lam"] if priced else [None] * len(pdf)
-            for gram, rhs, yy, lam in zip(pdf["gram"], pdf["rhs"], pdf["yy"], lams):
-                r = np.asarray(rhs, dtype=float)
-                g = np.asarray(gram, dtype=float).reshape(len(r), len(r))
-                f = box_least_squares(g, r, upper, None if lam is None else np.asarray(lam, dtype=float))
-                fs.append(f)
-                errs.append(float(max(yy - 2 * r @ f + f @ g @ f, 0.0)))
+            for lo in range(0, len(pdf), 512):  # problems of similar size side by side
+                part = pdf.iloc[lo : lo + 512]
+                top = int(part["k"].max())
+                g, r = np.zeros((len(part), top, top)), np.zeros((len(part), top))
+                price = np.zeros_like(r)
+                for b, (gram, rhs, k) in enumerate(zip(part["gram"], part["rhs"], part["k"])):
+                    g[b, :k, :k] = np.asarray(gram, dtype=float).reshape(k, k)
+                    r[b, :k] = rhs
+                    if priced:
+                        price[b, :k] = part["lam"].iloc[b]
+                f = box_least_squares(g, r - 0.5 * price, upper)
+                sse = part["yy"].to_numpy() - 2 * np.einsum("bk,bk->b", r, f) + np.einsum("bi,bij,bj->b", f, g, f)
+                fs += [row[:k] for row, k in zip(f, part["k"])]
+                errs += np.maximum(sse, 0.0).tolist()
             yield pdf[[*cols, "injectors"]].assign(f=fs, sse=errs)
 
     return use.mapInPandas(run, schema)

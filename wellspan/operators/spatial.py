@@ -41,12 +41,13 @@ def nearest(a: DataFrame, b: DataFrame, levels: int = LEVELS, ties: bool = False
     """Nearest point of ``b`` for each point of ``a`` within the field: (field, id, other, d).
 
     With ``ties`` every point at the smallest distance is returned, else the one with the smallest id.
+    Level 0 is the whole field, whose 3 x 3 block holds everything, so every point finds a level.
     Finest level whose 3 x 3 block around the point holds some ``b``: the nearest is then closer than
     2 * sqrt(2) cells, so the 7 x 7 block at that level contains it.
     """
     box = _frame(a, b)
     spots = b.groupBy("field", "x", "y").agg(F.min("id").alias("other")).join(box, "field")
-    all_levels = F.explode(F.sequence(F.lit(1), F.lit(levels)))
+    all_levels = F.explode(F.sequence(F.lit(0), F.lit(levels)))
     spots = _cells(spots.withColumn("level", all_levels))
     key = ["field", "level", "cx", "cy"]
     occupied = spots.select(*key).distinct()
