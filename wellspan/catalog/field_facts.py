@@ -104,7 +104,6 @@ CTES["b_near"] = """select field, 'I' role, injector id, min(d) d, min_by(produc
  union all select field, 'P', producer, min(d), min_by(injector, d) from (select * from b_dist order by injector) group by 1,3"""
 CTES["b_cut"] = "select field, quantile_cont(d,0.5) med from b_near group by 1"
 CTES["b_edges"] = "select field, injector, producer, d from b_dist join b_cut using (field) where d<=2.5*med and bi=bp"
-CTES["b_comp"] = """/*recursive*/ select * from b_comp_fix"""
 
 
 def one_field(t):
@@ -149,8 +148,6 @@ _REACH = """with recursive und as (select '0'||injector a, '1'||producer b from
  reach(a, b) as (select a, a from und union select reach.a, und.b from reach join und on reach.b=und.a),
  lab as (select a node, min(b) label from reach group by 1),
  num as (select node, label, dense_rank() over (order by label) k from lab)"""
-CTES.pop("b_comp")
-
 
 @query("connected_components", _REACH + " select 'ALL' field, substr(node,2) entity, case when node like '0%' then 'I' else 'P' end role, 'S'||k sector from num /*recursive*/")
 def _(t):

@@ -63,7 +63,6 @@ def _(t):
     return g.select("field", "injector", "step", rd("g").alias("g"))
 
 
-_TANK = """, tgrid as (select *, sum(dt_days) over (partition by field order by step) - first_value(dt_days) over (partition by field order by step) t0 from b_tank)"""
 CTES["b_tank0"] = """select field, step, t_days, dt_days, inj, liq raw, 60.0+30*r_regionkey tau0, avg(liq) over (partition by field) mraw from b_field join region on r_name=field"""
 CTES["b_tank"] = """select field, step, t_days, dt_days, inj, 200*exp(-t_days/tau0)+0.6*exp(-t_days/tau0)*sum(case when step=0 then 0 else (1-exp(-dt_days/tau0))*inj*exp(t_days/tau0) end)
  over (partition by field order by step)+0.02*(raw-mraw) q from b_tank0"""

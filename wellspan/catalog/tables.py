@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from wellspan.catalog.base import cleaned, entities, entity_rates, raw_grid
 from wellspan.catalog.ctes import CTES
 from wellspan.catalog.registry import query
-from wellspan.config import DEFAULTS, replace
+from wellspan.config import DEFAULTS
 from wellspan.functions import units
 from wellspan.functions.numeric import rd
 from wellspan.functions.text import normalise_id, parse_date
-from wellspan.operators import clean, conform, events, gates, grid, listing, roles
+from wellspan.operators import clean, conform, events, grid, listing, roles
 
 # ------------------------------------------------------------------ conformance
 # A badly formatted copy of the rates: mixed date layouts, loose ids, text numbers.
