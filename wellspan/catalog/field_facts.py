@@ -103,7 +103,7 @@ CTES["b_dist"] = """select i.field, i.entity injector, p.entity producer, i.bloc
 CTES["b_near"] = """select field, 'I' role, injector id, min(d) d, min_by(producer, d) other from (select * from b_dist order by producer) group by 1,3
  union all select field, 'P', producer, min(d), min_by(injector, d) from (select * from b_dist order by injector) group by 1,3"""
 CTES["b_cut"] = "select field, quantile_cont(d,0.5) med from b_near group by 1"
-CTES["b_edges"] = "select field, injector, producer, d from b_dist join b_cut using (field) where d<=2.5*med and bi=bp"
+CTES["b_edges"] = "select field, injector, producer, d from b_dist join b_cut using (field) where bi=bp and (d<=2.5*med or (select count(*) from b_one)<=40)"
 
 
 def one_field(t):
