@@ -19,6 +19,8 @@ from wellspan.llm.shingles import in_batches
 SKETCH_BITS, RANGES, PARTS = 22, 64, 256
 #: N-grams of the sets that a block holds (about); two blocks are compared at once.
 BLOCK = 60_000
+#: Documents that share an n-gram are listed in pairs up to this number, beyond it compared by blocks; partners of one document compared at once.
+LISTED, PARTNERS = 64, 64
 #: The similarity is SHARE / WHOLE at least.
 SHARE, WHOLE = 4, 5
 
@@ -89,17 +91,18 @@ def set_rows(docs: DataFrame, level) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [(ordered(s, level.value)[::-1].tobytes(), hashlib.md5(s.tobytes()).digest()) for _, sets in in_batches(batch, 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g for g, _ in grams], pa.binary()), pa.array([d for _, d in grams], pa.binary())], ["id", "family", "grams", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in grams], pa.binary()), pa.array([d for _, d in grams], pa.binary())], ["id", "grams", "digest"])
 
-    return docs.select("doc_id", "text", "family").mapInArrow(run, f"id {id_type}, family {id_type}, grams binary, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"id {id_type}, grams binary, digest binary")
 
 
-def tree_links(sets: list[np.ndarray], probes: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+def tree_links(sets: list[np.ndarray], probes: list[np.ndarray], known: np.ndarray | None = None, probes_known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(k, similar probes) for each set k, by a walk through the prefix tree of the sets.
 
     Sets in lexicographic order are the leaves of the tree from left to right. The stack holds, for each node on the way to the
     current leaf, the overlaps of its n-grams with all probes, so sets that begin alike share that work. A branch
-    is left as soon as no probe can reach the overlap it needs with the n-grams that remain.
+    is left as soon as no probe can reach the overlap it needs with the n-grams that remain. Probes of the set's own component,
+    where components are given, need not be found.
     """
     postings: dict[int, list[int]] = {}
     for j, probe in enumerate(probes):
@@ -119,6 +122,8 @@ def tree_links(sets: list[np.ndarray], probes: list[np.ndarray]) -> Iterator[tup
         del stack[shared + 1 :], path[shared:]
         needed = -(-SHARE * (len(own) + sizes) // (SHARE + WHOLE))
         needed[sizes == 0] = len(own) + 1
+        if known is not None:
+            needed[probes_known == known[k]] = len(own) + 1
         while len(path) < len(own):
             depth = len(path)
             if depth % 8 == 0 and not (stack[-1] + (len(own) - depth) >= needed).any():
@@ -134,62 +139,112 @@ def tree_links(sets: list[np.ndarray], probes: list[np.ndarray]) -> Iterator[tup
             yield k, np.flatnonzero(stack[-1] >= needed)
 
 
-def verify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """For one pair of blocks of a family: (id, least id it hangs together with) for the ids that are linked here."""
-    first, second = key[1], key[2]
-    ids, part = rows["id"].to_numpy(), rows["part"].to_numpy()
-    grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
-    left = np.flatnonzero(part == first)
-    right = np.flatnonzero(part == second)
-    least = {i: i for i in ids.tolist()}
-
-    def root(i):
-        while least[i] != i:
-            least[i] = least[least[i]]
-            i = least[i]
+class Forest:
+    """Least names of what hangs together in one group."""
+
+    def __init__(self, ids):
+        self.least = {i: i for i in ids}
+
+    def root(self, i):
+        while self.least[i] != i:
+            self.least[i] = self.least[self.least[i]]
+            i = self.least[i]
         return i
 
-    for k, found in tree_links([grams[i] for i in left], [grams[i] for i in right]):
-        for j in ids[right[found]].tolist():
-            a, b = root(ids[left[k]].item() if hasattr(ids[left[k]], "item") else ids[left[k]]), root(j)
-            if a != b:
-                least[max(a, b)] = min(a, b)
-    out = [(i, root(i)) for i in least if root(i) != i]
-    return pd.DataFrame(out, columns=["a", "b"])
+    def link(self, i, j) -> None:
+        a, b = self.root(i), self.root(j)
+        if a != b:
+            self.least[max(a, b)] = min(a, b)
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame([(i, self.root(i)) for i in self.least if self.root(i) != i], columns=["a", "b"])
+
+
+def verify_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For two blocks of a family: (id, least id it hangs together with) for what is linked across components found before."""
+    first, second = key[1], key[2]
+    ids, part, known = rows["id"].tolist(), rows["part"].to_numpy(), rows["component"].to_numpy()
+    grams = [np.frombuffer(g, np.uint64) for g in rows["grams"]]
+    left, right = np.flatnonzero(part == first), np.flatnonzero(part == second)
+    forest = Forest(ids)
+    for k, found in tree_links([grams[i] for i in left], [grams[i] for i in right], known[left], known[right]):
+        for j in right[found].tolist():
+            forest.link(ids[left[k]], ids[j])
+    return forest.frame()
+
+
+def verify_partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For some partners of one document: (id, least id) of those that are linked with it."""
+    forest = Forest(rows["id"].tolist())
+    own = (rows["id"] == key[0]).to_numpy()
+    heads, others = rows[own], rows[~own]
+    probes = [np.frombuffer(g, np.uint64) for g in heads["grams"]]
+    ids = others["id"].tolist()
+    for k, found in tree_links([np.frombuffer(g, np.uint64) for g in others["grams"]], probes):
+        if len(found):
+            forest.link(ids[k], key[0])
+    return forest.frame()
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among candidate pairs: a document meets its partners in groups of bounded number."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+    many = keep_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
+    partners = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
+    heads = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
+    rows = partners.unionByName(heads).join(sets.select("id", "grams"), "id")
+    return keep_table(rows.groupBy("a", "part").applyInPandas(verify_partners, f"a {id_type}, b {id_type}"))
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id reachable by links of similarity 0.8 or more) for every document.
 
     1. One scan hashes all sets, names equal sets and counts n-grams by bucket. 2. A second takes the rarest n-grams of each
-    set: similar sets share one of those. Documents that share one, directly or through others, form a family. 3. The
-    distinct sets of a family are cut into blocks by size; every two blocks of a family are one group, in which a prefix tree of
-    one block is walked with the other's sets. Groups return links as (id, least id), so pairs are never listed, and their
-    size is bounded however large a family is. 4. Connected components of those links.
+    set: similar sets share one of those, and only the first of equal sets goes on. 3. Each document meets the least one that
+    shares a rare n-gram; most copies hang together after that. 4. Pairs from n-grams that few share are compared where their
+    components differ. 5. Documents that share an n-gram with many form families, cut into blocks by size; every two blocks are
+    one group, in which a prefix tree of one is walked with the sets of the other. Groups return (id, least id), so pairs within
+    large groups are never listed, and no group grows with a family. 6. Connected components of all links.
 
     Null and empty texts, and texts of blanks, have no n-grams and are their own component. A null doc_id has component null. Rows
     that repeat a doc_id are compared one by one, but share its name. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
+    spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     scanned = keep_table(facts_and_counts(docs).withColumn("part", F.spark_partition_id()))
     level = spark.sparkContext.broadcast(rarity(scanned.filter("range is not null").select("range", "counts", "part"), "part"))
     facts = scanned.filter("range is null").select("doc_id", "n", "digest")
     classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least")))
+    firsts = keep_table(classes.select(F.col("least").alias("id")).distinct())
     rare = prefixes(docs, level)
-    met = keep_table(rare.groupBy("gram").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head < last").select("gram", "head"))
-    families = components(rare.join(met, "gram").filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    members = keep_table(families.select(F.col("node").alias("id"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct()))
-    heads = classes.select(F.col("least").alias("id")).distinct()  # of equal sets the first stands for all
-    single = keep_table(members.join(heads, "id"))
-    several = keep_table(single.join(single.groupBy("family").agg(F.count("*").alias("k")).filter("k > 1").select("family"), "family").select("id", "family"))
-    chosen = docs.select("doc_id", "text").join(several.select(F.col("id").alias("doc_id"), "family"), "doc_id")
-    sets = keep_table(set_rows(chosen, level)).dropDuplicates(["id", "digest"])
-    sizes = keep_table(sets.groupBy("family").agg(F.ceil(F.sum(F.octet_length("grams")) / (8 * BLOCK)).cast("int").alias("parts")))
-    placed = sets.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "id", "part", "grams")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    links = keep_table(dealt.groupBy("family", "first", "second").applyInPandas(verify, f"a {id_type}, b {id_type}"))
+    met = keep_table(rare.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("gram"))
+    shared = keep_table(rare.join(met, "gram").join(firsts, "id"))
+    heads = keep_table(shared.groupBy("gram").agg(F.min("id").alias("head"), F.count("*").alias("k")).filter("k > 1"))
+    stars = keep_table(shared.join(heads, "gram").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("k") > LISTED).alias("large")))
+    met_ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
+    sets = keep_table(set_rows(docs.select("doc_id", "text").join(met_ids.withColumnRenamed("id", "doc_id"), "doc_id"), level).dropDuplicates(["id", "digest"]))
+    first_pairs = stars.select("a", "b").distinct()
+    links = verified(first_pairs, sets)
+
+    few = keep_table(shared.join(heads.filter((F.col("k") > 2) & (F.col("k") <= LISTED)).select("gram"), "gram"))
+    other = few.select("gram", F.col("id").alias("b"))
+    listed = few.withColumnRenamed("id", "a").join(other, "gram").filter("a < b").select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
+    known = keep_table(components(links))
+    named = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    apart = listed.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    links = links.unionByName(verified(keep_table(apart), sets))
+
+    families = keep_table(components(stars.filter("large").select("a", "b")))
+    members = families.select(F.col("node").alias("id"), F.col("component").alias("family")).unionByName(families.select(F.col("component").alias("id"), F.col("component").alias("family")).distinct())
+    known = keep_table(components(links)).select(F.col("node").alias("id"), "component")
+    inside = keep_table(members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    open_ = keep_table(inside.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("family"))
+    gathered = sets.join(inside.join(open_, "family"), "id")
+    sizes = keep_table(gathered.groupBy("family").agg(F.ceil(F.sum(F.octet_length("grams")) / (8 * BLOCK)).cast("int").alias("parts")))
+    placed = gathered.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "id", "part", "component", "grams")
+    links = links.unionByName(keep_table(dealt.groupBy("family", "first", "second").applyInPandas(verify_blocks, f"a {id_type}, b {id_type}")))
+
     roots = components(links)
-    named = keep_table(classes.join(roots, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "least").alias("component")))
-    out = facts.join(named, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
+    of_class = keep_table(classes.join(roots, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "least").alias("component")))
+    out = facts.join(of_class, (F.col("digest") == F.col("_digest")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wellspan.llm.common import keep_table
+from wellspan.llm.common import keep_table, row_numbers
 from wellspan.llm.components import components
 
 
@@ -95,7 +95,7 @@ def units(vectors: list[bytes]) -> np.ndarray:
 
 def hashed(classes: DataFrame, how: Hashing) -> DataFrame:
     """One row for each distinct vector, table and bucket; ``codes`` are all its buckets, to count a pair once."""
-    schema = f"id {classes.schema['id'].dataType.simpleString()}, label {classes.schema['label'].dataType.simpleString()}, n long, vector binary, width int, place int, bucket long, home boolean, codes binary"
+    schema = f"id long, label {classes.schema['label'].dataType.simpleString()}, n long, vector binary, width int, place int, bucket long, home boolean, codes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +172,8 @@ def linked(rows: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     vectors of their own. An empty table gives no rows. Other columns are ignored.
     """
     kept = keep_table(checked(rows))
-    classes = keep_table(kept.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")))
-    # a repeated vec_id may name two classes; the class is then named by its rank among equals through the vector itself
+    distinct = kept.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+    classes = keep_table(row_numbers(distinct, ["vec_id", "label", "vector"], "id")[0])  # in the order of vec_id, and unique where a vec_id repeats
     keyed = keep_table(hashed(classes, how))
     spot = ["label", "width", "place", "bucket"]
     sizes = keyed.groupBy(*spot).agg(F.count("*").alias("rows_here"), F.max("home").alias("any_home")).filter("rows_here > 1 and any_home")
@@ -183,10 +183,8 @@ def linked(rows: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     found = keep_table(dealt.drop("rows_here", "any_home", "parts", "other").groupBy(*spot, "first", "second").applyInPandas(compare(how), "id long, links long, least long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.filter("least != id").select(F.col("id").alias("a"), F.col("least").alias("b")))
-    facts = keep_table(
-        classes.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left").select(
-            "label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")
-        )
-    )
+    names = classes.select(F.col("id").alias("root"), F.col("vec_id").alias("component_id"))
+    rooted = classes.join(counts, "id", "left").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).join(names, "root")
+    facts = keep_table(rooted.select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"))
     out = kept.join(facts, ["label", "vector"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
