@@ -61,7 +61,8 @@ def fragments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     masked = np.where(inside, least, np.uint64(0))
     reach = sliding(np.concatenate((np.zeros(GRAMS - 1, np.uint64), masked, np.zeros(GRAMS - 1, np.uint64))), GRAMS, np.maximum)
     places = grams[grams == reach[: len(grams)]]
-    return value[at], np.array(long)[text[at]], starts[at] - begins[text[at]], count, places
+    # least hashes crowd near zero; mixed once more they fill all buckets evenly
+    return finalised(value[at]), np.array(long)[text[at]], starts[at] - begins[text[at]], count, finalised(places)
 
 
 @lru_cache(maxsize=2)
@@ -240,12 +241,34 @@ def maximal_repeats(contents: list[bytes], least: int = LENGTH) -> Iterator[tupl
                 stack.append([height, start, side])
 
 
+def window_order(contents: list[bytes], least: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of all windows that lie inside a content, cut at ``least`` bytes, and where neighbours share that much."""
+    lengths = np.array([len(c) for c in contents])
+    stream = np.frombuffer(b"\0".join(contents) + bytes(least + 8), np.uint8)
+    n = int(lengths.sum() + len(lengths))
+    starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    windows = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths - least + 1)[:-1])), lengths - least + 1) + np.arange(int((lengths - least + 1).sum()))
+    ranks = np.zeros(n + least, np.uint64)
+    for k in range(8):  # eight bytes are one number already
+        ranks[:n] = ranks[:n] << np.uint64(8) | stream[k : k + n]
+    reach = 8
+    while reach < least:
+        step = min(reach, least - reach)
+        used = np.unique(ranks, return_inverse=True)[1]
+        ranks = np.zeros(n + least, np.uint64)
+        ranks[: n] = used[:n].astype(np.uint64) << np.uint64(32) | used[step : n + step].astype(np.uint64)
+        reach += step
+    order = windows[np.argsort(ranks[windows], kind="stable")]
+    return order, np.concatenate(([0], np.where(ranks[order[1:]] == ranks[order[:-1]], least, 0)))
+
+
 def later_windows(contents: list[bytes], first: list[tuple], least: int = LENGTH) -> list[np.ndarray]:
     """For each content which of its windows also start earlier, given where each content stands first.
 
     Equal windows are the leaves of one outermost interval; all but the earliest of them are later ones.
     """
-    order, common, owner, _ = suffix_array(contents)
+    order, common = window_order(contents, least)
+    owner = np.repeat(np.arange(len(contents)), [len(c) + 1 for c in contents])
     starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in contents])[:-1]))
     rank = {key: k for k, key in enumerate(sorted({x[0] for x in first}))}
     document = np.array([rank[x[0]] for x in first])[owner]
@@ -264,6 +287,14 @@ def later_windows(contents: list[bytes], first: list[tuple], least: int = LENGTH
     return [flags[s : s + len(c) - least + 1] for c, s in zip(contents, starts.tolist())]
 
 
+def repeats_inside(content: bytes) -> bool:
+    """Whether a fragment may hold a window twice: of at most GRAMS windows, all hold the gram that ends with the first window."""
+    if len(content) < LENGTH + GRAMS:
+        at = LENGTH - GRAM
+        return content.find(content[at:LENGTH]) < at or content.find(content[at:LENGTH], at + 1) >= 0
+    return True
+
+
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     """For one bucket: which windows of each block's fragments also start earlier."""
     sent = [pickle.loads(zlib.decompress(f)) for f in rows["fragments"]]
@@ -277,7 +308,7 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
             elif where < first[content]:
                 first[content] = where
     dup: dict[bytes, np.ndarray] = {}
-    shared = [c for group in by_value.values() for c in group if len(group) > 1 or len({c[k : k + LENGTH] for k in range(len(c) - LENGTH + 1)}) < len(c) - LENGTH + 1]
+    shared = [c for group in by_value.values() for c in group if len(group) > 1 or repeats_inside(c)]
     if shared:
         dup = dict(zip(shared, later_windows(shared, [first[c] for c in shared])))
     answers = []
