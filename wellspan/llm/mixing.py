@@ -96,7 +96,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """How many words of each document the mix takes: whole documents, each source near its target.
 
     Every document of a source is taken floor(target / source size) times, and those below the source's hash threshold once
-    more. Returns doc_id, size, source_size, target, taken, times.
+    more. Returns doc_id, source, size, source_size, target, taken, times.
 
     A null text has size 0. Null is a source of its own, after all others. A source without words has target 0. Rows with the
     same id share a hash and are taken or left together. An empty table gives no rows. Other columns are ignored.
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     facts = sources.join(below, sources["source"].eqNullSafe(below["source"])).select(sources["source"].alias("_source"), "source_size", "target", whole.alias("_whole"), "_below")
     facts = keep_table(facts)
     times = F.least(F.col("_whole") + (F.col("_hash") < F.col("_below")).cast("long"), F.lit(mix.most).cast("long"))
-    return narrow.join(facts, narrow["source"].eqNullSafe(facts["_source"])).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return narrow.join(facts, narrow["source"].eqNullSafe(facts["_source"])).select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
 #: DuckDB's form of the same mix: all documents of a source in hash order instead of thresholds.
@@ -138,7 +138,7 @@ with d as (
          sum(size) over (partition by source order by h) - sum(size) over (partition by source, h) as before1
   from r
 )
-select doc_id, size, source_size, target,
+select doc_id, source, size, source_size, target,
        (least(whole + case when before1 + after1 < 2 * (target - whole * source_size) then 1 else 0 end, 2) * size)::bigint as taken,
        least(whole + case when before1 + after1 < 2 * (target - whole * source_size) then 1 else 0 end, 2)::bigint as times
 from m
