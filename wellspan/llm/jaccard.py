@@ -186,13 +186,20 @@ def verify_partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return forest.frame()
 
 
+def of_like_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs whose sets can be similar: the smaller holds SHARE / WHOLE of the larger at least."""
+    side = lambda x: sizes.select(F.col("id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter((WHOLE * F.col("a_high") >= SHARE * F.col("b_low")) & (WHOLE * F.col("b_high") >= SHARE * F.col("a_low"))).select("a", "b")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among candidate pairs: a document meets its partners in groups of bounded number."""
     id_type = pairs.schema["a"].dataType.simpleString()
     many = keep_table(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts")))
     partners = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
     heads = many.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    rows = partners.unionByName(heads).join(sets.select("id", "grams"), "id")
+    rows = keep_table(partners.unionByName(heads)).join(sets.select("id", "grams"), "id")
     return keep_table(rows.groupBy("a", "part").applyInPandas(verify_partners, f"a {id_type}, b {id_type}"))
 
 
@@ -213,21 +220,22 @@ def joined(docs: DataFrame) -> DataFrame:
     scanned = keep_table(facts_and_counts(docs).withColumn("part", F.spark_partition_id()))
     level = spark.sparkContext.broadcast(rarity(scanned.filter("range is not null").select("range", "counts", "part"), "part"))
     facts = scanned.filter("range is null").select("doc_id", "n", "digest")
-    classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least")))
-    firsts = keep_table(classes.select(F.col("least").alias("id")).distinct())
+    classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")))
+    firsts = keep_table(classes.groupBy(F.col("least").alias("id")).agg(F.min("n").alias("low"), F.max("n").alias("high")))  # more than one size only where an id repeats
     rare = prefixes(docs, level)
     met = keep_table(rare.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("gram"))
-    shared = keep_table(rare.join(met, "gram").join(firsts, "id"))
+    shared = keep_table(rare.join(met, "gram").join(firsts.select("id"), "id"))
     heads = keep_table(shared.groupBy("gram").agg(F.min("id").alias("head"), F.count("*").alias("k")).filter("k > 1"))
     stars = keep_table(shared.join(heads, "gram").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("k") > LISTED).alias("large")))
-    met_ids = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    sets = keep_table(set_rows(docs.select("doc_id", "text").join(met_ids.withColumnRenamed("id", "doc_id"), "doc_id"), level).dropDuplicates(["id", "digest"]))
-    first_pairs = stars.select("a", "b").distinct()
-    links = verified(first_pairs, sets)
-
+    first_pairs = keep_table(of_like_size(stars.select("a", "b").distinct(), firsts))
     few = keep_table(shared.join(heads.filter((F.col("k") > 2) & (F.col("k") <= LISTED)).select("gram"), "gram"))
     other = few.select("gram", F.col("id").alias("b"))
     listed = few.withColumnRenamed("id", "a").join(other, "gram").filter("a < b").select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
+    listed = keep_table(of_like_size(listed, firsts))
+    met_ids = first_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(listed.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    met_ids = keep_table(met_ids.unionByName(stars.filter("large").select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct())
+    sets = keep_table(set_rows(docs.select("doc_id", "text").join(met_ids, "doc_id"), level))
+    links = verified(first_pairs, sets)
     known = keep_table(components(links))
     named = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
     apart = listed.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
