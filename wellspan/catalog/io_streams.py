@@ -104,7 +104,7 @@ def _(t):
     return snapshots.run_lookup(back, ["data_hash", "config_hash", "version"]).select("data_hash", "config_hash", "version", "run_id")
 
 
-@query("audit_query", """select seq, object_id, actor, "action" from (select event_id seq, event_id%20 object_id, user_id actor, event_type "action" from events) where object_id=7 order by seq desc limit 500""")
+@query("audit_query", """select seq, object_id, actor, "action" from (select event_id seq, event_id%20 object_id, user_id actor, event_type "action" from events) where object_id=7 order by seq desc""")
 def _(t):
     log = t.read("events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 20).alias("object_id"), F.col("user_id").alias("actor"), F.col("event_type").alias("action"))
     return snapshots.audit_query(log, object_id=7)

@@ -73,10 +73,11 @@ def run_lookup(runs: DataFrame, keys: list[str]) -> DataFrame:
     return done.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("created_at", "run_id")).alias("r")).select(*keys, "r.*")
 
 
-def audit_query(log: DataFrame, object_id=None, actor=None, limit: int = 500) -> DataFrame:
-    """Newest entries of an object or actor."""
+def audit_query(log: DataFrame, object_id=None, actor=None, limit: int | None = None) -> DataFrame:
+    """Entries of an object or actor, newest first; all of them unless the caller gives a limit."""
     if object_id is not None:
         log = log.where(F.col("object_id") == object_id)
     if actor is not None:
         log = log.where(F.col("actor") == actor)
-    return log.orderBy(F.desc("seq")).limit(limit)
+    ordered = log.orderBy(F.desc("seq"))
+    return ordered if limit is None else ordered.limit(limit)
