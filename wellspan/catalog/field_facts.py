@@ -102,8 +102,8 @@ CTES["b_dist"] = """select i.field, i.entity injector, p.entity producer, i.bloc
  from b_one i join b_one p on i.field=p.field and i.role='I' and p.role='P'"""
 CTES["b_near"] = """select field, 'I' role, injector id, min(d) d, min_by(producer, d) other from (select * from b_dist order by producer) group by 1,3
  union all select field, 'P', producer, min(d), min_by(injector, d) from (select * from b_dist order by injector) group by 1,3"""
-CTES["b_cut"] = "select field, quantile_cont(d,0.5) med from b_near group by 1"
-CTES["b_edges"] = "select field, injector, producer, d from b_dist join b_cut using (field) where bi=bp and (d<=2.5*med or (select count(*) from b_one)<=40)"
+CTES["b_cut"] = "select field, coalesce(quantile_cont(d,0.5) filter (where d>0), 0) med from b_near group by 1"
+CTES["b_edges"] = "select field, injector, producer, d from b_dist join b_cut using (field) where bi=bp and d<=2.5*med"
 
 
 def one_field(t):
@@ -125,21 +125,21 @@ def _(t):
     return sectors.nearest_both(one_field(t)).select("field", "role", "id", rd("d").alias("d"))
 
 
-@query("pair_distances", """select field, injector, producer, round(d,6) d from b_dist join b_cut using (field) where d<=2.5*med or (select count(*) from b_one)<=40""")
+@query("pair_distances", """select field, injector, producer, round(d,6) d from b_dist join b_cut using (field) where d<=2.5*med""")
 def _(t):
     return sectors.pair_distances(one_field(t), 2.5).select("field", "injector", "producer", rd("d").alias("d"))
 
 
-@query("pair_distances_small", """select i.field, i.entity injector, p.entity producer, round(sqrt((i.x-p.x)*(i.x-p.x)+(i.y-p.y)*(i.y-p.y)),6) d from
- (select *, count(*) over (partition by field) n from b_loc) i join (select * from b_loc) p on i.field=p.field and i.role='I' and p.role='P' where n<=40""")
+@query("pair_distances_by_field", """with d as (select i.field, i.entity injector, p.entity producer, sqrt((i.x-p.x)*(i.x-p.x)+(i.y-p.y)*(i.y-p.y)) d
+  from b_loc i join b_loc p on i.field=p.field and i.role='I' and p.role='P'),
+ n as (select field, injector id, min(d) d from d group by 1,2 union all select field, producer, min(d) from d group by 1,2),
+ c as (select field, coalesce(quantile_cont(d,0.5) filter (where d>0), 0) med from n group by 1)
+ select field, injector, producer, round(d,6) d from d join c using (field) where d<=2.5*med""")
 def _(t):
-    small = cut_lineage(located(t))
-    n = small.groupBy("field").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= 40)
-    return sectors.pair_distances(small.join(n, "field", "left_semi"), 2.5).select("field", "injector", "producer", rd("d").alias("d"))
+    return sectors.pair_distances(cut_lineage(located(t)), 2.5).select("field", "injector", "producer", rd("d").alias("d"))
 
 
-@query("sector_edges", """select field, injector, producer, round(d,6) d from b_edges where (select count(*) from b_one)>40
- union all select field, injector, producer, round(d,6) from b_dist where bi=bp and (select count(*) from b_one)<=40""")
+@query("sector_edges", "select field, injector, producer, round(d,6) d from b_edges")
 def _(t):
     return sectors.sector_edges(one_field(t)).select("field", "injector", "producer", rd("d").alias("d"))
 

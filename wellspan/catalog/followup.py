@@ -27,7 +27,7 @@ CTES["b_moves"] = f"""select field, injector, b.rate rate_from, t.rate rate_to,
 CTES["b_ramp"] = """select *, case when suppressed then rate_from else rate_to end target, case when confidence='HIGH' then 0.15e0 else 0.08e0 end frac from (
  select *, abs(rate_to-rate_from)<0.05*greatest(rate_from,1e-9) or abs(rate_to-rate_from)<10/6.289810770432105e0 suppressed from b_moves)"""
 _WEEKS = """with recursive wk as (select field, injector, 0 wn, rate_from rate, target, frac from b_ramp union all
- select field, injector, wn+1, rate+least(greatest(target-rate,-cap),cap), target, frac from (select *, frac*greatest(rate,0.05*greatest(target,1e-9)) cap from wk where abs(target-rate)>=1e-9 and wn<520)) """
+ select field, injector, wn+1, rate+least(greatest(target-rate,-cap),cap), target, frac from (select *, frac*greatest(rate,0.05*greatest(target,1e-9)) cap from wk where abs(target-rate)>=1e-9)) """
 
 
 def ramped(t):

@@ -238,7 +238,7 @@ def _(t):
     return bounds(t).select("field", "injector", r("rate"), "idle", "lo", r("hi"), r("total_water"))
 
 
-CTES["b_facts"] = """select field, "plan", max(wc) max_water_cut, max(l) max_liquid, max(inj)*sum(dt_days)/sum(lr) vrr from (select field, "plan", h, dt_days, max(case when oil+water>0 then water/(oil+water) else 0 end) wc, max(oil+water) l,
+CTES["b_facts"] = """select field, "plan", max(wc) max_water_cut, max(l) max_liquid, max(inj)*sum(dt_days)/nullif(sum(lr),0) vrr from (select field, "plan", h, dt_days, max(case when oil+water>0 then water/(oil+water) else 0 end) wc, max(oil+water) l,
  sum(liq*dt_days) lr from b_fc where member=0 group by 1,2,3,4) join (select field, "plan", sum(rate) inj from b_plan group by 1,2) using (field, "plan") group by 1,2"""
 
 
@@ -252,7 +252,7 @@ def _(t):
     f = ref.groupBy("field", "plan").agg(F.max(cut).alias("max_water_cut"), F.max(F.col("oil") + F.col("water")).alias("max_liquid"), F.sum(F.col("liq") * F.col("dt_days")).alias("lr"))
     w = plans(t).groupBy("field", "plan").agg(F.sum("rate").alias("inj"))
     horizon = calendar(t).groupBy("field").agg(F.sum("dt_days").alias("days"))
-    f = f.join(w, ["field", "plan"]).join(horizon, "field").withColumn("vrr", F.col("inj") * F.col("days") / F.col("lr"))
+    f = f.join(w, ["field", "plan"]).join(horizon, "field").withColumn("vrr", F.try_divide(F.col("inj") * F.col("days"), F.col("lr")))
     facts = f.select("field", "plan", "max_water_cut", "max_liquid", "vrr")
     out = scenarios.plan_feasibility(plans(t), bounds(t), facts, {"max_water_cut": 0.9, "max_liquid": 120.0, "vrr": (0.8, 1.2)})
     return out.drop("feasible")

@@ -51,7 +51,6 @@ class Settings:
     lift_types: tuple = ("CHOKE", "ESP_FREQ", "ESP", "LIFT", "PUMP", "FREQUENCY")
     min_window_steps: int = 24
     # sectors
-    sector_auto_above: int = 40
     sector_cutoff_factor: float = 2.5
     # pressure
     esp_hampel_window: int = 5
@@ -107,7 +106,6 @@ class Settings:
     min_change_frac: float = 0.05
     meter_resolution_bbl_d: float = 10.0
     revert_water_cut_jump: float = 0.05
-    ramp_max_weeks: int = 520
     # follow-up
     evaluation_months: tuple = (3, 6)
     quarterly_days: int = 90

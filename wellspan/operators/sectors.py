@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wellspan.config import DEFAULTS, Settings
 from wellspan.functions.quantiles import group_quantile
-from wellspan.operators.spatial import all_pairs_of_small, nearest, pairs_within
+from wellspan.operators.spatial import nearest, pairs_within
 from wellspan.session import cut_lineage
 
 
@@ -28,32 +28,25 @@ def nearest_both(entities: DataFrame) -> DataFrame:
 
 
 def cutoff_radius(near: DataFrame, factor: float) -> DataFrame:
-    """Influence radius per field: a multiple of the median nearest distance over both sides."""
-    med = group_quantile(near, ["field"], "d", 0.5, "median_d")
-    return med.select("field", "median_d", (factor * F.col("median_d")).alias("r"))
+    """Influence radius per field: a multiple of the median nearest distance over both sides.
 
+    The two roles of a converted well share one place and say nothing about spacing, so zero distances are left out; a field
+    that has no others gets the radius 0, which holds the pairs at one place."""
+    med = group_quantile(near.where(F.col("d") > 0), ["field"], "d", 0.5, "median_d")
+    every = near.select("field").distinct().join(med, "field", "left")
+    return every.select("field", F.coalesce("median_d", F.lit(0.0)).alias("median_d")).withColumn("r", factor * F.col("median_d"))
 
-def pair_distances(entities: DataFrame, factor: float, cfg: Settings = DEFAULTS, near: DataFrame | None = None) -> DataFrame:
-    """Injector-producer distances: every pair in fields of at most ``sector_auto_above`` entities, else the pairs
-    inside the influence radius, the only ones any later step reads."""
+
+def pair_distances(entities: DataFrame, factor: float, near: DataFrame | None = None) -> DataFrame:
+    """Injector-producer pairs inside the influence radius; one rule for fields of every size."""
     near = cut_lineage(nearest_both(entities)) if near is None else near
-    size = entities.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    mean = near.groupBy("field").agg(
-        F.avg(F.when(F.col("role") == "I", F.col("d"))).alias("mi"), F.avg(F.when(F.col("role") == "P", F.col("d"))).alias("mp")
-    )
-    facts = size.join(mean, "field").join(cutoff_radius(near, factor), "field")
-    whole = (F.col("n") <= cfg.sector_auto_above) | (F.least("mi", "mp") <= 0)
-    i, p = points(entities, "I"), points(entities, "P")
-    full = all_pairs_of_small(i, p, facts.where(whole))
-    near_pairs = pairs_within(i, p, facts.where(~whole).select("field", "r"))
-    return full.unionByName(near_pairs).select(
-        "field", F.col("a_id").alias("injector"), F.col("b_id").alias("producer"), "d"
-    )
+    pairs = pairs_within(points(entities, "I"), points(entities, "P"), cutoff_radius(near, factor).select("field", "r"))
+    return pairs.select("field", F.col("a_id").alias("injector"), F.col("b_id").alias("producer"), "d")
 
 
 def sector_edges(blocked: DataFrame, cfg: Settings = DEFAULTS, near: DataFrame | None = None) -> DataFrame:
     """Edges of the sector graph; ``blocked`` has field, entity, role, x, y, block."""
-    pairs = pair_distances(blocked, cfg.sector_cutoff_factor, cfg, near)
+    pairs = pair_distances(blocked, cfg.sector_cutoff_factor, near)
     side = lambda role, name, b: blocked.where(F.col("role") == role).select(
         "field", F.col("entity").alias(name), F.col("block").alias(b)
     )
@@ -62,44 +55,61 @@ def sector_edges(blocked: DataFrame, cfg: Settings = DEFAULTS, near: DataFrame |
     return e.where(same).select("field", "injector", "producer", "d")
 
 
-def _component_labels(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _least_neighbour(pairs: DataFrame) -> DataFrame:
+    least = pairs.groupBy("field", "a").agg(F.min("b").alias("m"))
+    return cut_lineage(least.select("field", "a", F.least("a", "m").alias("m")))
+
+
+def _hang_above(pairs: DataFrame) -> DataFrame:
+    """Every larger neighbour moves to the least neighbour of the node it hangs on."""
+    both = pairs.unionByName(pairs.select("field", F.col("b").alias("a"), F.col("a").alias("b")))
+    moved = both.where(F.col("b") > F.col("a")).join(_least_neighbour(both), ["field", "a"])
+    return moved.select("field", F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b")).distinct()
+
+
+def _hang_below(pairs: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours all move to the least of them."""
+    least = _least_neighbour(pairs)
+    moved = pairs.join(least, ["field", "a"]).where(F.col("b") != F.col("m")).select("field", F.col("b").alias("a"), F.col("m").alias("b"))
+    whole = moved.unionByName(least.select("field", "a", F.col("m").alias("b")))
+    return whole.where(F.col("a") != F.col("b")).distinct()
+
+
+def _component_labels(edges: DataFrame) -> DataFrame:
     """Smallest label reachable from each node.  Labels start with 0 for injectors and 1 for producers, so a
-    component is named by its first injector.  Each round takes the smallest neighbouring label and then follows
-    the label once, which halves the remaining path length; the state is cut to the checkpoint folder."""
-    link = edges.select(
-        "field", F.concat(F.lit("0"), "injector").alias("a"), F.concat(F.lit("1"), "producer").alias("b")
-    )
-    both = cut_lineage(link.union(link.select("field", "b", "a")))
-    labels = both.groupBy("field", "a").agg(F.min("b").alias("m")).select(
-        "field", F.col("a").alias("node"), F.least("a", "m").alias("label")
-    )
-    labels = cut_lineage(labels)
-    for _ in range(max_rounds):
-        via = both.join(labels.select("field", F.col("node").alias("b"), "label"), ["field", "b"])
-        step = via.groupBy("field", F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        moved = labels.join(step, ["field", "node"]).select(
-            "field", "node", F.col("label").alias("old"), F.least("label", "m").alias("label")
-        )
-        jump = moved.select("field", F.col("node").alias("label"), F.col("label").alias("next"))
-        new = moved.join(jump, ["field", "label"], "left").select(
-            "field", "node", "old", F.least("label", F.coalesce("next", "label")).alias("label")
-        )
-        new = cut_lineage(new)
-        labels = new.select("field", "node", "label")
-        if new.where(F.col("label") != F.col("old")).isEmpty():
-            return labels
-    raise RuntimeError("component labels did not settle")
+    component is named by its first injector.
+
+    The two star steps take turns until each node hangs on its component's least one; rounds grow as the logarithm of the
+    nodes, also along a chain, and end only when nothing moves."""
+    link = edges.select("field", F.concat(F.lit("1"), "producer").alias("a"), F.concat(F.lit("0"), "injector").alias("b"))
+    now, mark = cut_lineage(link.distinct()), None
+    while True:
+        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("field", "a", "b").cast("decimal(38,0)"))).first())
+        if found == mark:
+            break
+        mark, now = found, cut_lineage(_hang_below(cut_lineage(_hang_above(now))))
+    heads = now.select("field", F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return now.select("field", F.col("a").alias("node"), F.col("b").alias("label")).unionByName(heads)
+
+
+def _numbered(heads: DataFrame) -> DataFrame:
+    """(field, label, number): the place of each label in its field, from 1.  Ranges are numbered by themselves and moved by
+    the rows that the field has in ranges before, so no task sees a whole field."""
+    dealt = cut_lineage(heads.repartitionByRange("field", "label").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("field", "part").agg(F.count(F.lit(1)).alias("n"))  # one row per field and range
+    before = F.sum("n").over(Window.partitionBy("field").orderBy("part")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("field", "part").orderBy("label"))
+    out = dealt.withColumn("own", own).join(sizes.select("field", "part", before.alias("before")), ["field", "part"])
+    return out.select("field", "label", (F.col("own") + F.col("before")).alias("number"))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(field, entity, role, sector) for every entity that has an edge; sectors numbered by their first injector."""
     labels = _component_labels(edges)
-    heads = labels.select("field", "label").distinct()
-    number = F.row_number().over(Window.partitionBy("field").orderBy("label"))
-    heads = heads.withColumn("sector", F.concat(F.lit("S"), number))
+    heads = _numbered(labels.select("field", "label").distinct())
     role = F.when(F.col("node").startswith("0"), "I").otherwise("P")
     return labels.join(heads, ["field", "label"]).select(
-        "field", F.substring("node", 2, 1 << 20).alias("entity"), role.alias("role"), "sector"
+        "field", F.substring("node", 2, 1 << 20).alias("entity"), role.alias("role"), F.concat(F.lit("S"), "number").alias("sector")
     )
 
 
@@ -127,9 +137,8 @@ def assign_isolated(entities: DataFrame, components: DataFrame, near: DataFrame
 
 def influence_scale(near: DataFrame, length: float, cutoff: float) -> DataFrame:
     """Decay length and cutoff per field as multiples of the median nearest distance, so that the number of pairs per
-    well does not depend on how densely a field is drilled.  The two roles of a converted well share one place and say
-    nothing about spacing, so zero distances are left out."""
-    med = cutoff_radius(near.where(F.col("d") > 0), 1.0)
+    well does not depend on how densely a field is drilled."""
+    med = cutoff_radius(near, 1.0).where(F.col("median_d") > 0)
     return med.select("field", (length * F.col("median_d")).alias("length"), (cutoff * F.col("median_d")).alias("cutoff"))
 
 

@@ -92,13 +92,3 @@ def pairs_within(a: DataFrame, b: DataFrame, radius: DataFrame) -> DataFrame:
     d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     near = left.join(right, ["field", "cx", "cy"]).withColumn("d", d)
     return near.where(F.col("d") <= F.col("r")).select("field", "a_id", "b_id", "d")
-
-
-def all_pairs_of_small(a: DataFrame, b: DataFrame, small: DataFrame) -> DataFrame:
-    """Every pair, only for the fields listed in ``small`` (fields of bounded size)."""
-    left = a.join(small.select("field"), "field", "left_semi").select(
-        "field", F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")
-    )
-    right = b.select("field", F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return left.join(right, "field").select("field", "a_id", "b_id", d.alias("d"))

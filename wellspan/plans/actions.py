@@ -18,7 +18,8 @@ def small_change(cur: Column, tgt: Column, cfg: Settings = DEFAULTS) -> Column:
 def ramp(moves: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
     """Add ``target`` (changes worth making), ``suppressed`` and ``weekly`` (rates after week 1, 2, ...).
 
-    moves: field, injector, rate_from, rate_to, confidence.  One fold per row; it stops growing at the target.
+    moves: field, injector, rate_from, rate_to, confidence; rates are not negative.  One fold per row over as many weeks as
+    the closed form allows: equal steps while the rate lies under the floor, then a constant factor up or down to the target.
     """
     cur = F.col("rate_from")
     m = moves.withColumn("suppressed", small_change(cur, F.col("rate_to"), cfg))
@@ -32,7 +33,11 @@ def ramp(moves: DataFrame, cfg: Settings = DEFAULTS) -> DataFrame:
         move = F.least(F.greatest(F.col("target") - x, -cap), cap)
         return F.when(F.abs(F.col("target") - x) < 1e-9, acc).otherwise(F.concat(acc, F.array(x + move)))
 
-    weeks = F.sequence(F.lit(1), F.lit(cfg.ramp_max_weeks))
+    low = F.greatest("rate_from", floor)
+    linear = F.ceil(F.greatest(floor - F.col("rate_from"), F.lit(0.0)) / (F.col("step_frac") * floor))
+    up = F.log(F.greatest(F.col("target") / low, F.lit(1.0))) / F.log1p("step_frac")
+    down = F.log(F.greatest(F.col("rate_from") / F.greatest("target", F.lit(1e-9)), F.lit(1.0))) / -F.log1p(-F.col("step_frac"))
+    weeks = F.sequence(F.lit(1), (linear + F.ceil(up) + F.ceil(down)).cast("int") + 2)
     return m.withColumn("weekly", F.aggregate(weeks, F.array().cast("array<double>"), week)).withColumn("weeks", F.size("weekly"))
 
 

@@ -206,7 +206,7 @@ def draw_candidates(bounds: DataFrame, n: int, seed: int, shrink: float | None =
     e = F.when(F.col("hi") > 0, -F.log(_uniform(F.lit(seed), F.col("cand"), F.col("injector")))).otherwise(0.0)
     b = b.withColumn("e", e)
     tot = b.groupBy("field", "cand").agg(F.sum("e").alias("te"))
-    b = b.join(tot, ["field", "cand"]).withColumn("x", F.least(F.col("e") / F.col("te") * F.col("total_water"), F.col("hi")))
+    b = b.join(tot, ["field", "cand"]).withColumn("x", F.least(F.coalesce(F.try_divide("e", "te"), F.lit(0.0)) * F.col("total_water"), F.col("hi")))
     room = b.groupBy("field", "cand").agg(F.sum("x").alias("sx"), F.sum(F.col("hi") - F.col("x")).alias("room"))
     b = b.join(room, ["field", "cand"])
     lift = F.when(F.col("room") > 0, (F.col("total_water") - F.col("sx")) / F.col("room")).otherwise(0.0)

@@ -70,7 +70,8 @@ def stream_cusum(stream: DataFrame, key: str, ts: str, value: str, scale: float,
             out.append((group[0], t, float(v), up, down))
         if ref is not None:
             state.update((ref, up, down, last))
-        yield pd.DataFrame(out, columns=["key", "ts", "value", "up", "down"])
+        if out:
+            yield pd.DataFrame(out, columns=["key", "ts", "value", "up", "down"])
 
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("value"))
     return rows.groupBy("key").applyInPandasWithState(step, CUSUM_OUT, CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)
