@@ -98,6 +98,18 @@ def test_rules(docs, nothing, rows):
     assert rules.ledger(nothing).count() == 0
 
 
+def test_lasso_meets_its_optimality_conditions():
+    random = np.random.default_rng(5)
+    fires = (random.random((200, 30)) < 0.3).astype(float)
+    fires[:, 15:] = fires[:, :15] * fires[:, [1]]
+    label, n = (random.random(200) < 1 / (1 + np.exp(1 - 3 * fires[:, 0]))).astype(float), random.integers(1, 50, 200).astype(float)
+    intercept, weights = quality.lasso_weights(fires, label, n, 0.01)
+    rest = n / n.sum() * (1 / (1 + np.exp(-(intercept + fires @ weights))) - label)
+    slope = fires.T @ rest
+    assert abs(rest.sum()) < 1e-6 and abs(slope).max() < 0.01 + 1e-6
+    assert abs(slope + 0.01 * np.sign(weights))[weights != 0].max() < 1e-6 and 0 < (weights != 0).sum() < 30
+
+
 def test_quality(spark, docs, nothing):
     r = random.Random(3)
     many = [(k, " ".join(("###" if k % 3 == 0 else "") + "w" + str(r.randint(0, 99)) for _ in range(40)), "x") for k in range(300)]

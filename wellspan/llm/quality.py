@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -69,7 +70,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit: Fit) -> DataFrame:
     if n > fit.sample:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * fit.sample / n))
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    return keep_table(statistics(chosen, "_label"))
+    return keep_table(statistics(chosen, "_label")).coalesce(2)  # at most the sample, so few tasks do for each step of the fit
 
 
 def tree_rules(model) -> list[tuple[tuple[int, bool, float], ...]]:
@@ -98,6 +99,29 @@ def rule_column(rule) -> Column:
     return whole.cast("double")
 
 
+def lasso_weights(fires: np.ndarray, label: np.ndarray, n: np.ndarray, penalty: float, tolerance: float = 1e-8) -> tuple[float, np.ndarray]:
+    """Intercept and weights of least mean logistic loss plus ``penalty`` times the sum of absolute weights.
+
+    A row of ``fires`` stands for ``n`` equal documents. Accelerated proximal steps, begun anew whenever the momentum points
+    uphill, until no number moves by more than ``tolerance`` times the largest.
+    """
+    x, share = np.hstack([np.ones((len(fires), 1)), fires]), n / n.sum()
+    step = 4 / np.linalg.norm(x * np.sqrt(share)[:, None], 2) ** 2
+    at = np.zeros(x.shape[1])
+    ahead, pace = at, 1.0
+    while True:
+        slope = x.T @ (share * (1 / (1 + np.exp(-np.clip(x @ ahead, -500, 500))) - label))
+        moved = ahead - step * slope
+        moved[1:] = np.sign(moved[1:]) * np.maximum(np.abs(moved[1:]) - step * penalty, 0)
+        change = moved - at
+        uphill = (ahead - moved) @ change > 0
+        if np.abs(change).max() <= tolerance * max(1.0, np.abs(moved).max()) and np.abs(ahead - moved).max() <= tolerance * max(1.0, np.abs(moved).max()):
+            return float(moved[0]), moved[1:]
+        faster = 1.0 if uphill else (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        ahead = moved if uphill else moved + (pace - 1) / faster * change
+        at, pace = moved, faster
+
+
 def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[float, list[tuple[tuple, float]]]:
     """(intercept, [(rule, weight)]) with the rules that the lasso keeps.
 
@@ -113,10 +137,10 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[float,
     rules = tree_rules(forest)
     if not rules:
         return math.log(prior / (1 - prior)), []
-    names = [f"_r{k}" for k in range(len(rules))]
-    facts = keep_table(VectorAssembler(inputCols=names, outputCol="_x").transform(rows.select("_label", *[rule_column(r).alias(x) for r, x in zip(rules, names)])).select("_label", "_x"))
-    lasso = LogisticRegression(labelCol="_label", featuresCol="_x", elasticNetParam=1.0, regParam=fit.lasso, standardization=False, maxIter=200).fit(facts)
-    return float(lasso.intercept), [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w]
+    facts = rows.groupBy(F.array(*[rule_column(r) for r in rules]).alias("fires"), "_label").agg(F.count("*").alias("n")).collect()  # at most the sample's rows
+    facts.sort()
+    intercept, weights = lasso_weights(np.array([f["fires"] for f in facts]), np.array([f["_label"] for f in facts]), np.array([f["n"] for f in facts], float), fit.lasso)
+    return intercept, [(r, float(w)) for r, w in zip(rules, weights) if w]
 
 
 def score_column(intercept: float, weighted: list[tuple[tuple, float]]) -> Column:
