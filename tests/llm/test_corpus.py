@@ -229,6 +229,18 @@ def test_contexts_reveal_identifiers(spark):
     assert "please write to <email> today" in {r["t"] for r in clean} and not any("user3" in r["t"] for r in clean)
 
 
+def test_contexts_reveal_identifiers_with_blanks(spark):
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "3000 0000 0000 04", "6011 0000 0000 0004", "4012 8888 8888 1881"]
+    known = [(k, f"please call me on +1 (212) 555-010{k} today") for k in range(10)] + [(20 + k, f"charge the card {c} now") for k, c in enumerate(cards)]
+    more = [(100, "please call me on 555 123 4567, today"), (101, "charge the card 1234 5678 9012 3456 now"), (102, "in all 555 123 4567 of them"), (103, "call me on 5551234568 10.0.0.1 12")]
+    got = by_id(pii.report(pii.found(spark.createDataFrame([*known, *more], "doc_id long, text string"))))
+    counts = lambda k: tuple(got[k][f"n_{kind}"] for kind in pii.KINDS)
+    assert {counts(k) for k in range(10)} == {(0, 0, 0, 1)} and {counts(20 + k) for k in range(6)} == {(0, 0, 1, 0)} and counts(103) == (0, 1, 0, 0)
+    assert got[100]["spans"] == "phone:18:31" and got[100]["n_phone"] == 0
+    assert got[101]["spans"] == "card:16:35" and got[101]["n_card"] == 0
+    assert got[102]["spans"] == "" and got[103]["spans"] == "phone:11:21,ip:22:30"
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     centre = r.normal(size=48)

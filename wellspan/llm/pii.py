@@ -19,10 +19,16 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be worth a scan.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A word with a digit or an at sign can be an identifier; the words before it are its context.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Shapes in which an identifier of a kind may be written where the context is sure.
-SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[^0-9]*[0-9]{1,3}([.:][0-9]{1,5}){3,4}[^0-9]*$", "card": r"^[^0-9]*[0-9]([.\x20-]?[0-9]){11,18}[^0-9]*$", "phone": r"^[^0-9]*[0-9]([().\x20-]{0,2}[0-9]){6,14}[^0-9]*$"}
+#: A word with a digit or an at sign can be an identifier, and so can a run of words of digits that it begins; no shape holds more
+#: than 19 digits, so at most 18 words join it. The words before it are its context.
+CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[(]?[0-9][().0-9-]*+[^\x20\x09-\x0D0-9A-Za-z@]*+(?![^\x20\x09-\x0D])){0,18}+"
+#: Shapes in which an identifier of a kind may be written where the context is sure: the most words from the first one on that fit.
+SHAPES = {
+    "email": r"^[^@\x20]+@[^@\x20]+(?![^\x20])",
+    "ip": r"^[^0-9\x20]*[0-9]{1,3}(?:[.:][0-9]{1,5}){3,4}[^0-9\x20]*(?![^\x20])",
+    "card": r"^[^0-9\x20]*[0-9](?:[.\x20-]?[0-9]){11,18}[^0-9\x20]*(?![^\x20])",
+    "phone": r"^[^0-9\x20]*[0-9](?:[().\x20-]{0,2}[0-9]){6,14}[^0-9\x20]*(?![^\x20])",
+}
 CONTEXT = 80  # characters before a candidate in which its context words are looked for
 
 
@@ -85,9 +91,9 @@ def passes(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    """(start, end, kind number) of the fixed pattern's matches that pass its test."""
-    number, shape = KINDS.index(kind), "array<struct<start:int,end:int,kind:int>>"
-    found = F.transform(F.filter(located(text, PATTERNS[kind]), lambda m: passes(kind, m["value"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind")))
+    """(start, end, kind number, value) of the fixed pattern's matches that pass its test."""
+    number, shape = KINDS.index(kind), "array<struct<start:int,end:int,kind:int,value:string>>"
+    found = F.transform(F.filter(located(text, PATTERNS[kind]), lambda m: passes(kind, m["value"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind"), m["value"].alias("value")))
     worth = text.contains("@") if kind == "email" else text.rlike(HINTS[kind])
     return F.when(worth, found.cast(shape)).otherwise(F.array().cast(shape))
 
@@ -99,7 +105,7 @@ def context(before: Column) -> Column:
 
 
 def scanned(docs: DataFrame, *carry: str) -> DataFrame:
-    """One row for each document: its base spans, and candidates (start, end, value, context, kind of the base span they meet)."""
+    """One row for each document: its base spans with their values, and candidates (start, end, value, context)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.array_sort(F.concat(*[base_spans(text, k) for k in KINDS]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     first = docs.select("doc_id", *carry, text.alias("_text"), base.alias("base"))
@@ -110,28 +116,48 @@ def scanned(docs: DataFrame, *carry: str) -> DataFrame:
     return keep_table(rows.withColumn("_row", F.monotonically_increasing_id()))
 
 
-def revealed(rows: DataFrame, how: Bootstrap) -> DataFrame:
+def instances(rows: DataFrame) -> DataFrame:
+    """(_row, start, context, value, kind) of all places with a context; the kind is null for what no fixed pattern knows.
+
+    A base span is one instance with its whole text as value, blanks included, and the words before its first word as
+    context; a span that begins inside an earlier one is the same place. Other candidates end before the first base span.
+    """
+    spots = rows.filter(F.size("candidates") > 0).select("_row", "base", F.explode("candidates").alias("c")).filter("c.context is not null")
+    met = F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start")))
+    spots = spots.select("_row", "c.*", met.alias("met"))
+    word_end = F.col("start") + F.length(F.substring_index("value", " ", 1))
+    fresh = lambda b: (b["start"] >= F.col("start")) & (b["start"] < word_end) & ~F.exists("met", lambda o: (o["start"] < b["start"]) & (o["end"] > b["start"]))
+    known = F.transform(F.filter("met", fresh), lambda b: F.struct(b["start"].alias("start"), b["value"].alias("value"), b["kind"].alias("kind")))
+    free = F.substring(F.col("value"), F.lit(1), F.coalesce(F.get("met", 0)["start"] - F.col("start"), F.length("value")))  # met is in order of start
+    free = F.when(F.size("met") == 0, free).otherwise(F.regexp_replace(free, r"\x20[^\x20]*$", ""))
+    other = F.array(F.struct("start", free.alias("value"), F.lit(None).cast("int").alias("kind")))
+    shape = "array<struct<start:int,value:string,kind:int>>"
+    places = F.when(F.exists("met", lambda b: b["start"] < word_end), known.cast(shape)).otherwise(other.cast(shape))
+    return spots.select("_row", "context", F.explode(places).alias("p")).select("_row", "context", "p.*")
+
+
+def reach(value: Column, kind: Column) -> Column:
+    """Code points of the value, from its start, that have the shape of the kind; 0 if none."""
+    return F.element_at(F.array(*[F.length(F.regexp_extract(value, SHAPES[k], 0)) for k in KINDS]), kind + 1)
+
+
+def revealed(places: DataFrame, how: Bootstrap) -> DataFrame:
     """(context, value, kind) of candidates that trusted contexts reveal beyond the fixed patterns.
 
     The graph has contexts on one side and values on the other, one edge for each distinct meeting. In each round a
     context's confidence for a kind is the share of known values of that kind among all its values; values of a fitting shape
     beside a believed context become known, and the next round scores with them. Known values only grow, so it ends.
     """
-    one = rows.filter(F.size("candidates") > 0).select("base", F.explode("candidates").alias("c")).select(
-        "c.context", "c.value", F.filter("base", lambda b: (b["start"] < F.col("c.end")) & (b["end"] > F.col("c.start"))).alias("met")
-    )
-    edges = keep_table(
-        one.filter("context is not null").groupBy("context", "value").agg(F.max(F.when(F.size("met") > 0, F.get("met", 0)["kind"])).alias("kind"))
-    )
+    edges = keep_table(places.groupBy("context", "value").agg(F.max("kind").alias("kind")))
     known = keep_table(edges.filter("kind is not null").select("value", "kind").distinct())
     seeds = known.count()
+    fits = reach(F.col("value"), F.col("kind")) > 0
     while True:
         scored = edges.select("context", "value").join(known, "value", "left").groupBy("context").agg(
             F.countDistinct("value").alias("every"), *[F.countDistinct(F.when(F.col("kind") == k, F.col("value"))).alias(f"k{k}") for k in range(len(KINDS))]
         )
         each = scored.select("context", "every", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("n")) for k in range(len(KINDS))])).alias("s")).select("context", "every", "s.*")
         believed = keep_table(each.filter((F.col("n") >= how.support) & (F.col("n") >= how.confidence * F.col("every"))).select("context", "kind"))
-        fits = F.element_at(F.array(*[F.col("value").rlike(SHAPES[k]) for k in KINDS]), F.col("kind") + 1)
         fresh = edges.filter("kind is null").select("context", "value").join(believed, "context").filter(fits).select("value", "kind")
         known = keep_table(known.unionByName(fresh).distinct())
         now = known.count()
@@ -148,11 +174,13 @@ def found(docs: DataFrame, how: Bootstrap = Bootstrap(), *carry: str) -> DataFra
     code points, ends exclusive. ``carry`` names columns of ``docs`` to keep; all others are ignored.
     """
     rows = scanned(docs, *carry)
-    new = revealed(rows, how)
-    spots = rows.filter(F.size("candidates") > 0).select("_row", F.explode("candidates").alias("c")).select("_row", "c.*").filter("context is not null")
-    added = keep_table(spots.join(new, ["context", "value"]).groupBy("_row").agg(F.collect_list(F.struct("start", "end", "kind")).alias("added")))
-    whole = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int>>"))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    return rows.join(added, "_row", "left").select("doc_id", *carry, "base", whole.alias("spans"))
+    places = keep_table(instances(rows))
+    new = revealed(places, how)
+    span = F.struct("start", (F.col("start") + reach(F.col("value"), F.col("kind"))).alias("end"), "kind")
+    added = keep_table(places.filter("kind is null").drop("kind").join(new, ["context", "value"]).groupBy("_row").agg(F.collect_list(span).alias("added")))
+    base = F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["kind"].alias("kind")))
+    whole = F.array_sort(F.concat(base, F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int>>"))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    return rows.join(added, "_row", "left").select("doc_id", *carry, base.alias("base"), whole.alias("spans"))
 
 
 def digest(spans: Column) -> Column:
@@ -162,7 +190,8 @@ def digest(spans: Column) -> Column:
 
 def report(rows: DataFrame) -> DataFrame:
     """Counts of base spans by kind, the digest of the base spans and the list of all spans."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)  # noqa: E731  a second argument of the inner one would be the place in the list
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
