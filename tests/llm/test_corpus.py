@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
@@ -195,6 +196,21 @@ def test_repeats(docs, nothing, rows):
     assert got[None]["n_removed"] == 0 and repeats.without_repeats(nothing).count() == 0
 
 
+def test_crowded_names_are_dealt(docs, rows):
+    r = random.Random(3)
+    noise = lambda: "".join(r.choice("abcdefgh ") for _ in range(150)).encode()
+    texts = [noise() + PASSAGE.encode() + noise() for _ in range(60)]
+    facts = (list(range(60)), texts, *(lambda f: (f[:4], *np.unique(f[4], return_counts=True)))(repeats.fragments_of(texts)))
+    asked = pd.DataFrame({"block": ["x"], "bucket": [0], "values": [repeats.pack64(facts[3])], "places": [repeats.pack_counts(facts[4])]})
+    groups = lambda crowd: repeats.chosen_fragments(facts, repeats.repeated_values(crowd)(asked), 1)
+    names = lambda crowd: Counter(v for part in groups(crowd).values() for v, _ in part.values() if v is not None)
+    assert max(names(10**6).values()) > 40 and max(names(40).values(), default=0) <= 40
+    assert len(groups(40)) > 4 and max(len(p) for b, p in groups(40).items() if b) < 0.5 * sum(len(p) for p in groups(40).values())
+    whole = {(x["doc_id"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in repeats.without_repeats(docs).collect()}
+    dealt = repeats.without_repeats(docs, crowd=1).collect()
+    assert len(dealt) == len(rows) and {(x["doc_id"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in dealt} == whole
+
+
 def test_maximal_repeats():
     found = {(n, len(p)) for n, p in repeats.maximal_repeats([b"xabcabcdy", b"zabcdw"], 3)}
     assert found == {(4, 2), (3, 3)}

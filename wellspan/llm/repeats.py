@@ -21,6 +21,8 @@ LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1
 #: Bytes of text in a block (a longer document is one of its own), hashed at once, and for each bucket of hashes.
 BLOCK, BATCH, BUCKET_BYTES = 16_000_000, 2_000_000, 2_000_000
+#: A name with more places than this in all texts is crowded: its windows are compared one by one, dealt to this many times the buckets.
+CROWD, DEALT = 20_000, 8
 
 
 def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -67,7 +69,7 @@ def fragments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 @lru_cache(maxsize=2)
 def block_facts(payload: bytes):
-    """(ids, texts, fragments, sorted distinct values, whether the block has the value at two places) of a block."""
+    """(ids, texts, fragments, sorted distinct values, number of places of each in the block) of a block."""
     ids, joined, lengths = pickle.loads(zstandard.decompress(payload))
     ends = np.cumsum(lengths).tolist()
     texts = [joined[e - n : e] for e, n in zip(ends, lengths)]
@@ -83,7 +85,7 @@ def block_facts(payload: bytes):
         first = last
     fragments = tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     values, counts = np.unique(np.concatenate(places) if places else np.zeros(0, np.uint64), return_counts=True)
-    return ids, texts, fragments, values, counts > 1
+    return ids, texts, fragments, values, counts
 
 
 def pack64(sorted_values: np.ndarray) -> bytes:
@@ -96,6 +98,15 @@ def unpack64(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
+
+
 def bucket_of(values: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
 
@@ -127,45 +138,77 @@ def asked_values(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                *_, values, twice = block_facts(payload)
+                *_, values, places = block_facts(payload)
                 bucket = bucket_of(values, n_buckets)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                rows = [(block, int(bucket[a]), pack64(values[a:b]), np.packbits(twice[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(values)])]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["block", "bucket", "values", "twice"])
+                rows = [(block, int(bucket[a]), pack64(values[a:b]), pack_counts(places[a:b])) for a, b in zip(cuts, [*cuts[1:], len(values)])]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["block", "bucket", "values", "places"])
 
     return run
 
 
-def repeated_values(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one bucket of hashes: which of each block's values stand at two places or more of all texts."""
-    lists = [unpack64(v) for v in rows["values"]]
-    twice = [v[np.unpackbits(np.frombuffer(t, np.uint8), count=len(v)).astype(bool)] for v, t in zip(lists, rows["twice"])]
-    every, counts = np.unique(np.concatenate([*lists, *twice]), return_counts=True)
-    often = every[counts > 1]
-    return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "hits": [np.packbits(np.isin(v, often, assume_unique=True)).tobytes() for v in lists]})
+def repeated_values(crowd: int):
+    """For one bucket of hashes: which of each block's values stand at two places or more of all texts, and which are crowded."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = [unpack64(v) for v in rows["values"]]
+        every, which = np.unique(np.concatenate(lists), return_inverse=True)
+        places = np.bincount(which, weights=np.concatenate([unpack_counts(c) for c in rows["places"]]))
+        ends = np.cumsum([len(v) for v in lists])[:-1]
+        marks = lambda least: [np.packbits(x).tobytes() for x in np.split((places > least)[which], ends)]
+        return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "hits": marks(1), "crowded": marks(crowd)})
 
-def chosen_fragments(facts, replies: pd.DataFrame, n_buckets: int) -> dict[int, dict[bytes, tuple]]:
-    """By bucket the distinct contents of the block's fragments that may repeat: content -> (value, least (id, start))."""
-    ids, texts, (value, text, start, count), values, _ = facts
+    return run
+
+
+def replied(facts, replies: pd.DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fragment of the block whether its value is repeated, and whether it is crowded."""
+    *_, (value, _, _, _), values, _ = facts
     bucket = bucket_of(values, n_buckets)
-    hit = np.zeros(len(values), bool)
-    for b, hits in zip(replies["bucket"], replies["hits"]):
+    marks = np.zeros((2, len(values)), bool)
+    for b, *both in zip(replies["bucket"], replies["hits"], replies["crowded"]):
         at = np.searchsorted(bucket, [b, b + 1])
-        hit[at[0] : at[1]] = np.unpackbits(np.frombuffer(hits, np.uint8), count=at[1] - at[0])
-    keep = np.flatnonzero(hit[np.searchsorted(values, value)]) if len(values) else []
+        for mark, bits in zip(marks, both):
+            mark[at[0] : at[1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[1] - at[0])
+    here = np.searchsorted(values, value)
+    return marks[0][here], marks[1][here]
+
+
+def chosen_fragments(facts, replies: pd.DataFrame, n_buckets: int) -> dict[int, dict[bytes, tuple]]:
+    """By bucket the distinct contents of the block's fragments that may repeat: content -> (value, least (id, start)).
+
+    Fragments of crowded values have as many contents as documents, in one bucket. Their windows stand for them, dealt by
+    digest to buckets of their own: digest -> (None, least (id, start)), one for each block and window.
+    """
+    ids, texts, (value, text, start, count), *_ = facts
+    hit, crowded = replied(facts, replies, n_buckets)
+    keep = np.flatnonzero(hit)
     found: dict[int, dict[bytes, tuple]] = {}
-    for v, t, s, n in zip(value[keep].tolist(), text[keep].tolist(), start[keep].tolist(), count[keep].tolist()):
+    for v, t, s, n, crowd in zip(*(x[keep].tolist() for x in (value, text, start, count, crowded))):
         if ids[t] is None:
             continue
-        content = texts[t][s : s + n + LENGTH - 1]
-        part = found.setdefault((v >> 32) * n_buckets >> 32, {})
-        now = part.get(content)
-        if now is None or (ids[t], s) < now[1]:
-            part[content] = (v, (ids[t], s))
+        if crowd:
+            named = [(n_buckets + int.from_bytes(d[:4]) % (DEALT * n_buckets), d, None, k) for k, d in enumerate(digests(texts[t], s, n), s)]
+        else:
+            named = [((v >> 32) * n_buckets >> 32, texts[t][s : s + n + LENGTH - 1], v, s)]
+        for bucket, content, name, at in named:
+            part = found.setdefault(bucket, {})
+            now = part.get(content)
+            if now is None or (ids[t], at) < now[1]:
+                part[content] = (name, (ids[t], at))
     return found
 
 
+def digests(raw: bytes, start: int, count: int) -> list[bytes]:
+    """128-bit digests of ``count`` windows from ``start`` on."""
+    return [hashlib.blake2b(raw[k : k + LENGTH], digest_size=16).digest() for k in range(start, start + count)]
+
+
+def windows_in(value: int | None, content: bytes) -> int:
+    """Windows that a content stands for: one if it is a digest."""
+    return 1 if value is None else len(content) - LENGTH + 1
+
+
 def send_fragments(n_buckets: int):
     def run(key: tuple, block: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -296,14 +339,15 @@ def repeats_inside(content: bytes) -> bool:
 
 
 def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-    """For one bucket: which windows of each block's fragments also start earlier."""
+    """For one bucket: which windows of each block's fragments also start earlier. A bucket of digests has one place for each block and window."""
     sent = [pickle.loads(zlib.decompress(f)) for f in rows["fragments"]]
     first: dict[bytes, tuple] = {}
     by_value: dict[int, list[bytes]] = {}
     for part in sent:
         for value, where, content in part:
             if content not in first:
-                by_value.setdefault(value, []).append(content)
+                if value is not None:
+                    by_value.setdefault(value, []).append(content)
                 first[content] = where
             elif where < first[content]:
                 first[content] = where
@@ -314,8 +358,8 @@ def resolve(rows: pd.DataFrame) -> pd.DataFrame:
     answers = []
     for part in sent:
         masks = []
-        for _, where, content in part:
-            n = len(content) - LENGTH + 1
+        for value, where, content in part:
+            n = windows_in(value, content)
             masks.append(np.ones(n, bool) if where != first[content] else dup.get(content, np.zeros(n, bool)))
         answers.append(zlib.compress(np.packbits(np.concatenate(masks)).tobytes(), 1))
     return pd.DataFrame({"block": rows["block"], "bucket": rows["bucket"], "hits": answers})
@@ -334,19 +378,24 @@ def cut_out(n_buckets: int, with_text: bool):
             masks: dict[bytes, np.ndarray] = {}
             for bucket, hits in zip(second["bucket"], second["hits"]):
                 flat, at = np.unpackbits(np.frombuffer(zlib.decompress(hits), np.uint8)).astype(bool), 0
-                for content in chosen[bucket]:
-                    n = len(content) - LENGTH + 1
+                for content, (v, _) in chosen[bucket].items():
+                    n = windows_in(v, content)
                     masks[content] = flat[at : at + n]
                     at += n
             where = {content: w for part in chosen.values() for content, (_, w) in part.items()}
             marked: dict[int, list[tuple[int, np.ndarray | None, int]]] = {}
-            hit_values = np.array(sorted({v for part in chosen.values() for v, _ in part.values()}), np.uint64)
-            for k in np.flatnonzero(np.isin(value, hit_values)).tolist():
+            hit, crowded = replied(facts, first_round, n_buckets)
+            for k in np.flatnonzero(hit).tolist():
                 t, s, n = int(text[k]), int(start[k]), int(count[k])
                 if ids[t] is None:
                     continue
-                content = texts[t][s : s + n + LENGTH - 1]
-                marked.setdefault(t, []).append((s, masks[content] if where[content] == (ids[t], s) else None, n))
+                if crowded[k]:
+                    names = digests(texts[t], s, n)
+                    mask = np.array([masks[d][0] or where[d] != (ids[t], at) for at, d in enumerate(names, s)])
+                else:
+                    content = texts[t][s : s + n + LENGTH - 1]
+                    mask = masks[content] if where[content] == (ids[t], s) else None
+                marked.setdefault(t, []).append((s, mask, n))
             for t, (name, raw) in enumerate(zip(ids, texts)):
                 gone = 0
                 spans, left = 0, raw
@@ -371,13 +420,14 @@ def cut_out(n_buckets: int, with_text: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, with_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """Remove every byte inside a 100-byte string that also starts earlier: in a smaller doc_id, or earlier in the same text.
 
     Every window of 100 bytes is named by its least gram hash. 1. Blocks of documents ask, by hash, which names occur twice.
     2. Only runs of windows with such names travel, each distinct content once for a block; where one name has several
-    contents, a suffix array with its interval tree finds the maximal repeats and all their places. 3. Answers return to
-    the blocks. The blocks' texts are shuffled once, compressed, and all readers share that exchange. Returns doc_id, n_bytes,
+    contents, a suffix array with its interval tree finds the maximal repeats and all their places. A name at more than ``crowd``
+    places is not one group: 128-bit digests of its windows travel, one for each block, and are dealt to many tasks. 3. Answers
+    return to the blocks. The blocks' texts are shuffled once, compressed, and all readers share that exchange. Returns doc_id, n_bytes,
     n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept.
 
     Null and empty texts and texts below 100 bytes lose nothing. A null doc_id has no order: its text is left whole and is nobody's
@@ -388,11 +438,11 @@ def without_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = 1 + int(total // BUCKET_BYTES)
     blocks = pack_blocks(docs).repartition("block")
-    asked = blocks.mapInArrow(asked_values(n_buckets), "block string, bucket int, values binary, twice binary")
-    hits = asked.groupBy("bucket").applyInPandas(repeated_values, "block string, bucket int, hits binary")
+    asked = blocks.mapInArrow(asked_values(n_buckets), "block string, bucket int, values binary, places binary")
+    hits = asked.groupBy("bucket").applyInPandas(repeated_values(crowd), "block string, bucket int, hits binary, crowded binary")
     sent = blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(send_fragments(n_buckets), "block string, bucket int, fragments binary")
     answers = sent.groupBy("bucket").applyInPandas(resolve, "block string, bucket int, hits binary")
-    replies = hits.withColumn("resolved", F.lit(False)).unionByName(answers.withColumn("resolved", F.lit(True)))
+    replies = hits.withColumn("resolved", F.lit(False)).unionByName(answers.withColumn("resolved", F.lit(True)), allowMissingColumns=True)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(cut_out(n_buckets, with_text), schema)
