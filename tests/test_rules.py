@@ -122,3 +122,29 @@ def test_jdbc_guards():
     opts = jdbc.Connection("postgresql", "jdbc:postgresql://h/db", "u", "p").as_options()
     assert opts["driver"] == "org.postgresql.Driver" and opts["user"] == "u"
     assert jdbc.Split("id", "0", "9", 4).as_options()["numPartitions"] == "4"
+
+
+def test_plan_search_ends_without_gain(spark, monkeypatch):
+    from wellspan.plans import scenarios
+
+    b = spark.createDataFrame([(f, i, 0.0, 10.0, 12.0) for f in ("A", "B") for i in ("1", "2", "3")], "field string, injector string, lo double, hi double, total_water double")
+    current = b.select("field", "injector", F.lit(4.0).alias("rate"))
+    marginal = b.select("field", "injector", F.lit(1.0).alias("marginal"))
+    aim = F.when(F.col("field") == "A", F.when(F.col("injector") == "1", 7.3).otherwise(2.35)).otherwise(4.0)
+    value = lambda plans, *_: plans.groupBy("field", "plan").agg((-F.sum(F.pow(F.col("rate") - aim, 2))).alias("cum_oil")).withColumn("member", F.lit(0))
+    monkeypatch.setattr(scenarios, "evaluate_plans", value)
+    rounds, pick = [], scenarios.pick_plan
+
+    def seen(*args):
+        out = pick(*args).cache()
+        rounds.append({r["field"]: r["value"] for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(scenarios, "pick_plan", seen)
+    best = {r["field"]: r["value"] for r in scenarios.plan_search(b, current, marginal, None, None, None, None, keep=lambda d: d.localCheckpoint()).collect()}
+    last = {}
+    for k, now in enumerate(rounds):
+        gained = {f for f in now if f not in last or now[f] > last[f]}
+        assert bool(gained) == (k < len(rounds) - 1) and (k + 1 == len(rounds) or set(rounds[k + 1]) == gained)
+        last |= now
+    assert best == last and len(rounds) > 3

@@ -323,7 +323,7 @@ def _(t):
 @query("plan_search")
 def _(t):
     best = scenarios.plan_search(
-        bounds(t), current(t), marginal(t), stages.member_pairs(t), g_end(t), state(t), calendar(t), draws=6, rounds=2, keep=cut_lineage
+        bounds(t), current(t), marginal(t), stages.member_pairs(t), g_end(t), state(t), calendar(t), keep=cut_lineage
     )
     return best.select("field", "plan", "injector", "rate", "value")
 
@@ -337,7 +337,7 @@ def _(t):
     spread = lambda d: keyed(d.withColumn("fraction", fr)).drop("fraction")
     cur = keyed(current(t).withColumn("fraction", fr)).select("field", "injector", (F.col("rate") * F.col("fraction")).alias("rate"))
     best = scenarios.plan_search(
-        b, cut_lineage(cur), spread(marginal(t)), spread(stages.member_pairs(t)), spread(g_end(t)), spread(state(t)), spread(calendar(t)), draws=4, rounds=1, keep=cut_lineage
+        b, cut_lineage(cur), spread(marginal(t)), spread(stages.member_pairs(t)), spread(g_end(t)), spread(state(t)), spread(calendar(t)), keep=cut_lineage
     )
     v = best.groupBy("field").agg(F.max("value").alias("value"), F.sum("rate").alias("total_water"))
     v = v.select(F.split("field", r"\|")[0].alias("field"), F.split("field", r"\|")[1].cast("double").alias("fraction"), "value", "total_water")

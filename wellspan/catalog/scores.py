@@ -399,7 +399,7 @@ def _(t):
     m = stages.pairs(t).select("field", "injector", "producer").join(b.select(*keys), "field")
     n = (F.col("step_to") - F.col("step_from")).cast("int")
     nt = b.select(*keys, (n - n_blind(n)).alias("n_train"))
-    f = fit.fit_producer_grid(p, i, m, nt, keys, refine=False)
+    f = fit.fit_producer_grid(p, i, m, nt, keys, keep=cut_lineage)
     return f.select(*keys, "producer", "tau", F.size("injectors").alias("n_injectors"), "sse")
 
 

@@ -272,7 +272,7 @@ def best_tau(solved: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def fit_producer_grid(
     prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None,
-    cfg: Settings = DEFAULTS, freeze: bool = True, keep=None, refine: bool = True,
+    cfg: Settings = DEFAULTS, freeze: bool = True, keep=None,
 ) -> DataFrame:
     """Best time constant and couplings per producer: keys, producer, tau, injectors, f, sse.
 
@@ -280,8 +280,6 @@ def fit_producer_grid(
     """
     ks = keys or ["field"]
     best = best_tau(solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze), ks), ks)
-    if not refine:
-        return best
     best = (keep or (lambda d: d))(best)
     taus = refined_taus(best, tau_bounds(prod, ks, cfg), ks, cfg)
     fine = solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze, taus), ks)
@@ -391,7 +389,7 @@ def fit_aquifer_grid(
     reach = mask.select("field", "injector", "producer").unionByName(
         prod.select("field", F.lit(AQUIFER_ID).alias("injector"), "producer").distinct()
     ).join(ids, "field")
-    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg, refine=False)
+    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg, keep=keep)
     fit = (keep or (lambda d: d))(fit)
     f = couplings(fit, keys)
     rows = f.groupBy(*keys, "injector").agg(F.sum("f").alias("s"))

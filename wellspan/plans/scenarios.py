@@ -236,19 +236,28 @@ def pick_plan(totals: DataFrame, posture: str, cfg: Settings = DEFAULTS) -> Data
 
 def plan_search(
     bounds: DataFrame, current: DataFrame, marginal: DataFrame, pairs: DataFrame, g: DataFrame, state: DataFrame, cal: DataFrame,
-    posture: str = "balanced", draws: int = 8, rounds: int = 3, keep=None, cfg: Settings = DEFAULTS,
+    posture: str = "balanced", draws: int = 8, keep=None, cfg: Settings = DEFAULTS,
 ) -> DataFrame:
-    """Best allocation found: field, plan, injector, rate, value.  Each round draws around the best so far, closer."""
+    """Best allocation found: field, plan, injector, rate, value.
+
+    Each round draws around the best so far, closer.  A field is done when a round brings it no gain beyond rounding (1e-9 of
+    its value); draws that have come so close that they equal the best bring none, so the search ends.
+    """
     keep = keep or (lambda d: d)
     named = lambda df, name: df.select("field", F.lit(name).alias("plan"), "injector", "rate")
     plans = named(current, "base").unionByName(named(greedy_fill(bounds, marginal), "greedy"))
-    plans = plans.unionByName(draw_candidates(bounds, draws, 0))
-    best = None
-    for r in range(rounds):
-        if r:
-            around = draw_candidates(bounds, draws, r, 0.5**r, best)
-            plans = named(current, "base").unionByName(best.select("field", "plan", "injector", "rate")).unionByName(around).dropDuplicates(["field", "plan", "injector"])
-        plans = keep(plans)
+    plans = keep(plans.unionByName(draw_candidates(bounds, draws, 0)))
+    best = keep(plans.join(pick_plan(evaluate_plans(plans, pairs, g, state, cal), posture, cfg), ["field", "plan"]))
+    open_, r = best, 0
+    while True:
+        r += 1
+        around = draw_candidates(bounds.join(open_.select("field").distinct(), "field", "left_semi"), draws, r, 0.5**r, open_)
+        own = named(current, "base").join(open_.select("field").distinct(), "field", "left_semi").unionByName(open_.select("field", "plan", "injector", "rate"))
+        plans = keep(own.unionByName(around).dropDuplicates(["field", "plan", "injector"]))
         won = pick_plan(evaluate_plans(plans, pairs, g, state, cal), posture, cfg)
-        best = keep(plans.join(won, ["field", "plan"]))
+        before = open_.groupBy("field").agg(F.max("value").alias("before"))
+        open_ = keep(plans.join(won.join(before, "field").where(F.col("value") > F.col("before") + 1e-9 * F.abs("before")).drop("before"), ["field", "plan"]))
+        if open_.isEmpty():
+            break
+        best = keep(best.join(open_.select("field").distinct(), "field", "left_anti").unionByName(open_, allowMissingColumns=True))
     return best
