@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wellspan.llm import bpe, counting, jaccard, mixing, pii, quality, repeats, rules, sharding, vectors
+from wellspan.llm import align, bpe, counting, decontaminate, jaccard, mixing, phrases, pii, quality, repeats, rules, sharding, vectors
 from wellspan.llm.common import read
 
 
@@ -51,10 +51,23 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.linked(read(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest")
+
+
+def op13_shard_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_bootstrapped_pii, op2_quality_rules_ensemble, op3_prefix_tree_join, op4_feistel_shards, op5_rule_ledger, op6_bpe_round_trip, op7_suffix_array_repeats, op8_token_counts, op9_source_mix, op10_cross_polytope,
+        op11_token_alignment, op12_suffix_decontamination, op13_shard_phrases,
     )
 }
-ORACLE: dict[str, str] = {"op9_source_mix": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {"op9_source_mix": mixing.MIX_SQL, "op12_suffix_decontamination": decontaminate.REPORT_SQL, "op13_shard_phrases": phrases.COLLOCATIONS_SQL}
