@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import pickle
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from wellspan.llm.bpe import pack, unpack
+from wellspan.llm.bpe import pack, splitter, unpack
 from wellspan.llm.common import keep_table
 
 #: Characters of text in a block and encoded at once (a longer text is one of its own), and entries of a product made at once.
@@ -102,11 +105,54 @@ def group_links(a_ids: np.ndarray, a_groups: np.ndarray, b_ids: np.ndarray, b_gr
         yield ga[row], ia[row], id_b, links
 
 
+#: Characters that both regular expression engines class alike; a text with others is cut into words by the tokenizer itself.
+CLASSED = re.compile("[^\x00-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
+#: Words remembered by a worker.
+REMEMBERED = 1_000_000
+
+
+class Encoder:
+    """Ids of texts behind one space as bytes of 32-bit numbers, None where the ids' bytes are not the text's.
+
+    ``whole`` encodes a list of strings that begin with a space or stand where a text was cut, ``table`` has the bytes of each id, and ``cut``
+    gives the parts of a text between which the tokenizer never merges, or None. Each distinct part is encoded once.
+    """
+
+    def __init__(self, whole, table: list[bytes], cut):
+        self.whole, self.table, self.cut, self.known = whole, table, cut, {}
+
+    def exact(self, texts: list[str]) -> list[bytes | None]:
+        table = self.table
+        return [array("I", ids).tobytes() if b"".join([table[i] for i in ids]) == text.encode() else None for text, ids in zip(texts, self.whole(texts))]
+
+    def __call__(self, texts: list[str]) -> list[bytes | None]:
+        texts = [" " + t for t in texts]
+        parts = [self.cut(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list({w for ws in parts if ws for w in ws if w not in known})
+        known.update(zip(new, self.exact(new)))
+        rest = iter(self.exact([t for t, ws in zip(texts, parts) if ws is None]))
+        out = []
+        for ws in parts:
+            if ws is None:
+                out.append(next(rest))
+            else:
+                try:
+                    out.append(b"".join([known[w] for w in ws]))
+                except TypeError:  # a part is None
+                    out.append(None)
+        return out
+
+
 @lru_cache(maxsize=2)
-def first_tokenizer(path: str):
-    """(encoder of a list of texts, bytes of each id) of a byte-level tokenizers file; special strings are plain text."""
+def first_tokenizer(path: str) -> Encoder:
+    """The encoder of a byte-level tokenizers file; special strings are plain text, and merges stay inside words."""
     import os
 
+    import public_tokenizers
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -118,17 +164,27 @@ def first_tokenizer(path: str):
     table = [b""] * (max(tokenizer.get_vocab().values()) + 1)
     for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
         table[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-    return lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], table
+    stages = json.loads(tokenizer.to_str())
+    by_word = stages["normalizer"] is None and (stages["pre_tokenizer"] or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
+    words = splitter(public_tokenizers.PATTERN)
+    whole = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return Encoder(whole, table, lambda text: words(text) if by_word and not CLASSED.search(text) else None)
 
 
 @lru_cache(maxsize=2)
-def second_tokenizer(path: str):
-    """The same for a sentencepiece model; U+2581 in a piece is a space, a byte piece its byte."""
+def second_tokenizer(path: str) -> Encoder:
+    """The encoder of a sentencepiece model; U+2581 in a piece is a space, a byte piece its byte. The model adds the first space.
+
+    Where no piece has a space behind another character, nothing is merged over the border before a space.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    piece = lambda k: bytes([int(model.id_to_piece(k)[3:5], 16)]) if model.is_byte(k) else model.id_to_piece(k).replace("▁", " ").encode()
-    return lambda texts: model.encode(texts, num_threads=1), [piece(k) for k in range(model.get_piece_size())]
+    pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
+    table = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
+    by_word = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
+    words = re.compile(" +[^ ]*").findall
+    return Encoder(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), table, words if by_word else lambda text: None)
 
 
 def in_batches(texts: list[str | None]) -> Iterator[list[int]]:
@@ -162,20 +218,15 @@ class Aligned:
 
 def aligned(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Aligned]:
     """The texts that both tokenizers give back byte for byte behind one space, aligned batch by batch."""
-    encode_a, bytes_a = first_tokenizer(a_path)
-    encode_b, bytes_b = second_tokenizer(b_path)
-    size_a, size_b = (np.array([len(x) for x in t], np.int64) for t in (bytes_a, bytes_b))
+    encode_a, encode_b = first_tokenizer(a_path), second_tokenizer(b_path)
+    size_a, size_b = (np.array([len(x) for x in e.table], np.int64) for e in (encode_a, encode_b))
     for part in in_batches(texts):
         raw = [texts[k] for k in part]
-        kept = []
-        for k, text, a, b in zip(part, raw, encode_a([" " + t for t in raw]), encode_b(raw)):
-            whole = (" " + text).encode()
-            if b"".join([bytes_a[i] for i in a]) == whole and b"".join([bytes_b[i] for i in b]) == whole:
-                kept.append((k, a, b))
+        kept = [(k, a, b) for k, a, b in zip(part, encode_a(raw), encode_b(raw)) if a is not None and b is not None]
         if not kept:
             continue
-        a_ids, b_ids = (np.array([i for x in kept for i in x[side]], np.int64) for side in (1, 2))
-        a_text, b_text = (np.repeat(np.arange(len(kept)), [len(x[side]) for x in kept]) for side in (1, 2))
+        a_ids, b_ids = (np.frombuffer(b"".join([x[side] for x in kept]), np.uint32).astype(np.int64) for side in (1, 2))
+        a_text, b_text = (np.repeat(np.arange(len(kept)), [len(x[side]) // 4 for x in kept]) for side in (1, 2))
         links = overlaps(size_a[a_ids], size_b[b_ids])
         yield Aligned(np.array([x[0] for x in kept]), a_ids, b_ids, a_text, b_text, *groups(links[0], links[1], len(a_ids), len(b_ids)), links)
 
@@ -207,7 +258,7 @@ def block_rows(keys: list, texts: list[str | None], a_path: str, b_path: str) ->
     facts = np.zeros((len(texts), 4), np.int64)
     digests = [""] * len(texts)
     entries = []
-    n_ids = max(len(first_tokenizer(a_path)[1]), len(second_tokenizer(b_path)[1]))
+    n_ids = max(len(first_tokenizer(a_path).table), len(second_tokenizer(b_path).table))
     if n_ids > 1 << ID_BITS:
         raise ValueError(f"ids of {ID_BITS} bits at most, found {n_ids}")
     signs = id_signs(n_ids)
