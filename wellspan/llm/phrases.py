@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,9 @@ from wellspan.llm.shingles import WORDS, finalised, word_hashes
 #: Characters that end a piece of text, and what they become; a blank that is no space becomes one.
 PIECE_END = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(0x20 if c == 9 else 0x0A if c in PIECE_END else c for c in range(256))
-#: Bits of the table that names candidates (a sixteenth of a gigabit goes to every executor), and ranges it is put together in.
-TABLE_BITS, RANGE_BITS = 27, 19
+#: Bits of the tables that name candidates and frequent phrases (2^24 bytes go to every executor), of a range they are put together
+#: in, parts whose ranges meet at once, and of how many fragments one spells a phrase at first.
+TABLE_BITS, RANGE_BITS, PARTS, SPELLED = 27, 19, 256, 8
 
 
 @dataclass(frozen=True)
@@ -106,20 +108,26 @@ def merged(payloads: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return list(known), np.concatenate([np.append(x, 0) for x in parts])
 
 
-def hashes(lang: str, words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words by their number, mixed with the lang."""
-    own, _ = word_hashes([b"\n".join([lang.encode().hex().encode() + b".", *words]).decode()])
+def hashes(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words by their number, of unlike making and mixed with the lang; together they name a phrase by 96 bits."""
+    first = lang.encode().hex().encode() + b"."
+    own, _ = word_hashes([b"\n".join([first, *words]).decode()])
+    other = finalised(np.array([zlib.crc32(w) for w in (first, *words)], np.uint64))
     with np.errstate(over="ignore"):
-        return np.concatenate((own[:1], finalised(own[1:] * WORDS + own[0])))
+        return tuple(np.concatenate((x[:1], finalised(x[1:] * WORDS + x[0]))) for x in (own, other))
 
 
-def place_in_table(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def joined_hash(of_word: np.ndarray, seq: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the ``width`` words from each place."""
+    h = of_word[seq[at]]
+    with np.errstate(over="ignore"):
+        for k in range(1, width):
+            h = finalised(h * WORDS + of_word[seq[at + k]])
+    return h
 
 
-def next_hash(h: np.ndarray, ahead: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return finalised(h * WORDS + ahead)
+def place_in_table(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def has(table: np.ndarray, spot: np.ndarray) -> np.ndarray:
@@ -147,38 +155,90 @@ def levels(seq: np.ndarray, longest: int, least: int) -> Iterator[tuple[int, np.
 
 
 def mine(how: Mining):
-    """The candidates of one shard as places in the table, mined completely at its share of the support."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words, seq = merged(list(rows["fragment"]))
-        n, total = int(rows["n"].sum()), int(rows["total"].iloc[0])
-        least = max(1, -(-how.support * n // total)) if total else 1
-        of_word, spots = hashes(key[0], words), []
-        for width, at in levels(seq, how.longest, least):
-            h = of_word[seq[at]]
-            for k in range(1, width):
-                h = next_hash(h, of_word[seq[at + k]])
-            spots.append(place_in_table(h))
-        return pd.DataFrame({"spot": np.unique(np.concatenate(spots)).astype(np.int32) if spots else np.zeros(0, np.int32)})
+    """The candidates of shards, each mined completely at its share of the support, as ranges of the table's bits.
+
+    The fragments of one lang that a task reads make up its shards.
+    """
+
+    def candidates(lang: str, total: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        words, seq = merged([x for _, x in rows])
+        least = max(1, -(-how.support * sum(n for n, _ in rows) // total)) if total else 1
+        of_word, _ = hashes(lang, words)
+        spots = [place_in_table(joined_hash(of_word, seq, at, width)) for width, at in levels(seq, how.longest, least)]
+        every = np.unique(np.concatenate(spots)) if spots else np.zeros(0, np.int64)
+        ranges, first = np.unique(every >> RANGE_BITS, return_index=True)
+        bits = [packed_bits(x) for x in np.split(every, first[1:])] if len(first) else []
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(bits, pa.binary())], ["range", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, tuple[int, list[tuple[int, bytes]]]] = {}
+        for batch in batches:
+            for lang, n, total, fragment in zip(*(c.to_pylist() for c in batch.columns)):
+                waiting.setdefault(lang, (total, []))[1].append((n, fragment))
+                size = {k: sum(n for n, _ in rows) for k, (_, rows) in waiting.items()}
+                most = max(size, key=size.get)
+                if size[most] >= how.shard or sum(size.values()) >= 2 * how.shard:
+                    yield candidates(most, *waiting.pop(most))
+        for lang in list(waiting):
+            yield candidates(lang, *waiting.pop(lang))
 
     return run
 
 
-def bit_table(spots: DataFrame) -> np.ndarray:
-    """One bit for each place that occurs: a table of fixed size, put together by range in groups of bounded size."""
+def packed_bits(spots: np.ndarray) -> bytes:
+    bits = np.zeros(1 << RANGE_BITS, bool)
+    bits[spots & ((1 << RANGE_BITS) - 1)] = True
+    return zstandard.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+
+
+def bit_table(ranges: DataFrame) -> np.ndarray:
+    """The bits of all rows in one table of fixed size, put together by range in two steps of bounded groups."""
 
-    def packed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << RANGE_BITS, bool)
-        bits[rows["spot"].to_numpy() & ((1 << RANGE_BITS) - 1)] = True
-        return pd.DataFrame({"range": [key[0]], "bits": [zstandard.compress(np.packbits(bits, bitorder="little").tobytes(), 1)]})
+    def either(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << (RANGE_BITS - 3), np.uint8)
+        for b in rows["bits"]:
+            bits |= np.frombuffer(zstandard.decompress(b), np.uint8)
+        return pd.DataFrame({"range": rows["range"][:1], "bits": [zstandard.compress(bits.tobytes(), 1)]})
 
-    ranges = spots.distinct().groupBy(F.shiftright("spot", RANGE_BITS).alias("range")).applyInPandas(packed, "range int, bits binary").collect()
+    parted = ranges.withColumn("part", F.floor(F.spark_partition_id() / PARTS))
+    some = parted.groupBy("range", "part").applyInPandas(either, "range int, bits binary")
+    rows = some.groupBy("range").applyInPandas(either, "range int, bits binary").collect()  # 2^(TABLE_BITS - RANGE_BITS) rows at most
     table = np.zeros((1 << (TABLE_BITS - RANGE_BITS), 1 << (RANGE_BITS - 3)), np.uint8)
-    for r in ranges:  # 2^(TABLE_BITS - RANGE_BITS) rows at most
+    for r in rows:
         table[r["range"]] = np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
     return table.reshape(-1)
 
 
+def ranges_of(rows: DataFrame) -> DataFrame:
+    """The places of the hashes ``h`` as ranges of bits, some rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.unique(place_in_table(batch.column(0).to_numpy().view(np.uint64)))
+            ranges, first = np.unique(every >> RANGE_BITS, return_index=True)
+            bits = [packed_bits(x) for x in np.split(every, first[1:])] if len(first) else []
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), pa.array(bits, pa.binary())], ["range", "bits"])
+
+    return rows.select("h").mapInArrow(run, "range int, bits binary")
+
+
+def distinct_places(seq: np.ndarray, at: np.ndarray, width: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of each distinct phrase among those at ``at``, told apart by the words themselves."""
+    key = seq[at]
+    for k in range(1, width):
+        key = np.unique(key, return_inverse=True)[1] * (n_words + 1) + seq[at + k]
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    return at[first], count
+
+
+def whole_places(seq: np.ndarray, width: int) -> np.ndarray:
+    """Places from which ``width`` words lie in one piece."""
+    inside = seq[: max(len(seq) - width + 1, 0)] > 0
+    for k in range(1, width):
+        inside &= seq[k : k + len(inside)] > 0
+    return np.flatnonzero(inside)
+
+
 def count_level(width: int, candidates, frequent):
     """Occurrences in each fragment of the phrases of ``width`` words that are candidates and whose shorter parts are frequent."""
 
@@ -186,47 +246,68 @@ def count_level(width: int, candidates, frequent):
         for batch in batches:
             for lang, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, seq = opened(payload)
-                of_word = hashes(lang, words)
-                h, whole, before = of_word[seq], seq > 0, None
-                for k in range(1, width):
-                    if k == width - 1:
-                        before = whole & has(frequent.value, place_in_table(h))
-                    h = next_hash(h[:-1], of_word[seq[k:]])
-                    whole = whole[:-1] & (seq[k:] > 0)
-                spot = place_in_table(h)
-                keep = whole & has(candidates.value, spot)
-                if before is not None:
-                    keep &= before[:-1] & before[1:]
-                at = np.flatnonzero(keep)
-                key = seq[at]
-                for k in range(1, width):  # exact: numbers of what was joined so far, then the next word
-                    key = np.unique(key, return_inverse=True)[1] * (len(words) + 1) + seq[at + k]
-                _, first, count = np.unique(key, return_index=True, return_counts=True)
-                starts = at[first]
-                named = [[words[x - 1] for x in seq[starts + k].tolist()] for k in range(width)]
-                phrases = [b" ".join(p) for p in zip(*named)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(count, pa.int64()), pa.array(spot[starts].astype(np.int32))],
-                    ["lang", "phrase", "f", "spot"],
-                )
+                of_word, other = hashes(lang, words)
+                at = whole_places(seq, width)
+                if width > 1:
+                    for shift in (0, 1):
+                        at = at[has(frequent.value, place_in_table(joined_hash(of_word, seq, at + shift, width - 1)))]
+                at = at[has(candidates.value, place_in_table(joined_hash(of_word, seq, at, width)))]
+                starts, count = distinct_places(seq, at, width, len(words))
+                h, check = joined_hash(of_word, seq, starts, width).view(np.int64), (joined_hash(other, seq, starts, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(count, pa.int64())], ["h", "check", "f"])
+
+    return run
+
+
+def spelled(longest: int, wanted, one_in: int):
+    """(h, check, lang, phrase) of wanted phrases; of the fragments that hold a phrase, about one in ``one_in`` spells it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words, seq = opened(payload)
+                of_word, other = hashes(lang, words)
+                turn = np.uint64(zlib.crc32(payload))
+                for width in range(1, longest + 1):
+                    at = whole_places(seq, width)
+                    h = joined_hash(of_word, seq, at, width)
+                    at = at[has(wanted.value, place_in_table(h)) & (finalised(h ^ turn) % np.uint64(one_in) == 0)]
+                    starts, _ = distinct_places(seq, at, width, len(words))
+                    phrases = [b" ".join([words[x - 1] for x in row]) for row in seq[starts[:, None] + np.arange(width)].tolist()]
+                    h, check = joined_hash(of_word, seq, starts, width).view(np.int64), (joined_hash(other, seq, starts, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string())], ["h", "check", "lang", "phrase"])
 
     return run
 
 
+def named(kept: DataFrame, found: DataFrame, how: Mining) -> DataFrame:
+    """The phrases behind the hashes: most are spelled by a few of the fragments that hold them, the rest in a second round by all."""
+    spark, names, missing = kept.sparkSession, None, found.select("h", "check")
+    for one_in in (SPELLED, 1):
+        wanted = spark.sparkContext.broadcast(bit_table(ranges_of(missing)))
+        rows = kept.select("lang", "fragment").mapInArrow(spelled(how.longest, wanted, one_in), "h long, check int, lang string, phrase string")
+        # whatever fragment spells it, a phrase is the same
+        part = keep_table(rows.groupBy("h", "check").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase")).join(missing, ["h", "check"]))
+        names = part if names is None else names.unionByName(part)
+        missing = keep_table(missing.join(part.select("h", "check"), ["h", "check"], "left_anti"))
+        if missing.isEmpty():
+            break
+    return names
+
+
 def counted(kept: DataFrame, totals: DataFrame, how: Mining) -> DataFrame:
     """(lang, phrase, f, words) of every phrase of 1 to ``longest`` words that occurs ``support`` times or more in its lang."""
     spark = kept.sparkSession
-    parts = kept.join(totals, "lang").withColumn("part", F.floor(F.rand(7) * F.ceil(F.col("total") / how.shard)).cast("int"))
-    mined = parts.groupBy("lang", "part").applyInPandas(mine(how), "spot int")
+    mined = kept.join(totals, "lang").select("lang", "n", "total", "fragment").mapInArrow(mine(how), "range int, bits binary")
     candidates, frequent, found = spark.sparkContext.broadcast(bit_table(mined)), None, None
     for width in range(1, how.longest + 1):
-        rows = kept.select("lang", "fragment").mapInArrow(count_level(width, candidates, frequent), "lang string, phrase string, f long, spot int")
-        level = keep_table(rows.groupBy("lang", "phrase").agg(F.sum("f").alias("f"), F.first("spot").alias("spot")).filter(F.col("f") >= how.support))
-        part = level.select("lang", "phrase", "f", F.lit(width).alias("words"))
+        rows = kept.select("lang", "fragment").mapInArrow(count_level(width, candidates, frequent), "h long, check int, f long")
+        level = keep_table(rows.groupBy("h", "check").agg(F.sum("f").alias("f")).filter(F.col("f") >= how.support))
+        part = level.withColumn("words", F.lit(width))
         found = part if found is None else found.unionByName(part)
         if width < how.longest:
-            frequent = spark.sparkContext.broadcast(bit_table(level.select("spot")))
-    return found
+            frequent = spark.sparkContext.broadcast(bit_table(ranges_of(level)))
+    return found.join(named(kept, found, how), ["h", "check"]).select("lang", "phrase", "f", "words")
 
 
 def part_of(words: Column, first, length) -> Column:
@@ -247,11 +328,12 @@ def best_rows(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
 def collocations(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
     """The best phrases of each lang: lang, rank, phrase, a, l, r, n, score.
 
-    1. Fragments of text of one lang are numbered once and written. 2. They are dealt to shards; each is mined completely at its share
-    of the support, so that a phrase frequent in the whole lang is frequent in one shard at least. The union of these
-    candidates sets bits of a table of fixed size. 3. Phrases of one word, two words and so on are counted in all
-    fragments where the table has them and their shorter parts turned out frequent, and summed. A bit that two phrases share costs work and
-    no result, for the sums are exact and only they decide. 4. Scores from joins with the counts, in decimals of 38 digits.
+    1. Fragments of text of one lang are numbered once and written. 2. Fragments that a task reads make up its shards; each is mined
+    completely at its share of the support, so that a phrase frequent in the whole lang is frequent in one shard at
+    least. The union of these candidates sets bits of a table of fixed size. 3. Phrases of one word, two words and so on
+    are counted in all fragments where the table has them and their shorter parts turned out frequent, and summed by a name of 96 bits. A
+    bit that two phrases share costs work and no result, for only the sums decide. 4. Frequent names are spelled out by
+    fragments that hold them. 5. Scores from joins with the counts, in decimals of 38 digits.
 
     A null lang is ``und``; null and empty texts have no words. Rows that repeat are documents like any other. A lang
     without a frequent phrase, and an empty table, give no rows. Other columns are ignored. Ties follow score, a, phrase. A piece
