@@ -108,7 +108,7 @@ def group_links(a_ids: np.ndarray, a_groups: np.ndarray, b_ids: np.ndarray, b_gr
 #: Characters that both regular expression engines class alike; a text with others is cut into words by the tokenizer itself.
 CLASSED = re.compile("[^\x00-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
 #: Words remembered by a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Encoder:
