@@ -14,8 +14,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wellspan.llm.bpe import pack, unpack
 from wellspan.llm.common import keep_table
 from wellspan.llm.decontaminate import _packed, _unpacked
+from wellspan.llm.repeats import pack64, unpack64
 from wellspan.llm.shingles import WORDS, finalised, word_hashes
 
 #: Characters that end a piece of text, and what they become; a blank that is no space becomes one.
@@ -23,7 +25,9 @@ PIECE_END = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes(0x20 if c == 9 else 0x0A if c in PIECE_END else c for c in range(256))
 #: Bits of the tables that name candidates and frequent phrases (2^24 bytes go to every executor), of a range they are put together
 #: in, parts whose ranges meet at once, and of how many fragments one spells a phrase at first.
-TABLE_BITS, RANGE_BITS, PARTS, SPELLED = 27, 19, 256, 8
+TABLE_BITS, RANGE_BITS, PARTS, SPELLED = 27, 19, 256, 16
+#: Sums that a task gathers before it sends them, and words of all texts for each range of names.
+GATHERED, RANGE_WORDS = 3_000_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -239,10 +243,33 @@ def whole_places(seq: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(inside)
 
 
-def count_level(width: int, candidates, frequent):
-    """Occurrences in each fragment of the phrases of ``width`` words that are candidates and whose shorter parts are frequent."""
+def bucket_of(h: np.ndarray, n_ranges: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def added(h: np.ndarray, check: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names in order, with their occurrences summed."""
+    by = np.lexsort((check, h))
+    h, check, f = h[by], check[by], f[by]
+    head = np.flatnonzero(np.append(True, (np.diff(h) != 0) | (np.diff(check) != 0))[: len(h)])
+    return h[head], check[head], np.add.reduceat(f, head) if len(head) else f
+
+
+def count_level(width: int, candidates, frequent, n_ranges: int):
+    """Occurrences of the phrases of ``width`` words that are candidates and whose shorter parts are frequent.
+
+    A task adds up its fragments and sends names and sums packed by range of the first hash.
+    """
+
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        h, check, f = added(*(np.concatenate(x) for x in zip(*parts)))
+        ranges, first = np.unique(bucket_of(h, n_ranges), return_index=True)
+        ends = [*first[1:].tolist(), len(h)]
+        rows = [(pack64(h[a:e]), pack(check[a:e]), pack(np.minimum(f[a:e], 0xFFFFFFFF))) for a, e in zip(first.tolist(), ends)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges.astype(np.int32)), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(3))], ["range", "names", "checks", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for lang, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words, seq = opened(payload)
@@ -253,8 +280,26 @@ def count_level(width: int, candidates, frequent):
                         at = at[has(frequent.value, place_in_table(joined_hash(of_word, seq, at + shift, width - 1)))]
                 at = at[has(candidates.value, place_in_table(joined_hash(of_word, seq, at, width)))]
                 starts, count = distinct_places(seq, at, width, len(words))
-                h, check = joined_hash(of_word, seq, starts, width).view(np.int64), (joined_hash(other, seq, starts, width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(check), pa.array(count, pa.int64())], ["h", "check", "f"])
+                parts.append((joined_hash(of_word, seq, starts, width), joined_hash(other, seq, starts, width) >> np.uint64(32), count))
+                size += len(count)
+                if size > GATHERED:
+                    yield packed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield packed(parts)
+
+    return run
+
+
+def frequent_names(support: int):
+    """For one range of names: those that occur ``support`` times or more in all."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        h = np.concatenate([unpack64(x) for x in rows["names"]])
+        check, f = (np.concatenate([unpack(x) for x in rows[c]]).astype(np.int64) for c in ("checks", "sums"))
+        h, check, f = added(h, check, f)
+        keep = f >= support
+        return pd.DataFrame({"h": h[keep].view(np.int64), "check": check[keep].astype(np.uint32).view(np.int32), "f": f[keep]})
 
     return run
 
@@ -289,6 +334,7 @@ def named(kept: DataFrame, found: DataFrame, how: Mining) -> DataFrame:
         # whatever fragment spells it, a phrase is the same
         part = keep_table(rows.groupBy("h", "check").agg(F.first("lang").alias("lang"), F.first("phrase").alias("phrase")).join(missing, ["h", "check"]))
         names = part if names is None else names.unionByName(part)
+        wanted.destroy()
         missing = keep_table(missing.join(part.select("h", "check"), ["h", "check"], "left_anti"))
         if missing.isEmpty():
             break
@@ -299,14 +345,18 @@ def counted(kept: DataFrame, totals: DataFrame, how: Mining) -> DataFrame:
     """(lang, phrase, f, words) of every phrase of 1 to ``longest`` words that occurs ``support`` times or more in its lang."""
     spark = kept.sparkSession
     mined = kept.join(totals, "lang").select("lang", "n", "total", "fragment").mapInArrow(mine(how), "range int, bits binary")
+    n_ranges = 1 + (totals.agg(F.sum("total")).first()[0] or 0) // RANGE_WORDS
     candidates, frequent, found = spark.sparkContext.broadcast(bit_table(mined)), None, None
     for width in range(1, how.longest + 1):
-        rows = kept.select("lang", "fragment").mapInArrow(count_level(width, candidates, frequent), "h long, check int, f long")
-        level = keep_table(rows.groupBy("h", "check").agg(F.sum("f").alias("f")).filter(F.col("f") >= how.support))
+        rows = kept.select("lang", "fragment").mapInArrow(count_level(width, candidates, frequent, n_ranges), "range int, names binary, checks binary, sums binary")
+        level = keep_table(rows.groupBy("range").applyInPandas(frequent_names(how.support), "h long, check int, f long"))
+        if frequent is not None:
+            frequent.destroy()
         part = level.withColumn("words", F.lit(width))
         found = part if found is None else found.unionByName(part)
         if width < how.longest:
             frequent = spark.sparkContext.broadcast(bit_table(ranges_of(level)))
+    candidates.destroy()
     return found.join(named(kept, found, how), ["h", "check"]).select("lang", "phrase", "f", "words")
 
 
