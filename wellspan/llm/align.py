@@ -183,7 +183,7 @@ def second_tokenizer(path: str) -> Encoder:
     pieces = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     table = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
     by_word = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
-    words = re.compile(" +[^ ]*").findall
+    words = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall  # a last space goes with its word: the model gives none for an empty text
     return Encoder(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), table, words if by_word else lambda text: None)
 
 
