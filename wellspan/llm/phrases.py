@@ -364,6 +364,11 @@ def part_of(words: Column, first, length) -> Column:
     return F.concat_ws(" ", F.slice(words, first, length))
 
 
+def score() -> Column:
+    """floor(1000 a n / (l r)) in decimals of 38 digits."""
+    return F.expr("(1000bd * cast(a as decimal(38,0)) * n) div (cast(l as decimal(38,0)) * r)")
+
+
 def best_rows(rows: DataFrame, order: list[Column], top: int) -> DataFrame:
     """The first ``top`` rows of each lang with their rank: of each part, then of every 32 parts together, until one is left."""
     parted = keep_table(rows).withColumn("_part", F.spark_partition_id())
@@ -397,7 +402,7 @@ def collocations(docs: DataFrame, how: Mining = Mining()) -> DataFrame:
     cuts = cuts.select("lang", "phrase", F.col("f").alias("a"), "k", part_of(F.col("w"), F.lit(1), F.col("k")).alias("front"), part_of(F.col("w"), F.col("k") + 1, F.col("words") - F.col("k")).alias("back"))
     side = lambda name, f: counts.select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
     scored = cuts.join(side("front", "l"), ["lang", "front"]).join(side("back", "r"), ["lang", "back"]).join(totals.withColumnRenamed("total", "n"), "lang")
-    exact = scored.withColumn("score", F.expr("(1000bd * cast(a as decimal(38,0)) * n) div (cast(l as decimal(38,0)) * r)"))
+    exact = scored.withColumn("score", score())
     worst = exact.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("cut")).select("lang", "phrase", "cut.*")
 
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda m: F.transform(F.sequence(F.lit(1), F.col("words") - m + 1), lambda i: part_of(F.col("w"), i, m))))
