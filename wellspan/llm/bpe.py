@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text in a block; a longer document is a block of its own.
@@ -78,17 +79,17 @@ def make_block(ids: list, texts: list[str], find, n_buckets: int) -> tuple[str,
 
 def blocks(docs: DataFrame, pattern: str, n_buckets: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, ids, texts, size = splitter(pattern), [], [], 0
+        find, ids, texts, size, number = splitter(pattern), [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             name, payload = make_block(ids, texts, find, n_buckets)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([payload])], ["block", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{number}-{name}"]), pa.array([payload])], ["block", "payload"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if texts and size + len(text) > BLOCK:
                     yield row()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, number = [], [], 0, number + 1
                 ids.append(key)
                 texts.append(text)
                 size += len(text)
@@ -168,8 +169,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
     for each place, and what moves is small. Ids then join the block and fill the places. Returns doc_id, n_tokens,
     ids_sha256, decoded_sha256 and, if asked for, the ids.
 
-    Blocks are named by their content: both readers below share one exchange, and should a lost part come back cut in
-    another way, the names do not meet and the job fails rather than mixing two cuts.
+    Blocks are named by their place and content: equal blocks stay apart, both readers below share one exchange, and should a lost part
+    come back cut in another way, the names do not meet and the job fails rather than mixing two cuts.
 
     Null and empty texts have no tokens. Null and repeated ids are rows like any other. An empty table gives no rows. Other
     columns are ignored.

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from wellspan.llm.shingles import finalised, powers
@@ -113,18 +114,19 @@ def bucket_of(values: np.ndarray, n_buckets: int) -> np.ndarray:
 
 def pack_blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, size, number = [], [], 0, 0
 
         def row() -> pa.RecordBatch:
             payload = zstandard.compress(pickle.dumps((ids, b"".join(texts), [len(t) for t in texts])), 3)
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.md5(payload).hexdigest()]), pa.array([payload])], ["block", "payload"])
+            name = f"{TaskContext.get().partitionId()}-{number}-{hashlib.md5(payload).hexdigest()}"  # equal blocks stay apart
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([payload])], ["block", "payload"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
                 if texts and size + len(raw) > BLOCK:
                     yield row()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, number = [], [], 0, number + 1
                 ids.append(key)
                 texts.append(raw)
                 size += len(raw)
