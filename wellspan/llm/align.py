@@ -63,10 +63,10 @@ class Rows:
 def summed(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries in order, with those of one place added."""
     key = rows.astype(np.int64) << 32 | columns
-    if (np.diff(key) < 0).any():
+    if (key[1:] < key[:-1]).any():
         by = np.argsort(key, kind="stable")
         key, values = key[by], values[by]
-    head = np.flatnonzero(np.diff(key, prepend=-1))
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     total = np.add.reduceat(values, head) if len(head) else values[:0]
     return key[head] >> 32, key[head] & 0xFFFFFFFF, total
 
@@ -108,7 +108,7 @@ def group_links(a_ids: np.ndarray, a_groups: np.ndarray, b_ids: np.ndarray, b_gr
 #: Characters that both regular expression engines class alike; a text with others is cut into words by the tokenizer itself.
 CLASSED = re.compile("[^\x00-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
 #: Words remembered by a worker.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 class Encoder:
@@ -131,7 +131,7 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({w for ws in parts if ws for w in ws if w not in known})
+        new = list(set().union(*(ws for ws in parts if ws)) - known.keys())
         known.update(zip(new, self.exact(new)))
         rest = iter(self.exact([t for t, ws in zip(texts, parts) if ws is None]))
         out = []
@@ -140,7 +140,7 @@ class Encoder:
                 out.append(next(rest))
             else:
                 try:
-                    out.append(b"".join([known[w] for w in ws]))
+                    out.append(b"".join(map(known.__getitem__, ws)))
                 except TypeError:  # a part is None
                     out.append(None)
         return out
@@ -234,13 +234,14 @@ def aligned(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Align
 def group_texts(x: Aligned, signs: list[bytes]) -> list[bytes]:
     """For each text ``a1,a2|b1;a3|b2,b3``: the decimal ids of its groups."""
     n = len(signs) // 3
-    a_at = np.arange(len(x.a_ids)) + np.searchsorted(x.b_groups, x.a_groups, side="left")  # A's tokens of a group come first
-    b_at = np.arange(len(x.b_ids)) + np.searchsorted(x.a_groups, x.b_groups, side="right")
+    a_ends, b_ends = (np.cumsum(np.bincount(g)) for g in (x.a_groups, x.b_groups))
+    a_at = np.arange(len(x.a_ids)) + np.append(0, b_ends)[x.a_groups]  # A's tokens of a group come first
+    b_at = np.arange(len(x.b_ids)) + a_ends[x.b_groups]
     sign = np.empty(len(a_at) + len(b_at), np.int64)
     sign[a_at] = x.a_ids + n * np.append(np.diff(x.a_groups) != 0, True)
     sign[b_at] = x.b_ids + 2 * n * np.append(np.diff(x.b_groups) != 0, True)
     counts = np.bincount(x.a_text, minlength=len(x.texts)) + np.bincount(x.b_text, minlength=len(x.texts))
-    pieces, out, start = [signs[k] for k in sign.tolist()], [], 0
+    pieces, out, start = list(map(signs.__getitem__, sign.tolist())), [], 0
     for c in counts.tolist():
         out.append(b"".join(pieces[start : start + c])[:-1])
         start += c
