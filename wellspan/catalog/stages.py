@@ -83,7 +83,8 @@ def tank_rows(t: Tables) -> DataFrame:
 
 
 def response(t: Tables) -> DataFrame:
-    """Producer liquid with a known response: primary decline plus the filtered prior couplings, no noise."""
+    """Producer liquid with a known response: primary decline plus the filtered prior couplings, with the share of closed
+    producers passed on; no noise."""
     return stage(t, "response", lambda: _response(t))
 
 
@@ -107,7 +108,7 @@ def _tank_rows(t: Tables) -> DataFrame:
 def _response(t: Tables) -> DataFrame:
     g = grid(t)
     prod, inj = fit.producer_rows(g), fit.injector_rows(g)
-    src = fit.allocated_source(pairs(t), inj, ["field"])
+    src = fit.allocated_source(pairs(t), inj, ["field"], fit.shutin_redistribution(pairs(t), prod, ["field"]))
     rows = prod.join(params(t), fit.PROD).join(src, [*fit.PROD, "step"], "left").repartition("field", "producer")
     first = F.min(F.when(F.col("on"), F.col("step")))
     starts = prod.groupBy(*fit.PROD).agg(first.alias("start"))

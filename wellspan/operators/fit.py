@@ -1,9 +1,8 @@
 """Connectivity estimation recast as grid x Gram aggregation.
 
-For a given time constant the response is linear in the couplings, so a fit is: explode a grid of time constants,
-filter the injections with window sums, reduce to cross products with aggregates, solve a box-bounded least squares of
-a dozen unknowns per producer, keep the best time constant.  Only the small solve runs in Python, on Arrow batches
-holding many producers.
+For a given time constant the response is linear in the couplings. Spark brings each producer's history and the rates of the
+injectors in reach together in one row; a task then filters, solves a box-bounded least squares of a dozen unknowns
+for each time constant and keeps the best, on Arrow batches of many producers.
 """
 
 from __future__ import annotations
@@ -16,8 +15,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wellspan.config import DEFAULTS, Settings
 from wellspan.functions.response import exp_filter, primary_decline, tau_grid
+from wellspan.operators.solver import History, best_fit, bounded_least_squares, normal_equations
+from wellspan.session import cut_lineage
 
 PROD = ["field", "producer"]
+#: Rounds without progress after which a group of fits is left unsettled.
+STALE = 3
 
 
 def producer_start(prod: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -54,7 +57,8 @@ def injector_rows(grid: DataFrame) -> DataFrame:
 def shutin_redistribution(pairs: DataFrame, prod: DataFrame, keys: list[str], cfg: Settings = DEFAULTS) -> DataFrame:
     """Multiplier per injector and step that passes a closed producer's share on to the open ones."""
     tot = pairs.groupBy(*keys, "injector").agg(F.sum("f").alias("tot"))
-    opened = pairs.join(prod.select(*PROD, "step", "on"), PROD)
+    at = [c for c in [*keys, "producer"] if c in prod.columns]
+    opened = pairs.join(prod.select(*at, "step", "on"), at)
     per = opened.groupBy(*keys, "injector", "step").agg(
         F.sum(F.when(F.col("on"), F.col("f")).otherwise(0.0)).alias("open_sum")
     ).join(tot, [*keys, "injector"])
@@ -161,135 +165,177 @@ def tank_allocation(prod: DataFrame, tank: DataFrame, injectors: DataFrame) -> D
 
 
 # ---------------------------------------------------------------------------------------------- producer grid
-def producer_grams(
-    prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None,
-    cfg: Settings = DEFAULTS, freeze: bool = True, taus: DataFrame | None = None,
+def producer_matrices(
+    prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None, cfg: Settings = DEFAULTS,
+    multiplier: DataFrame | None = None, pressure: DataFrame | None = None,
 ) -> DataFrame:
-    """Cross products per producer and time constant.
+    """One row per producer with its history from the start and the rates of its injectors, all as arrays.
 
-    prod: keys, producer, step, t_days, dt_days, on, liq, w; inj: keys, injector, step, inj; mask: keys, injector,
-    producer.  The result has one row per (producer, tau): injectors, gram (row-major), rhs, yy.
+    prod: keys, producer, step, t_days, dt_days, on, liq, w; inj: keys, injector, step, inj; mask: keys, injector, producer;
+    multiplier: keys, injector, step, g; pressure: keys, producer, step, dpdt. An injector's series is put together once and
+    travels to the producers in reach, so a row is bounded by a history and a producer's neighbours. Steps are matched by
+    number: an injector without a row at a step injects nothing.
     """
     keys = keys or ["field"]
     pk = [*keys, "producer"]
     start = producer_start(prod, keys)
     b = tau_bounds(prod, keys, cfg)
-    if taus is None:
-        taus = b.select(*keys, tau_grid(F.col("lo"), F.col("hi"), cfg.tau_grid_points).alias("taus"))
-        base = prod.join(start, pk).join(taus, keys)
-    else:
-        base = prod.join(start, pk).join(taus, pk)
-    base = base.join(n_train, keys).where(F.col("step") >= F.col("start"))
-    cols = ["step", "t_days", "dt_days", "on", "liq", "w", "start", "q0", "t_start", "n_train"]
-    rows = mask.join(base, pk).join(inj.select(*keys, "injector", "step", "inj"), [*keys, "injector", "step"])
-    rows = rows.select(*pk, "injector", "taus", *cols, "inj").repartition(*pk)
-    rows = rows.withColumn("tau", F.explode("taus")).drop("taus")
-    k = [*pk, "tau"]
-    rows = exp_filter(rows, [*k, "injector"], F.col("inj"), F.col("tau"), "c", F.col("on") if freeze else None)
-    y = F.col("liq") - F.col("q0") * F.exp(-(F.col("t_days") - F.col("t_start")) / F.col("tau"))
-    rows = rows.where(F.col("step") < F.col("n_train")).withColumn("y", y)
-    # the filtered series of a producer's injectors side by side: bounded by its radius and the length of the history
-    cells = F.array_sort(F.collect_list(F.struct("injector", "step", "c", "y", "w")))
-    at = rows.groupBy(*k).agg(cells.alias("v"))
-    part = lambda name: F.transform("v", lambda e: e[name])
-    at = at.select(*k, F.array_distinct(part("injector")).alias("injectors"), part("c").alias("c"), part("y").alias("y"), part("w").alias("w"))
-    n = (F.size("c") / F.size("injectors")).cast("int")
-    at = at.withColumns({"y": F.slice("y", F.lit(1), n), "w": F.slice("w", F.lit(1), n)})
-    types = dict(at.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in k) + ", injectors array<string>, gram array<double>, rhs array<double>, yy double"
+    rows = prod.join(start, pk).join(n_train, keys).where(F.col("step") >= F.col("start"))
+    if pressure is not None:
+        rows = rows.join(pressure.select(*pk, "step", "dpdt"), [*pk, "step"], "left")
+    slope = F.coalesce("dpdt", F.lit(0.0)) if pressure is not None else F.lit(None).cast("double")
+    cell = F.struct("step", (F.col("t_days") - F.col("t_start")).alias("t"), F.col("dt_days").cast("double").alias("dt"), "on", F.coalesce("liq", F.lit(0.0)).alias("liq"), F.coalesce("w", F.lit(0.0)).alias("w"), (F.col("step") < F.col("n_train")).alias("train"), slope.alias("dpdt"))
+    own = rows.groupBy(*pk).agg(F.array_sort(F.collect_list(cell)).alias("v"), F.max("q0").alias("q0"))
+    part = lambda name: F.transform("v", lambda e: e[name]).alias(name)
+    own = own.select(*pk, "q0", *[part(c) for c in ("step", "t", "dt", "on", "liq", "w", "train", "dpdt")])
+    rate = F.coalesce("inj", F.lit(0.0))
+    if multiplier is not None:
+        inj = inj.join(multiplier, [*keys, "injector", "step"], "left")
+        rate = rate * F.coalesce("g", F.lit(1.0))
+    series = inj.groupBy(*keys, "injector").agg(F.array_sort(F.collect_list(F.struct("step", rate.alias("rate")))).alias("s"))
+    near = mask.select(*pk, "injector").distinct().join(series, [*keys, "injector"]).groupBy(*pk).agg(F.array_sort(F.collect_list(F.struct("injector", "s"))).alias("v"))
+    flat = lambda name: F.flatten(F.transform("v", lambda e: F.transform(e["s"], lambda x: x[name])))
+    near = near.select(*pk, F.transform("v", lambda e: e["injector"]).alias("injectors"), F.transform("v", lambda e: F.size(e["s"])).alias("lengths"), flat("step").alias("inj_step"), flat("rate").alias("inj_rate"))
+    return own.join(near, pk).join(b, keys)
+
+
+def _history(row, pressed: bool) -> History:
+    step = np.asarray(row.step, dtype=int)
+    rates = np.zeros((len(row.injectors), int(max(step.max(initial=0), np.max(row.inj_step, initial=0))) + 1))
+    rates[np.repeat(np.arange(len(row.injectors)), np.asarray(row.lengths, dtype=int)), np.asarray(row.inj_step, dtype=int)] = np.asarray(row.inj_rate, dtype=float)
+    number = lambda x: np.asarray(x, dtype=float)
+    return History(
+        number(row.t), number(row.dt), np.asarray(row.on, dtype=bool), number(row.liq), number(row.w), np.asarray(row.train, dtype=bool),
+        float(row.q0 or 0.0), rates[:, step], number(row.dpdt) if pressed else None,
+    )
+
+
+def _key_types(df: DataFrame, keys: list[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"{c} {types[c]}" for c in keys)
+
+
+def producer_grams(
+    prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None,
+    cfg: Settings = DEFAULTS, freeze: bool = True, taus: DataFrame | None = None, multiplier: DataFrame | None = None,
+) -> DataFrame:
+    """Cross products per producer and time constant: injectors, gram (row-major), rhs, yy.
+
+    The grid spans the range of the step lengths; ``taus`` (keys, producer, taus) names other time constants.
+    """
+    keys = keys or ["field"]
+    pk = [*keys, "producer"]
+    rows = producer_matrices(prod, inj, mask, n_train, keys, cfg, multiplier)
+    rows = rows.join(taus, pk) if taus is not None else rows.withColumn("taus", tau_grid(F.col("lo"), F.col("hi"), cfg.tau_grid_points))
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for ids, c, y, w in zip(pdf["injectors"], pdf["c"], pdf["y"], pdf["w"]):
-                w, y = np.asarray(w, dtype=float), np.asarray(y, dtype=float)
-                cw, yw = np.asarray(c, dtype=float).reshape(len(ids), len(y)) * w, y * w
-                out.append(((cw @ cw.T).ravel(), cw @ yw, float(yw @ yw)))
-            gram, rhs, yy = zip(*out) if out else ((), (), ())
-            yield pdf[[*k, "injectors"]].assign(gram=gram, rhs=rhs, yy=yy)
+            for row in pdf.itertuples(index=False):
+                at = np.asarray(row.taus, dtype=float)
+                for tau, g, r, yy in zip(at, *normal_equations(_history(row, False), at, freeze)):
+                    out.append((*[getattr(row, c) for c in pk], float(tau), row.injectors, g.ravel(), r, float(yy)))
+            yield pd.DataFrame(out, columns=[*pk, "tau", "injectors", "gram", "rhs", "yy"])
 
-    return at.mapInPandas(reduce, schema)
+    return rows.mapInPandas(reduce, f"{_key_types(rows, pk)}, tau double, injectors array<string>, gram array<double>, rhs array<double>, yy double")
 
 
-def box_least_squares(g: np.ndarray, r: np.ndarray, hi: float, sweeps: int = 500) -> np.ndarray:
-    """Many small problems at once: min f'Gf - 2 r'f over 0 <= f <= hi by cyclic coordinate descent.
-
-    g: (B, k, k), r: (B, k); the problems are convex and padded unknowns (zero diagonal) stay at zero.
-    """
-    f = np.zeros_like(r)
-    d = np.einsum("bii->bi", g)
-    inv = np.where(d > 0, 1.0 / np.where(d > 0, d, 1.0), 0.0)
-    for _ in range(sweeps):
-        moved = 0.0
-        for i in range(r.shape[1]):
-            new = np.clip(f[:, i] + (r[:, i] - np.einsum("bk,bk->b", g[:, i, :], f)) * inv[:, i], 0.0, hi)
-            new = np.where(inv[:, i] > 0, new, 0.0)
-            moved = max(moved, float(np.max(np.abs(new - f[:, i]), initial=0.0)))
-            f[:, i] = new
-        if moved < 1e-12:
-            break
-    return f
+def box_least_squares(g: np.ndarray, r: np.ndarray, hi: float) -> np.ndarray:
+    """Many small problems: the least f'Gf - 2 r'f over 0 <= f <= hi.  g: (B, k, k), r: (B, k); padded unknowns (zero diagonal)
+    stay at zero."""
+    return np.array([bounded_least_squares(gi, ri, np.full(len(ri), hi))[0] for gi, ri in zip(g, r)]).reshape(r.shape)
 
 
 def solve_grams(grams: DataFrame, keys: list[str] | None = None, upper: float = 1.0) -> DataFrame:
-    """Bounded couplings and SSE per (producer, tau); optional column ``lam`` (array) adds a linear price per injector."""
+    """Bounded couplings and SSE per (producer, tau), solved to the optimality conditions; ``slack`` says how far off they are."""
     keys = keys or ["field"]
     cols = [*keys, "producer", "tau"]
-    priced = "lam" in grams.columns
-    fields = ", ".join(f"{n} {t}" for n, t in grams.dtypes if n in cols)
-    schema = f"{fields}, injectors array<string>, f array<double>, sse double"
-    use = grams.select(*cols, "injectors", "gram", "rhs", "yy", *(["lam"] if priced else []))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf.assign(k=pdf["rhs"].map(len)).sort_values("k", ignore_index=True)
-            fs, errs = [], []
-            for lo in range(0, len(pdf), 512):  # problems of similar size side by side
-                part = pdf.iloc[lo : lo + 512]
-                top = int(part["k"].max())
-                g, r = np.zeros((len(part), top, top)), np.zeros((len(part), top))
-                price = np.zeros_like(r)
-                for b, (gram, rhs, k) in enumerate(zip(part["gram"], part["rhs"], part["k"])):
-                    g[b, :k, :k] = np.asarray(gram, dtype=float).reshape(k, k)
-                    r[b, :k] = rhs
-                    if priced:
-                        price[b, :k] = part["lam"].iloc[b]
-                f = box_least_squares(g, r - 0.5 * price, upper)
-                sse = part["yy"].to_numpy() - 2 * np.einsum("bk,bk->b", r, f) + np.einsum("bi,bij,bj->b", f, g, f)
-                fs += [row[:k] for row, k in zip(f, part["k"])]
-                errs += np.maximum(sse, 0.0).tolist()
-            yield pdf[[*cols, "injectors"]].assign(f=fs, sse=errs)
-
-    return use.mapInPandas(run, schema)
-
-
-def best_tau(solved: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    keys = [*(keys or ["field"]), "producer"]
-    return solved.groupBy(*keys).agg(
-        F.min_by(F.struct("tau", "injectors", "f", "sse"), F.struct("sse", "tau")).alias("b")
-    ).select(*keys, "b.*")
+            fs, errs, slacks = [], [], []
+            for gram, rhs, yy in zip(pdf["gram"], pdf["rhs"], pdf["yy"]):
+                r = np.asarray(rhs, dtype=float)
+                g = np.asarray(gram, dtype=float).reshape(len(r), len(r))
+                f, slack = bounded_least_squares(g, r, np.full(len(r), upper))
+                fs.append(f)
+                errs.append(max(float(yy - 2 * r @ f + f @ g @ f), 0.0))
+                slacks.append(slack)
+            yield pdf[[*cols, "injectors"]].assign(f=fs, sse=errs, slack=slacks)
+
+    use = grams.select(*cols, "injectors", "gram", "rhs", "yy")
+    return use.mapInPandas(run, f"{_key_types(grams, cols)}, injectors array<string>, f array<double>, sse double, slack double")
+
+
+def fit_matrices(rows: DataFrame, keys: list[str] | None = None, cfg: Settings = DEFAULTS, freeze: bool = True, pressed: bool = False) -> DataFrame:
+    """Best time constant, couplings in [0, 1] and pressure coefficient (0 or more) of each producer of ``producer_matrices``."""
+    pk = [*(keys or ["field"]), "producer"]
+    points = cfg.tau_grid_points
+    # small rows, much work: as many tasks as a shuffle has, which Spark does not merge
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pk)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                h = _history(row, pressed)
+                if row.lo is None or not row.lo > 0 or not (h.train & (h.w > 0)).any():
+                    continue  # nothing to fit
+                sse, tau, x, slack = best_fit(h, float(row.lo), float(row.hi), points, freeze)
+                f, j = (x[:-1], float(x[-1])) if pressed else (x, 0.0)
+                out.append((*[getattr(row, c) for c in pk], tau, j, row.injectors, f, sse, slack))
+            yield pd.DataFrame(out, columns=[*pk, "tau", "j", "injectors", "f", "sse", "slack"])
+
+    return rows.mapInPandas(run, f"{_key_types(rows, pk)}, tau double, j double, injectors array<string>, f array<double>, sse double, slack double")
 
 
 def fit_producer_grid(
     prod: DataFrame, inj: DataFrame, mask: DataFrame, n_train: DataFrame, keys: list[str] | None = None,
-    cfg: Settings = DEFAULTS, freeze: bool = True, keep=None,
+    cfg: Settings = DEFAULTS, freeze: bool = True, keep=None, redistribute: bool = True, pressure: DataFrame | None = None,
+    tolerance: float = 1e-3,
 ) -> DataFrame:
-    """Best time constant and couplings per producer: keys, producer, tau, injectors, f, sse.
-
-    A second pass searches between the neighbours of each producer's best grid point; ``keep`` materialises the first.
+    """Best time constant and couplings per producer: keys, producer, tau, j, injectors, f, sse, slack, settled.
+
+    The fit is the model that predictions use: while a producer is closed, its share of an injector goes to the open ones. The
+    multiplier depends on the couplings, so fits and multipliers take turns: only producers in reach of an injector whose
+    multiplier still moves by more than ``tolerance`` are fitted again, near their last time constant. A group of ``keys`` whose
+    largest movement has not shrunk by a tenth for ``STALE`` rounds is left as it is, with ``settled`` false; so the rounds end
+    by themselves.
+    Producers without a training row are not fitted. ``pressure`` (keys, producer, step, dpdt) adds a coefficient j of 0 or more,
+    as in ``predict_history``. ``keep`` materialises the rounds.
     """
-    ks = keys or ["field"]
-    best = best_tau(solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze), ks), ks)
-    best = (keep or (lambda d: d))(best)
-    taus = refined_taus(best, tau_bounds(prod, ks, cfg), ks, cfg)
-    fine = solve_grams(producer_grams(prod, inj, mask, n_train, ks, cfg, freeze, taus), ks)
-    return best_tau(fine.unionByName(best), ks)
-
-
-def refined_taus(best: DataFrame, bounds: DataFrame, keys: list[str], cfg: Settings = DEFAULTS) -> DataFrame:
-    ratio = F.exp((F.log("hi") - F.log("lo")) / (cfg.tau_grid_points - 1))
-    grid = tau_grid(F.col("tau") / ratio, F.col("tau") * ratio, cfg.tau_grid_points)
-    return best.join(bounds, keys).select(*keys, "producer", grid.alias("taus"))
+    ks, keep = keys or ["field"], keep or cut_lineage
+    pk, pressed = [*ks, "producer"], pressure is not None
+    near = keep(mask.select(*pk, "injector").distinct())
+    now = keep(fit_matrices(producer_matrices(prod, inj, near, n_train, ks, cfg, None, pressure), ks, cfg, freeze, pressed))
+    if not redistribute:
+        return now.withColumn("settled", F.lit(True))
+    used, groups = None, None  # multipliers of the last fits; movement, least movement and rounds without progress of each group
+    while True:
+        fresh = keep(shutin_redistribution(couplings(now, ks), prod, ks, cfg))
+        last = F.lit(1.0) if used is None else F.coalesce("last", F.lit(1.0))
+        both = fresh if used is None else fresh.join(used.withColumnRenamed("g", "last"), [*ks, "injector", "step"], "left")
+        moved = keep(both.groupBy(*ks, "injector").agg(F.max(F.abs(F.col("g") - last)).alias("moved")))
+        state = moved.groupBy(*ks).agg(F.max("moved").alias("most"))
+        if groups is None:
+            state = state.select(*ks, "most", F.col("most").alias("best"), F.lit(0).alias("stale"))
+        else:
+            state = state.join(groups.select(*ks, F.col("best").alias("_b"), F.col("stale").alias("_s")), ks)
+            fell = F.col("most") < 0.9 * F.col("_b")
+            state = state.select(*ks, "most", F.least("most", "_b").alias("best"), F.when(F.col("_s") >= STALE, F.col("_s")).when(fell, 0).otherwise(F.col("_s") + 1).alias("stale"))
+        groups = keep(state)
+        again = moved.where(F.col("moved") > tolerance).join(groups.where(F.col("stale") < STALE).select(*ks), ks, "left_semi")
+        again = keep(near.join(again.select(*ks, "injector"), [*ks, "injector"], "left_semi").select(*pk).distinct())
+        if again.isEmpty():
+            settled = groups.select(*ks, (F.col("most") <= tolerance).alias("settled"))
+            return now.join(settled, ks, "left").withColumn("settled", F.coalesce("settled", F.lit(True)))
+        used = fresh
+        some = producer_matrices(prod, inj, near.join(again, pk, "left_semi"), n_train, ks, cfg, used, pressure)
+        reach = F.exp((F.log("hi") - F.log("lo")) / (cfg.tau_grid_points - 1))
+        some = some.join(now.select(*pk, F.col("tau").alias("_tau")), pk)
+        some = some.withColumns({"lo": F.greatest("lo", F.col("_tau") / reach), "hi": F.least("hi", F.col("_tau") * reach)}).drop("_tau")
+        fits = fit_matrices(some, ks, cfg, freeze, pressed)
+        now = keep(now.join(again, pk, "left_anti").unionByName(fits))
 
 
 def couplings(fit: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -389,7 +435,7 @@ def fit_aquifer_grid(
     reach = mask.select("field", "injector", "producer").unionByName(
         prod.select("field", F.lit(AQUIFER_ID).alias("injector"), "producer").distinct()
     ).join(ids, "field")
-    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg, keep=keep)
+    fit = fit_producer_grid(prods, both, reach, n_train.join(ids, "field"), keys, cfg, keep=keep, redistribute=False)  # no well takes over influx
     fit = (keep or (lambda d: d))(fit)
     f = couplings(fit, keys)
     rows = f.groupBy(*keys, "injector").agg(F.sum("f").alias("s"))
