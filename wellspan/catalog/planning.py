@@ -333,14 +333,16 @@ def _(t):
     """Best plan at five water budgets and the slope of value against water."""
     fr = F.explode(F.array(*[F.lit(x) for x in (0.8, 0.9, 1.0, 1.1, 1.2)]))
     keyed = lambda d: d.withColumn("field", F.concat_ws("|", "field", F.col("fraction").cast("string")))
-    b = cut_lineage(keyed(bounds(t).withColumn("fraction", fr).withColumn("total_water", F.col("total_water") * F.col("fraction"))))
+    whole = bounds(t).withColumn("fraction", fr).withColumn("total_water", F.col("total_water") * F.col("fraction"))
+    b = cut_lineage(keyed(whole.withColumn("plain", F.col("field"))))
     spread = lambda d: keyed(d.withColumn("fraction", fr)).drop("fraction")
     cur = keyed(current(t).withColumn("fraction", fr)).select("field", "injector", (F.col("rate") * F.col("fraction")).alias("rate"))
     best = scenarios.plan_search(
-        b, cut_lineage(cur), spread(marginal(t)), spread(stages.member_pairs(t)), spread(g_end(t)), spread(state(t)), spread(calendar(t)), keep=cut_lineage
+        b.drop("plain", "fraction"), cut_lineage(cur), spread(marginal(t)), spread(stages.member_pairs(t)), spread(g_end(t)), spread(state(t)), spread(calendar(t)), keep=cut_lineage
     )
     v = best.groupBy("field").agg(F.max("value").alias("value"), F.sum("rate").alias("total_water"))
-    v = v.select(F.split("field", r"\|")[0].alias("field"), F.split("field", r"\|")[1].cast("double").alias("fraction"), "value", "total_water")
+    back = b.select(F.col("field").alias("_key"), F.col("plain").alias("field"), "fraction").distinct()
+    v = v.join(back, v["field"] == back["_key"]).select(back["field"], "fraction", "value", "total_water")
     return scenarios.gradient_by(v, ["field"], "total_water", "value", "marginal_water")
 
 

@@ -19,8 +19,9 @@ from wellspan.operators.solver import History, best_fit, bounded_least_squares,
 from wellspan.session import cut_lineage
 
 PROD = ["field", "producer"]
-#: Rounds without progress after which a group of fits is left unsettled.
-STALE = 3
+#: Rounds without progress after which a group of fits is left unsettled; rounds between two looks at the duality gap, and how far
+#: a round goes beyond its couplings.
+STALE, LOOK, OVER = 3, 5, 1.6
 
 
 def producer_start(prod: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -359,43 +360,122 @@ def candidate_members(solved: DataFrame, keys: list[str] | None = None, cfg: Set
     return s.withColumn("member", F.row_number().over(w.orderBy("sse", "tau")) - 1).drop("_best")
 
 
+def _drawn(rows: DataFrame) -> DataFrame:
+    """Each producer's best couplings that also stay near ``z - u``, with the weight ``rho`` of each injector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for gram, rhs, z, u, rho in zip(*(pdf[c] for c in ("gram", "rhs", "z", "u", "rho"))):
+                r, z, u, rho = (np.asarray(x, dtype=float) for x in (rhs, z, u, rho))
+                g = np.asarray(gram, dtype=float).reshape(len(r), len(r)) + np.diag(rho / 2)
+                out.append(bounded_least_squares(g, r + rho / 2 * (z - u), np.ones(len(r)), np.clip(z, 0.0, 1.0))[0])
+            yield pdf[["field", "producer", "injectors", "z", "u", "rho"]].assign(f=out)
+
+    return rows.mapInPandas(run, "field string, producer string, injectors array<string>, z array<double>, u array<double>, rho array<double>, f array<double>")
+
+
+def _within(v: np.ndarray, bound: float) -> np.ndarray:
+    """The nearest point to v without negative parts and with a sum of ``bound`` at most."""
+    v = np.maximum(v, 0.0)
+    if v.sum() <= bound:
+        return v
+    down = np.sort(v)[::-1]
+    over = (np.cumsum(down) - bound) / np.arange(1, len(v) + 1)
+    return np.maximum(v - over[np.flatnonzero(down > over)[-1]], 0.0)
+
+
+def _bounded(rows: DataFrame, bound: float) -> DataFrame:
+    """Each injector's couplings within its bound, and what they still differ from the producers' by (``u``)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = [_within(np.asarray(v, dtype=float), bound) for v in pdf["v"]]
+            yield pdf[["field", "injector", "producers", "i"]].assign(z=z, u=[np.asarray(v, dtype=float) - x for v, x in zip(pdf["v"], z)])
+
+    return rows.mapInPandas(run, "field string, injector string, producers array<string>, i array<int>, z array<double>, u array<double>")
+
+
+def _both_sides(rows: DataFrame) -> DataFrame:
+    """(field, primal, dual): the objective of the couplings ``z``, and of the best couplings against the prices rho u."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for gram, rhs, z, u, rho in zip(*(pdf[c] for c in ("gram", "rhs", "z", "u", "rho"))):
+                r, z = np.asarray(rhs, dtype=float), np.asarray(z, dtype=float)
+                g, price = np.asarray(gram, dtype=float).reshape(len(r), len(r)), np.asarray(rho, dtype=float) * np.asarray(u, dtype=float)
+                x, _ = bounded_least_squares(g, r - 0.5 * price, np.ones(len(r)))
+                out.append((float(z @ g @ z - 2 * r @ z), float(x @ g @ x - 2 * r @ x + price @ x)))
+            yield pdf[["field"]].assign(primal=[x[0] for x in out], dual=[x[1] for x in out])
+
+    sides = rows.mapInPandas(run, "field string, primal double, dual double")
+    return sides.groupBy("field").agg(F.sum("primal").alias("primal"), F.sum("dual").alias("dual"))
+
+
 def injector_sum_bound(
-    grams: DataFrame, bound: float = 1.0, rounds: int = 12, tol: float = 1e-3, keep=None
+    grams: DataFrame, bound: float = 1.0, rounds: int | None = None, gap: float = 1e-6, keep=None
 ) -> DataFrame:
-    """Couplings with every injector's sum at most ``bound``.
-
-    Dual decomposition: each injector has a price, producers solve alone against the prices, and prices rise where the
-    sum is over the bound.  The cross products are computed once; a round is a narrow solve and two small aggregates.
-    ``grams`` holds one row per producer (its chosen tau).  ``keep`` materialises an iterate (checkpoint).
+    """Couplings with every injector's sum at most ``bound``: field, injector, producer, f, gap, settled.
+
+    Alternating directions: producers solve alone, drawn to what their injectors allow; injectors project on their bound; the
+    difference adds up to a price on each pair. A round is two small exchanges, whose groups are a producer's or an injector's
+    neighbours. The couplings returned are the injectors', which keep the bound; what their objective exceeds the dual one of
+    the prices by, as a share of the field's squared data, is ``gap``. It is looked at every ``LOOK`` rounds: a field is done
+    when it is at most ``gap``, draws half as strongly where it fell by less than 70 percent, and is left with ``settled`` false
+    where it has not fallen by a tenth for ``STALE`` looks, or after ``rounds`` if a caller names a number. Only open fields go on. ``grams`` holds one row per
+    producer (its chosen tau); the cross products are computed once. ``keep`` materialises an iterate (checkpoint).
     """
-    keep = keep or (lambda d: d)
-    entry = F.transform(F.sequence(F.lit(0), F.size("rhs") - 1), lambda i: F.col("gram")[i * F.size("rhs") + i])
-    curve = grams.select("field", F.explode(F.arrays_zip(F.col("injectors").alias("injector"), entry.alias("d"))).alias("z"))
-    step = curve.groupBy("field", F.col("z.injector").alias("injector")).agg(F.avg("z.d").alias("scale"), F.count(F.lit(1)).alias("n"))
-    prices = keep(step.select("field", "injector", (2.0 * F.col("scale") / F.col("n")).alias("rho"), F.lit(0.0).alias("lam")))
-    g = grams.select("field", "producer", "tau", "injectors", "gram", "rhs", "yy")
-    open_pairs = g.select("field", "producer", F.posexplode("injectors").alias("i", "injector"))
-    for r in range(rounds):
-        lam = open_pairs.join(prices, ["field", "injector"]).groupBy("field", "producer").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("i", "lam"))), lambda e: e["lam"]).alias("lam")
-        )
-        solved = solve_grams(g.join(lam, ["field", "producer"]))
-        sums = couplings(solved).groupBy("field", "injector").agg(F.sum("f").alias("s"))
-        nxt = prices.join(sums, ["field", "injector"]).select(
-            "field", "injector", "rho",
-            F.greatest(F.col("lam") + F.col("rho") * (F.col("s") - bound), F.lit(0.0)).alias("lam"),
-            (F.col("s") - bound).alias("excess"),
-        )
-        nxt = keep(nxt)
-        worst = nxt.agg(F.max("excess")).first()[0]
-        prices = nxt.select("field", "injector", "rho", "lam")
-        if worst is None or worst <= tol:
-            break
-    pairs = couplings(solved)
-    # what the last prices leave over the bound is scaled back, so the result satisfies it exactly
-    tot = pairs.groupBy("field", "injector").agg(F.sum("f").alias("s"))
-    scale = F.when(F.col("s") > bound, bound / F.col("s")).otherwise(1.0)
-    return pairs.join(tot, ["field", "injector"]).select("field", "injector", "producer", (F.col("f") * scale).alias("f"))
+    keep = keep or cut_lineage
+    g = keep(grams.select("field", "producer", "injectors", "gram", "rhs", "yy"))
+    k = F.size("rhs")
+    diagonal = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.col("gram")[i * k + i])
+    slots = g.select("field", "producer", F.posexplode(F.arrays_zip(F.col("injectors").alias("injector"), diagonal.alias("d"))).alias("i", "e"))
+    pairs = slots.select("field", "producer", "i", "e.injector", F.lit(0.0).alias("z"), F.lit(0.0).alias("u"), F.col("e.d").alias("d"))
+    base = keep(pairs.groupBy("field", "injector").agg(F.greatest(2 * F.avg("d"), F.lit(1e-12)).alias("base")))
+    pairs = keep(pairs.drop("d"))
+    looks = keep(g.groupBy("field").agg(F.sum("yy").alias("yy")).withColumns({"c": F.lit(1.0), "gap": F.lit(None).cast("double"), "least": F.lit(None).cast("double"), "stale": F.lit(0)}))
+    done, n = None, 0
+
+    def by_producer(now, strength):
+        cell = F.array_sort(F.collect_list(F.struct("i", "z", "u", "rho")))
+        rows = now.join(strength, ["field", "injector"]).groupBy("field", "producer").agg(cell.alias("v"))
+        part = lambda c: F.transform("v", lambda e: e[c]).alias(c)
+        return g.join(rows.select("field", "producer", part("z"), part("u"), part("rho")), ["field", "producer"])
+
+    while True:
+        n += 1
+        strength = base.join(looks.select("field", "c"), "field").select("field", "injector", (F.col("base") * F.col("c")).alias("rho"))
+        drawn = _drawn(by_producer(pairs, strength))
+        each = drawn.select("field", "producer", F.posexplode(F.arrays_zip("injectors", "f", "z", "u")).alias("i", "e"))
+        value = OVER * F.col("e.f") + (1 - OVER) * F.col("e.z") + F.col("e.u")
+        cell = F.array_sort(F.collect_list(F.struct("producer", "i", value.alias("v"))))
+        met = each.groupBy("field", F.col("e.injectors").alias("injector")).agg(cell.alias("a"))
+        part = lambda c: F.transform("a", lambda e: e[c])
+        moved = _bounded(met.select("field", "injector", part("producer").alias("producers"), part("i").alias("i"), part("v").alias("v")), bound)
+        pairs = moved.select("field", "injector", F.explode(F.arrays_zip("producers", "i", "z", "u")).alias("e"))
+        pairs = keep(pairs.select("field", F.col("e.producers").alias("producer"), "e.i", "injector", "e.z", "e.u"))
+        last = rounds is not None and n >= rounds
+        if n % LOOK and not last:
+            continue
+        price = pairs.join(strength, ["field", "injector"]).groupBy("field", "injector").agg(F.max(F.col("rho") * F.col("u")).alias("p"))
+        paid = price.groupBy("field").agg((bound * F.sum(F.greatest("p", F.lit(0.0)))).alias("paid"))
+        now = _both_sides(by_producer(pairs, strength)).join(paid, "field").join(looks.withColumnsRenamed({"gap": "was"}), "field")
+        now = now.withColumn("gap", F.greatest((F.col("primal") - F.col("dual") + F.col("paid")) / F.greatest("yy", F.lit(1e-300)), F.lit(0.0)))
+        weak = F.col("was").isNotNull() & (F.col("gap") > 0.3 * F.col("was"))
+        stale = F.when(F.col("least").isNull() | (F.col("gap") < 0.9 * F.col("least")), 0).otherwise(F.col("stale") + 1)
+        now = keep(now.select("field", "yy", F.when(weak, F.col("c") / 2).otherwise(F.col("c")).alias("c"), "gap", F.least("gap", F.coalesce("least", "gap")).alias("least"), stale.alias("stale"), weak.alias("weak")))
+        over = (F.col("gap") <= gap) | (F.col("stale") >= STALE) | F.lit(last)
+        part = pairs.join(now.where(over).select("field", "gap", (F.col("gap") <= gap).alias("settled")), "field")
+        part = keep(part.select("field", "injector", "producer", F.col("z").alias("f"), "gap", "settled"))
+        done = part if done is None else done.unionByName(part)
+        open_ = now.where(~over)
+        if open_.isEmpty():
+            return done
+        # prices are rho u: where the strength halves, u doubles
+        pairs = keep(pairs.join(open_.select("field", "weak"), "field").withColumn("u", F.when(F.col("weak"), 2 * F.col("u")).otherwise(F.col("u"))).drop("weak"))
+        looks = keep(open_.drop("weak"))
+        g, base = (keep(df.join(looks.select("field"), "field", "left_semi")) for df in (g, base))
 
 
 # ---------------------------------------------------------------------------------------------- aquifer

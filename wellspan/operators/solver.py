@@ -28,9 +28,8 @@ def bounded_least_squares(g: np.ndarray, r: np.ndarray, hi: np.ndarray, start: n
     size = max(1.0, float(np.abs(rs).max()))
     x = np.zeros(k) if start is None else np.where(live, np.clip(start * scale, 0.0, top), 0.0)
     free = (x > 0) & (x < top)
-    shut, chosen = ~live, -1  # those freed without any gain at this point
+    shut, chosen, least = ~live, -1, np.inf  # those freed without any gain at this point
     while True:
-        moved = False
         while free.any():
             at = np.flatnonzero(free)
             part = gs[at]
@@ -38,24 +37,27 @@ def bounded_least_squares(g: np.ndarray, r: np.ndarray, hi: np.ndarray, start: n
             try:
                 z = np.linalg.solve(part[:, at], want)
             except np.linalg.LinAlgError:
+                z = np.full(len(at), np.nan)
+            if not np.isfinite(z).all():
                 z = np.linalg.lstsq(part[:, at], want, rcond=None)[0]
             step = z - x[at]
             out = (z < 0) | (z > top[at])
             if not out.any():
-                moved |= bool(np.abs(step).max() > 0)
                 x[at] = z
                 break
             reach = np.full(len(at), np.inf)
             reach[out] = np.where(z[out] < 0, x[at[out]], top[at[out]] - x[at[out]]) / np.abs(step[out])
             share = float(np.clip(reach.min(), 0.0, 1.0))
-            moved |= share > 0
             x[at] = np.clip(x[at] + share * step, 0.0, top[at])
             hit = out & (reach <= reach.min())
             x[at[hit]] = np.where(z[hit] < 0, 0.0, top[at[hit]])
             free[at[hit]] = False
         w = rs - gs @ x
+        value = -float(x @ (w + rs))
         if chosen >= 0:
-            shut = ~live if moved else shut | (np.arange(k) == chosen)
+            fell = value < least - 1e-14 * max(1.0, abs(value))
+            shut = ~live if fell else shut | (np.arange(k) == chosen)
+        least = min(least, value)
         pull = np.where(x <= 0, w, np.where(x >= top, -w, 0.0))
         pull[free | shut] = 0.0
         chosen = int(np.argmax(pull))

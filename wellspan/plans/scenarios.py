@@ -155,12 +155,12 @@ def pattern_balance(current: DataFrame, liquid: DataFrame, vrr: float) -> DataFr
 
 
 def gradient_by(df: DataFrame, keys: list[str], x: str, y: str, out: str) -> DataFrame:
-    """Derivative on an uneven grid: second-order inside, one-sided at the ends."""
+    """Derivative on an uneven grid: second-order inside, one-sided at the ends; null where two neighbours share one x."""
     w = Window.partitionBy(*keys).orderBy(x)
     xl, xr, yl, yr = F.lag(x).over(w), F.lead(x).over(w), F.lag(y).over(w), F.lead(y).over(w)
     hs, hd = F.col(x) - xl, xr - F.col(x)
-    inner = (hs * hs * yr + (hd * hd - hs * hs) * F.col(y) - hd * hd * yl) / (hs * hd * (hd + hs))
-    left, right = (yr - F.col(y)) / hd, (F.col(y) - yl) / hs
+    inner = F.try_divide(hs * hs * yr + (hd * hd - hs * hs) * F.col(y) - hd * hd * yl, hs * hd * (hd + hs))
+    left, right = F.try_divide(yr - F.col(y), hd), F.try_divide(F.col(y) - yl, hs)
     return df.withColumn(out, F.when(xl.isNull(), left).when(xr.isNull(), right).otherwise(inner))
 
 
