@@ -272,3 +272,22 @@ def test_vectors(spark):
     assert sum(r["n_links"] for r in out) >= 0.9 * sum(degree.values()) and all(r["n_links"] <= degree[r["vec_id"]] for r in out)
     assert all(r["component_id"] == want.get(r["vec_id"]) and r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in out)
     assert vectors.linked(table.limit(0)).count() == 0
+
+
+def test_marks_never_part_similar_sets(spark):
+    r = random.Random(5)
+    cases = []
+    for n in [1, 2, 5, 9, 60, 64, 65, 100, 128, 129, 500, 1000]:
+        for share in [0.0, 0.3, 0.6, 0.79, 0.8, 0.81, 0.9, 1.0]:
+            common = [r.getrandbits(64) for _ in range(n)]
+            left = set(common) | {r.getrandbits(64) for _ in range(r.randint(0, int(n * (1 - share)) + 1))}
+            right = set(common) | {r.getrandbits(64) for _ in range(r.randint(0, int(n * (1 - share)) + 1))}
+            if share == 0.0:
+                right = {r.getrandbits(64) for _ in range(n)}
+            cases.append((np.array(sorted(left), np.uint64), np.array(sorted(right), np.uint64)))
+    sizes = spark.createDataFrame([(k, len(s), len(s), jaccard.marks_of(s).tolist()) for k, s in enumerate(x for pair in cases for x in pair)], "id long, low long, high long, marks array<long>")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(len(cases))], "a long, b long")
+    kept = {row["a"] // 2 for row in jaccard.worth_reading(pairs, sizes).collect()}
+    similar = {k for k, (a, b) in enumerate(cases) if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    assert similar <= kept and len(similar) > 20
+    assert not any(k in kept for k, (a, b) in enumerate(cases) if len(a) >= 60 and not len(np.intersect1d(a, b)))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from wellspan.llm.bpe import pack, unpack
 from wellspan.llm.common import keep_table
@@ -30,25 +30,43 @@ def prefix_length(n: int) -> int:
     return n - -(-SHARE * n // WHOLE) + 1 if n else 0
 
 
+def marks_of(grams: np.ndarray) -> np.ndarray:
+    """One bit for each hash bucket: whether it holds an odd number of the n-grams. There are as many buckets as n-grams, up to the
+    next power of 2, 64 at least. Two sets' marks differ in no more bits than the sets do in n-grams."""
+    size = 1 << max(6, (len(grams) - 1).bit_length())
+    odd = np.bincount((grams >> np.uint64(SKETCH_BITS)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def unlike(a: Column, b: Column) -> Column:
+    """In how many bits two marks differ, after the longer one is folded to the length of the other; null if it is over twice as long."""
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    halved = lambda x: xor(F.slice(x, 1, F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.floor(F.size(x) / 2).cast("int")))
+    bits = lambda x, y: F.aggregate(xor(x, y), F.lit(0), lambda total, word: total + F.bit_count(word))
+    same, longer, shorter = F.size(a) == F.size(b), F.size(a) == 2 * F.size(b), F.size(b) == 2 * F.size(a)
+    return F.when(same, bits(a, b)).when(longer, bits(halved(a), b)).when(shorter, bits(a, halved(b)))
+
+
 def facts_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows of documents (doc_id, n, digest of the set) and, with ``range`` set, of n-gram counts by hash bucket."""
+    """Rows of documents (doc_id, n, digest and marks of the set) and, with ``range`` set, of n-gram counts by hash bucket."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, kind, mask = np.zeros(1 << SKETCH_BITS, np.int64), pa.int64(), np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["doc_id", "n", "digest", "range", "counts"]
+        names, marked = ["doc_id", "n", "digest", "marks", "range", "counts"], pa.list_(pa.int64())
         for batch in batches:
-            kind, n, digests = batch.schema.field(0).type, [], []
+            kind, n, digests, marks = batch.schema.field(0).type, [], [], []
             for _, sets in in_batches(batch, 1):
                 n += [len(s) for s in sets]
                 digests += [hashlib.md5(s.tobytes()).digest() for s in sets]
+                marks += [marks_of(s) for s in sets]
                 counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, marked), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if counts.any():
             parts = [pack(np.minimum(x, 0xFFFFFFFF)) for x in counts.reshape(RANGES, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, kind), pa.nulls(RANGES, pa.int64()), pa.nulls(RANGES, pa.binary()), pa.array(range(RANGES), pa.int32()), pa.array(parts)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, kind), pa.nulls(RANGES, pa.int64()), pa.nulls(RANGES, pa.binary()), pa.nulls(RANGES, marked), pa.array(range(RANGES), pa.int32()), pa.array(parts)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, digest binary, range int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n long, digest binary, marks array<long>, range int, counts binary")
 
 
 def rarity(counts: DataFrame, part: str) -> np.ndarray:
@@ -186,11 +204,22 @@ def verify_partners(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return forest.frame()
 
 
-def of_like_size(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sets can be similar: the smaller holds SHARE / WHOLE of the larger at least."""
-    side = lambda x: sizes.select(F.col("id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter((WHOLE * F.col("a_high") >= SHARE * F.col("b_low")) & (WHOLE * F.col("b_high") >= SHARE * F.col("a_low"))).select("a", "b")
+def like_sizes() -> Column:
+    """Sets of ``a`` and ``b`` can be similar by their sizes: the smaller holds SHARE / WHOLE of the larger at least."""
+    return (WHOLE * F.col("a_high") >= SHARE * F.col("b_low")) & (WHOLE * F.col("b_high") >= SHARE * F.col("a_low"))
+
+
+def worth_reading(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs whose sets can be similar by their sizes and marks, a small part of the sets' length.
+
+    Similar sets differ in at most as many n-grams as the shared ones they need leave over; where the marks differ in more bits, the
+    pair is no link. Ids that name several sets have no marks, and their pairs stay.
+    """
+    side = lambda x: sizes.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("low", "high", "marks")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(like_sizes())
+    total = F.col("a_low") + F.col("b_low")
+    spare = total - 2 * F.ceil(SHARE * total / (SHARE + WHOLE))
+    return both.filter(F.coalesce(unlike(F.col("a_marks"), F.col("b_marks")) <= spare, F.lit(True))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,8 +237,8 @@ def joined(docs: DataFrame) -> DataFrame:
 
     1. One scan hashes all sets, names equal sets and counts n-grams by bucket. 2. A second takes the rarest n-grams of each
     set: similar sets share one of those, and only the first of equal sets goes on. 3. Each document meets the least one that
-    shares a rare n-gram; most copies hang together after that. 4. Pairs from n-grams that few share are compared where their
-    components differ. 5. Documents that share an n-gram with many form families, cut into blocks by size; every two blocks are
+    shares a rare n-gram; most copies hang together after that. Sets are read only for pairs whose marks (``worth_reading``) allow a
+    link. 4. Pairs from n-grams that few share are compared where their components differ. 5. Documents that share an n-gram with many form families, cut into blocks by size; every two blocks are
     one group, in which a prefix tree of one is walked with the sets of the other. Groups return (id, least id), so pairs within
     large groups are never listed, and no group grows with a family. 6. Connected components of all links.
 
@@ -219,26 +248,26 @@ def joined(docs: DataFrame) -> DataFrame:
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     scanned = keep_table(facts_and_counts(docs).withColumn("part", F.spark_partition_id()))
     level = spark.sparkContext.broadcast(rarity(scanned.filter("range is not null").select("range", "counts", "part"), "part"))
-    facts = scanned.filter("range is null").select("doc_id", "n", "digest")
-    classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n").alias("n")))
-    firsts = keep_table(classes.groupBy(F.col("least").alias("id")).agg(F.min("n").alias("low"), F.max("n").alias("high")))  # more than one size only where an id repeats
+    facts = scanned.filter("range is null").select("doc_id", "n", "digest", "marks")
+    classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("marks").alias("marks")))
+    firsts = keep_table(classes.groupBy(F.col("least").alias("id")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.when(F.count("*") == 1, F.min("marks")).alias("marks")))  # more than one set only where an id repeats
     rare = prefixes(docs, level)
     met = keep_table(rare.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("gram"))
-    shared = keep_table(rare.join(met, "gram").join(firsts.select("id"), "id"))
+    shared = keep_table(rare.join(met, "gram").join(firsts.select("id", "low", "high"), "id"))
     heads = keep_table(shared.groupBy("gram").agg(F.min("id").alias("head"), F.count("*").alias("k")).filter("k > 1"))
     stars = keep_table(shared.join(heads, "gram").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("k") > LISTED).alias("large")))
-    first_pairs = keep_table(of_like_size(stars.select("a", "b").distinct(), firsts))
+    first_pairs = keep_table(worth_reading(stars.select("a", "b").distinct(), firsts))
     few = keep_table(shared.join(heads.filter((F.col("k") > 2) & (F.col("k") <= LISTED)).select("gram"), "gram"))
-    other = few.select("gram", F.col("id").alias("b"))
-    listed = few.withColumnRenamed("id", "a").join(other, "gram").filter("a < b").select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
-    listed = keep_table(of_like_size(listed, firsts))
+    named = lambda x: few.select("gram", F.col("id").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"))
+    listed = named("a").join(named("b"), "gram").filter(F.col("a") < F.col("b")).filter(like_sizes()).select("a", "b").distinct().join(first_pairs, ["a", "b"], "left_anti")
+    listed = keep_table(worth_reading(listed, firsts))
     met_ids = first_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(listed.select(F.explode(F.array("a", "b")).alias("doc_id")))
     met_ids = keep_table(met_ids.unionByName(stars.filter("large").select(F.explode(F.array("a", "b")).alias("doc_id"))).distinct())
     sets = keep_table(set_rows(docs.select("doc_id", "text").join(met_ids, "doc_id"), level))
     links = verified(first_pairs, sets)
     known = keep_table(components(links))
-    named = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
-    apart = listed.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    placed_in = lambda side: known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    apart = listed.join(placed_in("a"), "a", "left").join(placed_in("b"), "b", "left").filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     links = links.unionByName(verified(keep_table(apart), sets))
 
     families = keep_table(components(stars.filter("large").select("a", "b")))
