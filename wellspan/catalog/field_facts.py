@@ -113,11 +113,9 @@ def one_field(t):
     )
 
 
-@query("block_map", """select e.field, e.entity, e.role, max(block) block from b_entities e left join b_category c on c.field=e.field and c.well=e.well and c.reservoir='A'
- and block<>'CHINA' group by 1,2,3""")
+@query("block_map", """select e.field, e.entity, e.role, max(block) block from b_entities e left join b_category c on c.field=e.field and c.well=e.well group by 1,2,3""")
 def _(t):
-    cat = t.category().where((F.col("reservoir") == "A") & (F.col("block") != "CHINA"))
-    return sectors.block_map(entities(t), cat).select("field", "entity", "role", "block")
+    return sectors.block_map(entities(t), t.category()).select("field", "entity", "role", "block")
 
 
 @query("nearest_wells", "select field, role, id, round(d,6) d from b_near")

@@ -191,12 +191,15 @@ def _(t):
     return reverts(t).select("field", "injector", r("rate_from", 5), F.array_join("producers", ", ").alias("producers"))
 
 
-@query("dq_diff", """select field, entity, round(b,6) "before", round(a,6) "after" from (select field, entity, avg((days_on>0)::int) b from b_grid where step<n_steps-6 and entity<>'S-1' group by 1,2)
- full join (select field, entity, avg((days_on>0)::int) a from b_grid where entity<>'S-2@P' group by 1,2) using (field, entity) where b is distinct from a""")
+@query("dq_diff", """select field, entity, round(b,6) "before", round(a,6) "after" from (select field, entity, avg((days_on>0)::int) b from b_grid where step<n_steps-6 group by 1,2 union all select distinct field, 'closed', 1.0 from b_grid)
+ full join (select field, entity, avg((days_on>0)::int) a from b_grid group by 1,2 union all select distinct field, 'opened', 1.0 from b_grid) using (field, entity) where b is distinct from a""")
 def _(t):
     g = stages.grid(t)
     c = lambda d: sv.coverage(d).withColumnRenamed("coverage", "value")
-    out = sv.dq_diff(c(g.where((F.col("step") < F.col("n_steps") - 6) & (F.col("entity") != "S-1"))), c(g.where(F.col("entity") != "S-2@P")), ["field", "entity"])
+    extra = lambda name: g.select("field").distinct().select("field", F.lit(name).alias("entity"), F.lit(1.0).alias("value"))
+    earlier = c(g.where(F.col("step") < F.col("n_steps") - 6)).select("field", "entity", "value").unionByName(extra("closed"))
+    later = c(g).select("field", "entity", "value").unionByName(extra("opened"))
+    out = sv.dq_diff(earlier, later, ["field", "entity"])
     return out.select("field", "entity", r("before"), r("after"))
 
 
@@ -238,13 +241,14 @@ def found_conditions(t):
 CTES["b_dq"] = """select field, round(c.cov,6) mean_coverage, n_steps, coalesce(o.n,0)::bigint outliers_removed, s.n::bigint simultaneous_steps, coalesce(u.n,0) unmatched_ids, s.k+(coalesce(u.n,0)>0)::int+(n_steps<36)::int n_warnings,
  case when n_steps<8 then 'red' when s.k+(coalesce(u.n,0)>0)::int+(n_steps<36)::int>0 then 'amber' else 'green' end traffic_light from (select field, avg((days_on>0)::int) cov, max(n_steps) n_steps from b_grid group by 1) c
  left join (select field, count(*) filter (is_spike) n from b_clean group by 1) o using (field) left join (select field, sum(n_simultaneous) n, count(*) filter (n_simultaneous>0) k from b_types group by 1) s using (field)
- left join (select field, count(*) n from (select distinct field, well from b_pressure where well not in (select well from b_rates where q_oil>80)) group by 1) u using (field)"""
+ left join (select field, count(*) n from (select distinct field, well from (select field, well from b_pressure union all select field, concat('X-', well) from b_pressure where src='ESP') where well not in (select well from b_rates)) group by 1) u using (field)"""
 
 
 def dq(t):
     types = roles.well_types(t.rates())
-    known = t.rates().where(F.col("q_oil") > 80).select("field", "well").distinct()
-    miss = t.pressure().select("field", "well").distinct().join(known, ["field", "well"], "left_anti")
+    known, gauges = t.rates().select("field", "well").distinct(), t.pressure()
+    unknown = gauges.where(F.col("src") == "ESP").select("field", F.concat(F.lit("X-"), "well").alias("well"))
+    miss = gauges.select("field", "well").unionByName(unknown).distinct().join(known, ["field", "well"], "left_anti")
     g = stages.grid(t)
     return sv.dq_report(g, clean.outlier_report(clean.clean_grid(g)), types, miss)
 
@@ -254,15 +258,16 @@ def _(t):
     return dq(t).withColumn("mean_coverage", rd("mean_coverage"))
 
 
-CTES["b_bt"] = """select o.field, o.step origin, p.producer, p.step-o.step+1 h, p.pred*coalesce(least(greatest(o.lo/o.lf,0.5),2),1) forecast, p.liq actual from (select *, avg(case when gd then liq end) over w lo, avg(case when gd then pred end) over w lf
- from (select *, "on" and liq>0 and pred>0 gd from b_pred where member=2) window w as (partition by field, producer order by step rows between 3 preceding and 1 preceding)) o
- join (select * from b_pred where member=2 and "on") p on p.field=o.field and p.producer=o.producer and p.step>=o.step and p.step<o.step+6 where o.step>=24 and (o.step-24)%3=0"""
+CTES["b_bt"] = """select o.field, o.member, o.step origin, p.producer, p.step-o.step+1 h, p.pred*coalesce(least(greatest(o.lo/o.lf,0.5),2),1) forecast, p.liq actual from (select *, avg(case when gd then liq end) over w lo, avg(case when gd then pred end) over w lf
+ from (select *, "on" and liq>0 and pred>0 gd from b_pred) window w as (partition by field, member, producer order by step rows between 3 preceding and 1 preceding)) o
+ join (select * from b_pred where "on") p on p.field=o.field and p.member=o.member and p.producer=o.producer and p.step>=o.step and p.step<o.step+6 where o.step>=24 and (o.step-24)%3=0"""
 
 
-@query("backtest_origins", "select field, h, round(sum(forecast)/sum(actual),4) ratio, count(*) n from b_bt group by 1,2")
+@query("backtest_origins", "select field, member, h, round(sum(forecast)/sum(actual),4) ratio, count(*) n from b_bt group by 1,2,3")
 def _(t):
-    rows = sv.backtest_origins(stages.predictions(t).where(F.col("member") == 2), 24, 3, 6)
-    return sv.backtest_summary(rows).select("field", "h", r("ratio", 4), "n")
+    ks = ["field", "member"]
+    rows = sv.backtest_origins(stages.predictions(t), 24, 3, 6, ks)
+    return sv.backtest_summary(rows, ks).select(*ks, "h", r("ratio", 4), "n")
 
 
 # ------------------------------------------------------------------ reports
@@ -300,17 +305,17 @@ def _(t):
     return c.select("field", "injector", "producer", r("f_ij"), r("pair_confidence"), r("distance_m", 5))
 
 
-@query("report_tau", "select field, producer, tau tau_days, round(blind_r2,4) blind_r2, round(blind_mape,3) blind_mape_pct from b_prod left join (select * from b_vr where producer is not null and member=2) using (field, producer)")
+@query("report_tau", "select field, member, producer, tau tau_days, round(blind_r2,4) blind_r2, round(blind_mape,3) blind_mape_pct from b_prod left join (select * from b_vr where producer is not null) using (field, producer)")
 def _(t):
-    rep = report(t).where(F.col("producer").isNotNull() & (F.col("member") == 2)).select("field", "producer", "blind_r2", "blind_mape")
-    return reports.tau(stages.params(t), rep).select("field", "producer", "tau_days", r("blind_r2", 4), r("blind_mape_pct", 3))
+    rep = report(t).where(F.col("producer").isNotNull()).select("field", "member", "producer", "blind_r2", "blind_mape")
+    return reports.tau(stages.params(t), rep, ["member"]).select("field", "member", "producer", "tau_days", r("blind_r2", 4), r("blind_mape_pct", 3))
 
 
-@query("report_history_match", f"""select c.field, c.entity producer, c.date, round(liq_raw*{_BPD},3) raw_liquid, round(c.liq*{_BPD},3) cleaned_liquid, round(pred*{_BPD},3) model_liquid, round(c.oil*{_BPD},3) oil, round(c.water*{_BPD},3) water, c.step>=n_train blind
- from b_clean c join b_split using (field) join b_pred p on p.field=c.field and p.producer=c.entity and p.step=c.step and p.member=2 where c.role='P'""")
+@query("report_history_match", f"""select c.field, p.member, c.entity producer, c.date, round(liq_raw*{_BPD},3) raw_liquid, round(c.liq*{_BPD},3) cleaned_liquid, round(pred*{_BPD},3) model_liquid, round(c.oil*{_BPD},3) oil, round(c.water*{_BPD},3) water, c.step>=n_train blind
+ from b_clean c join b_split using (field) join b_pred p on p.field=c.field and p.producer=c.entity and p.step=c.step where c.role='P'""")
 def _(t):
-    h = reports.history_match(clean.clean_grid(stages.grid(t)), stages.predictions(t).where(F.col("member") == 2))
-    return h.select("field", "producer", "date", *[r(c, 3) for c in ("raw_liquid", "cleaned_liquid", "model_liquid", "oil", "water")], "blind")
+    h = reports.history_match(clean.clean_grid(stages.grid(t)), stages.predictions(t), keys=["member"])
+    return h.select("field", "member", "producer", "date", *[r(c, 3) for c in ("raw_liquid", "cleaned_liquid", "model_liquid", "oil", "water")], "blind")
 
 
 _FF = ", ".join(f"round(max(case when \"plan\"='{p}' then {q} end)*{_BPD},3) {n}_{q}" for n, p in (("plan", "tilt"), ("base", "base")) for q in ("p10", "p50", "p90"))

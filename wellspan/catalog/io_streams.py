@@ -118,16 +118,16 @@ def _(t):
     return back.select("field", "injector", r("rate", 4))
 
 
-@query("export_json", """select field, producer, tau, round(blind_r2,4) blind_r2, coalesce(n,0) n_injectors, round(coalesce(s,0),5) sum_f from b_prod left join (select field, producer, count(*) n, sum(f) s from b_pair group by 1,2) using (field, producer)
- left join (select field, producer, blind_r2 from b_vr where producer is not null and member=2) using (field, producer)""")
+@query("export_json", """select field, member, producer, tau, round(blind_r2,4) blind_r2, coalesce(n,0) n_injectors, round(coalesce(s,0),5) sum_f from b_prod left join (select field, producer, count(*) n, sum(f) s from b_pair group by 1,2) using (field, producer)
+ left join (select field, member, producer, blind_r2 from b_vr where producer is not null) using (field, producer)""")
 def _(t):
     path = scratch(t, "json")
-    m = report(t).where(F.col("producer").isNotNull() & (F.col("member") == 2)).select("field", "producer", "blind_r2")
+    m = report(t).where(F.col("producer").isNotNull()).select("field", "member", "producer", "blind_r2")
     exports.export_json(exports.model_json(stages.params(t), stages.pairs(t), m), path)
-    back = t.spark.read.schema("field string, producer string, tau double, blind_r2 double, f_ij map<string,double>").json(path)
+    back = t.spark.read.schema("field string, member int, producer string, tau double, blind_r2 double, f_ij map<string,double>").json(path)
     vals = F.coalesce(F.map_values("f_ij"), F.array().cast("array<double>"))
     total = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
-    return back.select("field", "producer", "tau", r("blind_r2", 4), F.size(vals).cast("bigint").alias("n_injectors"), rd(total, 5).alias("sum_f"))
+    return back.select("field", "member", "producer", "tau", r("blind_r2", 4), F.size(vals).cast("bigint").alias("n_injectors"), rd(total, 5).alias("sum_f"))
 
 
 @query("writeback_append", """select well, target_rate, rate_unit, recommendation_id, approved_by from (select injector well, round(rate,3) target_rate, 'm3/d' rate_unit, regionkey::varchar recommendation_id from b_plan

@@ -120,12 +120,12 @@ def _(t):
     return fc(t).select("field", "plan", "member", "producer", "h", r("oil", 4), r("water", 4), r("cwi", 2))
 
 
-@query("forecast_liquid_monthly", """select field, member, producer, h, round(liq,4) liq from b_fc where "plan"='base'""")
+@query("forecast_liquid_monthly", """select field, "plan", member, producer, h, round(liq,4) liq from b_fc""")
 def _(t):
-    """The same base plan given month by month, through the response filter instead of the closed form."""
-    h = plans(t).where(F.col("plan") == "base").withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    """The same plans given month by month, through the response filter instead of the closed form."""
+    h = plans(t).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(24))))
     src = forecast.plan_sources(h, stages.member_pairs(t), g_end(t), ["field", "plan"], producers=state(t))
-    return forecast.simulate(src, state(t), calendar(t), ["field", "plan"]).select("field", "member", "producer", "h", r("liq", 4))
+    return forecast.simulate(src, state(t), calendar(t), ["field", "plan"]).select("field", "plan", "member", "producer", "h", r("liq", 4))
 
 
 @query("forecast_totals", """select field, "plan", member, round(cum_oil,2) cum_oil, round(cum_water,2) cum_water, round(cum_water/(cum_oil+cum_water),6) water_cut from b_tot""")

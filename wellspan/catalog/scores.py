@@ -93,13 +93,13 @@ def _(t):
     return oilcut.surface_ratio(prod(t)).select("field", "producer", r("ratio"))
 
 
-@query("oil_prediction", """select field, producer, step, round(pred*ratio*b_fo(alpha,beta,"offset",cwi),4) oil from b_pred join b_ratio using (field, producer)
- join b_wor using (field, producer) join (select field, producer, step, cwi from b_alloc) using (field, producer, step) where member=2""")
+@query("oil_prediction", """select field, member, producer, step, round(pred*ratio*b_fo(alpha,beta,"offset",cwi),4) oil from b_pred join b_ratio using (field, producer)
+ join b_wor using (field, producer) join (select field, producer, step, cwi from b_alloc) using (field, producer, step)""")
 def _(t):
-    p = stages.predictions(t).where(F.col("member") == 2).join(oilcut.surface_ratio(prod(t)), fit.PROD).join(wor(t), fit.PROD)
+    p = stages.predictions(t).join(oilcut.surface_ratio(prod(t)), fit.PROD).join(wor(t), fit.PROD)
     p = p.join(alloc(t).select(*fit.PROD, "step", "cwi"), [*fit.PROD, "step"])
     fo = oilcut.eval_wor_power(F.col("alpha"), F.col("beta"), F.col("offset"), F.col("cwi"))
-    return p.select("field", "producer", "step", rd(oilcut.oil_prediction(F.col("pred"), F.col("ratio"), fo), 4).alias("oil"))
+    return p.select("field", "member", "producer", "step", rd(oilcut.oil_prediction(F.col("pred"), F.col("ratio"), fo), 4).alias("oil"))
 
 
 @query("koval_cut", """select field, producer, step, round(case when td<1/4.0 then 0 when td>4.0 then 1 else least(greatest((4.0-sqrt(4.0/td))/3.0,0),1) end,6) water_cut from (
@@ -129,10 +129,10 @@ def _(t):
     return oilcut.recent_oil_cut(prod(t)).select("field", "producer", r("oil_cut"))
 
 
-@query("recent_level_ratio", """select field, producer, round(case when count(*)>=2 and avg(pred)>0 and avg(liq)>0 then least(greatest(avg(liq)/avg(pred),0.5),2) else 1 end,5) level from (
- select *, row_number() over (partition by field, producer order by step desc) k from b_pred where "on" and member=2) where k<=3 group by 1,2""")
+@query("recent_level_ratio", """select field, member, producer, round(case when count(*)>=2 and avg(pred)>0 and avg(liq)>0 then least(greatest(avg(liq)/avg(pred),0.5),2) else 1 end,5) level from (
+ select *, row_number() over (partition by field, member, producer order by step desc) k from b_pred where "on") where k<=3 group by 1,2,3""")
 def _(t):
-    return oilcut.recent_level_ratio(stages.predictions(t).where(F.col("member") == 2)).select("field", "producer", r("level", 5))
+    return oilcut.recent_level_ratio(stages.predictions(t), keys=["field", "member", "producer"]).select("field", "member", "producer", r("level", 5))
 
 
 @query("active_producers", "select field, producer, coalesce(bool_or(live) filter (step>=n_steps-3),false) active from b_p group by 1,2")
@@ -220,18 +220,18 @@ def _(t):
     )
 
 
-@query("r2", f"select field, producer, round(train_r2,4) r2 from b_vr where {_PER} and member=2")
+@query("r2", f"select field, member, producer, round(train_r2,4) r2 from b_vr where {_PER}")
 def _(t):
-    p = stages.predictions(t).where(F.col("member") == 2).join(stages.n_train(t), "field")
+    p = stages.predictions(t).join(stages.n_train(t), "field")
     mask = F.col("on") & (F.col("step") < F.col("n_train"))
-    return p.groupBy("field", "producer").agg(rd(verify.r2_of(F.col("liq"), F.col("pred"), mask), 4).alias("r2"))
+    return p.groupBy("field", "member", "producer").agg(rd(verify.r2_of(F.col("liq"), F.col("pred"), mask), 4).alias("r2"))
 
 
-@query("mape", f"select field, producer, round(blind_mape,3) mape from b_vr where {_PER} and member=2")
+@query("mape", f"select field, member, producer, round(blind_mape,3) mape from b_vr where {_PER}")
 def _(t):
-    p = stages.predictions(t).where(F.col("member") == 2).join(stages.n_train(t), "field")
+    p = stages.predictions(t).join(stages.n_train(t), "field")
     mask = F.col("on") & (F.col("step") >= F.col("n_train"))
-    return p.groupBy("field", "producer").agg(rd(verify.mape_of(F.col("liq"), F.col("pred"), mask), 3).alias("mape"))
+    return p.groupBy("field", "member", "producer").agg(rd(verify.mape_of(F.col("liq"), F.col("pred"), mask), 3).alias("mape"))
 
 
 CTES["b_rho"] = """select field, member, producer, case when count(*)>=4 and sum(e*e)>0 then sum(e*l)/sum(e*e) else 0 end rho1 from (

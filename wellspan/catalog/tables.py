@@ -124,10 +124,10 @@ def _(t):
     return conform.fill_missing_columns(t.rates().select("field", "well", "date", "q_oil"))
 
 
-@query("unmatched_ids", """select distinct well from b_pressure where well not in (select well from b_rates where date<date '1995-02-01' and q_oil>20)""")
+@query("unmatched_ids", """select distinct well from (select well from b_pressure union all select concat('X-', well) from b_pressure) where well not in (select well from b_rates)""")
 def _(t):
-    early = t.rates().where((F.col("date") < F.lit("1995-02-01").cast("date")) & (F.col("q_oil") > 20))
-    return conform.unmatched_ids(early, t.pressure())
+    gauges = t.pressure().select("well")
+    return conform.unmatched_ids(t.rates(), gauges.unionByName(gauges.select(F.concat(F.lit("X-"), "well").alias("well"))))
 
 
 # ------------------------------------------------------------------ filters and listings
@@ -308,18 +308,23 @@ def _(t):
     return raw_grid(t).select("field", "entity", "step", rd("liq").alias("liq"), rd("inj").alias("inj"))
 
 
-@query("pivot_wide", """select field, date, max(oil) filter (entity='S-1') "S-1", max(oil) filter (entity='S-4') "S-4", max(oil) filter (entity='S-7') "S-7"
- from b_grid where entity in ('S-1','S-4','S-7') group by 1,2""")
+@query("pivot_wide", """select field, date, (k//4)::int page, max(entity) filter (k%4=0) e0, max(entity) filter (k%4=1) e1, max(entity) filter (k%4=2) e2, max(entity) filter (k%4=3) e3,
+ max(oil) filter (k%4=0) v0, max(oil) filter (k%4=1) v1, max(oil) filter (k%4=2) v2, max(oil) filter (k%4=3) v3
+ from b_grid join (select field, entity, row_number() over (partition by field order by entity)-1 k from (select distinct field, entity from b_grid)) using (field, entity) group by 1,2,3""")
 def _(t):
-    return grid.pivot_wide(raw_grid(t), "oil", ["S-1", "S-4", "S-7"])
+    return grid.pivot_pages(raw_grid(t), "oil", 4)
 
 
-@query("entity_coords", """select e.field, entity, role, e.well, x, y, usable from (select * from b_entities) e
- left join (select * from b_coords where cast(substr(well,3) as int)%50<>3) c using (field, well)
- join (select field, bool_and(cast(substr(well,3) as int)%50<>3) usable from b_entities group by 1) u on u.field=e.field""")
+@query("entity_coords", """with e as (select field, entity, role, well from b_entities union all select concat(field,' new'), entity, role, well from b_entities union all select distinct concat(field,' new'), 'S-1', 'P', 'S-1' from b_entities),
+ c as (select field, well, x, y from b_coords union all select concat(field,' new'), well, x, y from b_coords)
+ select distinct e.field, entity, role, e.well, x, y, usable from e left join c using (field, well)
+ join (select e.field, bool_and(x is not null and y is not null) usable from e left join c using (field, well) group by 1) u on u.field=e.field""")
 def _(t):
-    partial = t.coords().where(F.substring("well", 3, 20).cast("int") % 50 != 3)
-    return grid.entity_coords(entities(t), partial)
+    """Every field as it is, and once more with a well added that has coordinates in one field only."""
+    named = lambda d: d.withColumn("field", F.concat("field", F.lit(" new")))
+    e, c = entities(t), t.coords()
+    added = named(e).select("field").distinct().withColumns({"well": F.lit("S-1"), "entity": F.lit("S-1"), "role": F.lit("P")})
+    return grid.entity_coords(e.unionByName(named(e)).unionByName(added).distinct(), c.unionByName(named(c)))
 
 
 @query("window_slice", """select field, entity, step-12 step, t_days-t0 t_days, case when step=12 then dt1 else dt_days end dt_days, least(60,n_steps)-12 n_steps from (
@@ -329,10 +334,10 @@ def _(t):
     return grid.window_slice(raw_grid(t), 12, 60).select("field", "entity", "step", "t_days", "dt_days", "n_steps")
 
 
-@query("active_entities", """select field, entity, count(*) n, round(sum(coalesce(liq,inj)),4) volume from b_grid where step<24 group by 1,2
+@query("active_entities", """select field, entity, count(*) n, round(sum(coalesce(liq,inj)),4) volume from b_grid group by 1,2
  having count(*) filter (days_on>0)>=20 and sum(coalesce(liq,inj))>0""")
 def _(t):
-    g = grid.active_entities(raw_grid(t).where(F.col("step") < 24), 20)
+    g = grid.active_entities(raw_grid(t), 20)
     return g.groupBy("field", "entity").agg(F.count(F.lit(1)).alias("n"), rd(F.sum(F.coalesce("liq", "inj")), 4).alias("volume"))
 
 

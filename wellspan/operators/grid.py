@@ -84,6 +84,20 @@ def pivot_wide(grid: DataFrame, value: str, entities: list[str]) -> DataFrame:
     return part.groupBy("field", "date").pivot("entity", entities).agg(F.first(value))
 
 
+def pivot_pages(grid: DataFrame, value: str, width: int = 8) -> DataFrame:
+    """The reporting matrix of every entity, in pages of ``width`` columns: field, date, page, e0.. (names), v0.. (values).
+
+    Entities of a field are numbered by name; a page is as wide for a field of ten wells as for one of a million. A cell
+    without a row is null, name and value. Dates that a whole page lacks have no row in it.
+    """
+    names = grid.select("field", "entity").distinct()
+    numbered = names.withColumn("_k", F.row_number().over(Window.partitionBy("field").orderBy("entity")) - 1)
+    rows = grid.select("field", "date", "entity", F.col(value).alias("_v")).join(numbered, ["field", "entity"])
+    here = lambda c, i: F.max(F.when(F.col("_k") % width == i, F.col(c)))
+    cells = [here("entity", i).alias(f"e{i}") for i in range(width)] + [here("_v", i).alias(f"v{i}") for i in range(width)]
+    return rows.groupBy("field", "date", F.floor(F.col("_k") / width).cast("int").alias("page")).agg(*cells)
+
+
 def entity_coords(entities: DataFrame, coords: DataFrame) -> DataFrame:
     """Coordinates of each entity's well; ``usable`` is false for a field where any entity lacks them."""
     known = coords.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(

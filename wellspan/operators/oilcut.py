@@ -18,9 +18,9 @@ def allocated_water(support: DataFrame, steps: DataFrame, offset: float = 0.0) -
     return s.withColumn("support", F.coalesce("support", F.lit(0.0))).withColumn("cwi", offset + F.sum(vol).over(w))
 
 
-def fit_window_mask(rows: DataFrame, last: int) -> DataFrame:
+def fit_window_mask(rows: DataFrame, last: int, keys: list[str] | None = None) -> DataFrame:
     """Mark the last producing steps of each producer."""
-    recent = F.row_number().over(Window.partitionBy(*PROD, "on").orderBy(F.desc("step"))) <= last
+    recent = F.row_number().over(Window.partitionBy(*(keys or PROD), "on").orderBy(F.desc("step"))) <= last
     return rows.withColumn("in_fit", F.col("on") & recent)
 
 
@@ -124,8 +124,8 @@ def surface_ratio(prod: DataFrame) -> DataFrame:
     return prod.groupBy(*PROD).agg(F.coalesce(F.percentile(r, 0.5), F.lit(1.0)).alias("ratio"))
 
 
-def _recent(prod: DataFrame, months: int) -> DataFrame:
-    return fit_window_mask(prod, months).where("in_fit")
+def _recent(prod: DataFrame, months: int, keys: list[str] | None = None) -> DataFrame:
+    return fit_window_mask(prod, months, keys).where("in_fit")
 
 
 def recent_oil_cut(prod: DataFrame, months: int = 3) -> DataFrame:
@@ -133,13 +133,14 @@ def recent_oil_cut(prod: DataFrame, months: int = 3) -> DataFrame:
     return r.select(*PROD, F.when(F.col("l") > 0, F.col("o") / F.col("l")).alias("oil_cut"))
 
 
-def recent_level_ratio(pred: DataFrame, months: int = 3, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
+def recent_level_ratio(pred: DataFrame, months: int = 3, lo: float = 0.5, hi: float = 2.0, keys: list[str] | None = None) -> DataFrame:
     """Observed over fitted liquid on the last producing steps, clipped; one where there is nothing to compare."""
-    r = _recent(pred, months).groupBy(*PROD).agg(
+    ks = keys or PROD
+    r = _recent(pred, months, ks).groupBy(*ks).agg(
         F.count(F.lit(1)).alias("n"), F.avg("liq").alias("obs"), F.avg("pred").alias("fit")
     )
     ok = (F.col("n") >= 2) & (F.col("fit") > 0) & (F.col("obs") > 0)
-    return r.select(*PROD, F.when(ok, clip(F.col("obs") / F.col("fit"), lo, hi)).otherwise(1.0).alias("level"))
+    return r.select(*ks, F.when(ok, clip(F.col("obs") / F.col("fit"), lo, hi)).otherwise(1.0).alias("level"))
 
 
 def active_producers(prod: DataFrame, lookback: int = 3) -> DataFrame:

@@ -32,18 +32,20 @@ def connectivity(pairs: DataFrame, confidence: DataFrame) -> DataFrame:
     )
 
 
-def tau(params: DataFrame, report: DataFrame) -> DataFrame:
+def tau(params: DataFrame, report: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Time constants beside the scores of each model that ``keys`` name."""
     return params.join(report, ["field", "producer"], "left").select(
-        "field", "producer", F.col("tau").alias("tau_days"), "blind_r2", F.col("blind_mape").alias("blind_mape_pct")
+        "field", *(keys or []), "producer", F.col("tau").alias("tau_days"), "blind_r2", F.col("blind_mape").alias("blind_mape_pct")
     )
 
 
-def history_match(cleaned: DataFrame, pred: DataFrame, system: str = "field", cfg: Settings = DEFAULTS) -> DataFrame:
+def history_match(cleaned: DataFrame, pred: DataFrame, system: str = "field", cfg: Settings = DEFAULTS, keys: list[str] | None = None) -> DataFrame:
+    """Measured, cleaned and modelled rates by date, for each model that ``keys`` name."""
     c = cleaned.where(F.col("role") == "P").select("field", F.col("entity").alias("producer"), "step", "date", "n_steps", "liq_raw", "liq", "oil", "water")
-    r = c.join(pred.select("field", "producer", "step", "pred"), ["field", "producer", "step"], "left")
+    r = c.join(pred.select("field", *(keys or []), "producer", "step", "pred"), ["field", "producer", "step"], "left")
     d = lambda c: display(F.col(c), "rate", system)
     return r.select(
-        "field", "producer", "date", d("liq_raw").alias("raw_liquid"), d("liq").alias("cleaned_liquid"), d("pred").alias("model_liquid"),
+        "field", *(keys or []), "producer", "date", d("liq_raw").alias("raw_liquid"), d("liq").alias("cleaned_liquid"), d("pred").alias("model_liquid"),
         d("oil").alias("oil"), d("water").alias("water"), (F.col("step") >= F.col("n_steps") - n_blind(F.col("n_steps"), cfg)).alias("blind"),
     )
 

@@ -178,13 +178,14 @@ def coverage(grid: DataFrame) -> DataFrame:
     return grid.groupBy("field", "entity").agg(F.avg((F.col("days_on") > 0).cast("double")).alias("coverage"))
 
 
-def backtest_origins(pred: DataFrame, first_origin: int, every: int, horizon: int) -> DataFrame:
-    """Forecast beside actual from rolling origins: field, origin, producer, h, forecast, actual.
+def backtest_origins(pred: DataFrame, first_origin: int, every: int, horizon: int, keys: list[str] | None = None) -> DataFrame:
+    """Forecast beside actual from rolling origins: keys, origin, producer, h, forecast, actual.
 
     At an origin the model is lifted to the observed level of the last three steps before it and run ahead.  A step
     belongs to the few origins whose horizon covers it.
     """
-    w = Window.partitionBy("field", "producer").orderBy("step")
+    ks = keys or ["field"]
+    w = Window.partitionBy(*ks, "producer").orderBy("step")
     past = w.rowsBetween(-3, -1)
     on = F.col("on") & (F.col("liq") > 0) & (F.col("pred") > 0)
     p = pred.withColumn("_o", F.avg(F.when(on, F.col("liq"))).over(past)).withColumn("_f", F.avg(F.when(on, F.col("pred"))).over(past))
@@ -193,14 +194,15 @@ def backtest_origins(pred: DataFrame, first_origin: int, every: int, horizon: in
     last = F.floor((F.col("step") - first_origin) / every)
     k = F.filter(F.sequence(F.greatest(last - (horizon // every) - 1, F.lit(0)), F.greatest(last, F.lit(0))), lambda i: (i * every + first_origin <= F.col("step")) & (F.col("step") < i * every + first_origin + horizon))
     at = p.where((F.col("step") >= first_origin) & F.col("on")).withColumn("origin", F.explode(F.transform(k, lambda i: (i * every + first_origin).cast("int"))))
-    lv = p.select("field", "producer", F.col("step").alias("origin"), F.col("_level").alias("lv"))
-    out = at.join(lv, ["field", "producer", "origin"])
+    lv = p.select(*ks, "producer", F.col("step").alias("origin"), F.col("_level").alias("lv"))
+    out = at.join(lv, [*ks, "producer", "origin"])
     return out.select(
-        "field", "origin", "producer", (F.col("step") - F.col("origin") + 1).alias("h"), (F.col("pred") * F.col("lv")).alias("forecast"), F.col("liq").alias("actual")
+        *ks, "origin", "producer", (F.col("step") - F.col("origin") + 1).alias("h"), (F.col("pred") * F.col("lv")).alias("forecast"), F.col("liq").alias("actual")
     )
 
 
-def backtest_summary(rows: DataFrame) -> DataFrame:
+def backtest_summary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Forecast over actual by horizon month."""
-    s = rows.groupBy("field", "h").agg(F.sum("forecast").alias("f"), F.sum("actual").alias("a"), F.count(F.lit(1)).alias("n"))
-    return s.select("field", "h", F.when(F.col("a") > 0, F.col("f") / F.col("a")).alias("ratio"), "n")
+    ks = keys or ["field"]
+    s = rows.groupBy(*ks, "h").agg(F.sum("forecast").alias("f"), F.sum("actual").alias("a"), F.count(F.lit(1)).alias("n"))
+    return s.select(*ks, "h", F.when(F.col("a") > 0, F.col("f") / F.col("a")).alias("ratio"), "n")
