@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wellspan.llm.bpe import pack, unpack
@@ -19,6 +20,8 @@ from wellspan.llm.shingles import in_batches
 SKETCH_BITS, RANGES, PARTS = 22, 64, 256
 #: N-grams of the sets that a block holds (about); two blocks are compared at once.
 BLOCK = 60_000
+#: Rare n-grams that a block of documents and a range of names hold (about) when they are looked up.
+PACKED = 1 << 20
 #: Documents that share an n-gram are listed in pairs up to this number, beyond it compared by blocks; partners of one document compared at once.
 LISTED, PARTNERS = 64, 64
 #: The similarity is SHARE / WHOLE at least.
@@ -89,17 +92,102 @@ def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
     return grams[np.lexsort((grams, level[(grams & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]))]
 
 
-def prefixes(docs: DataFrame, level) -> DataFrame:
+def cut_planes(numbers: np.ndarray) -> bytes:
+    """Numbers by byte, so that the many zero bytes of small ones lie together; the shuffle's own codec does the rest."""
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def whole_numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def packed_prefixes(docs: DataFrame, level, bits: int) -> DataFrame:
+    """The rarest n-grams of each set, packed by block of documents and range of names: bucket, names, at, ids.
+
+    A name is an n-gram's first 48 bits; sets that share a name only are candidates and no more. ``names`` are differences
+    of sorted names, ``at`` places in ``ids``. Of equal sets in a block only the least id goes on. Bucket ``k`` of 2^``bits`` holds
+    each name of the block once, with the lowest bit of ``at`` set if more of the block's sets share it. Those others, whatever
+    their number, travel as a row of the block with a bucket below zero, so a bucket holds a name once a block at most.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    columns = ["bucket", "names", "at", "ids"]
+
+    def row(bucket: int, names: np.ndarray, owners: np.ndarray, marks: np.ndarray, ids: pa.Array):
+        distinct, at = np.unique(owners, return_inverse=True)
+        return bucket, cut_planes(np.diff(names, prepend=np.uint64(0))), cut_planes(2 * at + marks), ids.take(pa.array(distinct))
+
+    def block(kept: list[tuple[np.ndarray, int]], ids: pa.Array, number: int) -> pa.RecordBatch:
+        names = np.concatenate([g for g, _ in kept]) >> np.uint64(16)
+        owners = np.repeat(np.array([k for _, k in kept]), [len(g) for g, _ in kept])
+        order = np.lexsort((owners, names))
+        names, owners = names[order], owners[order]
+        first = np.diff(names, prepend=~names[:1]) != 0
+        often = np.append(~first[1:], False) & first
+        rows = []
+        n, o, m = names[first], owners[first], often[first]
+        edges = np.searchsorted(n, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            part = slice(edges[k], edges[k + 1])
+            rows.append(row(k, n[part], o[part], m[part], ids))
+        if not first.all():
+            rows.append(row(-1 - number, names[~first], owners[~first], np.ones((~first).sum(), int), ids))
+        kind = pa.list_(ids.type)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2)], pa.array([r[3].to_pylist() for r in rows], kind)], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        kept, ids, size, number = {}, [], 0, int(TaskContext.get().partitionId()) << 24
         for batch in batches:
+            named = batch.column(0)
             for first, sets in in_batches(batch, 1):
-                kept = [ordered(s, level.value)[: prefix_length(len(s))] for s in sets]
-                at = np.repeat(np.arange(first, first + len(kept)), [len(k) for k in kept])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64)), batch.column(0).take(pa.array(at))], ["gram", "id"])
-
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"gram long, id {id_type}")
+                for k, s in enumerate(sets):
+                    if not len(s):
+                        continue
+                    digest, own = hashlib.md5(s.tobytes()).digest(), named[first + k].as_py()
+                    at = least.get(digest)
+                    if at is None:
+                        least[digest] = len(ids)
+                        kept[len(ids)] = ordered(s, level.value)[: prefix_length(len(s))]
+                        size += len(kept[len(ids)])
+                        ids.append(own)
+                    elif own < ids[at]:
+                        ids[at] = own
+                if size > PACKED:
+                    yield block([(g, k) for k, g in kept.items()], pa.array(ids, named.type), number)
+                    least, kept, ids, size, number = {}, {}, [], 0, number + 1
+            kind = named.type
+        if kept:
+            yield block([(g, k) for k, g in kept.items()], pa.array(ids, kind), number)
+
+    rows = docs.filter("doc_id is not null").select("doc_id", "text")
+    return rows.mapInArrow(run, f"bucket long, names binary, at binary, ids array<{id_type}>")
+
+
+def met_prefixes(docs: DataFrame, level, total: int) -> DataFrame:
+    """(gram, id): names of rare n-grams that more than one set shares, with the sets. ``total`` n-grams are dealt to ranges of
+    about ``PACKED`` each; a range comes to its task packed."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    packed = packed_prefixes(docs, level, max(0, (total // PACKED).bit_length()))
+
+    def meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        names, owners, marks, ids = [], [], [], []
+        before = 0
+        for gaps, at, own in zip(*(table.column(c).to_pylist() for c in ("names", "at", "ids"))):
+            places = whole_numbers(at)
+            names.append(np.cumsum(whole_numbers(gaps), dtype=np.uint64))
+            owners.append((places >> np.uint64(1)).astype(np.int64) + before)
+            marks.append((places & np.uint64(1)).astype(bool))
+            ids += own
+            before += len(own)
+        names, owners, marks = (np.concatenate(x) for x in (names, owners, marks))
+        order = np.argsort(names, kind="stable")
+        names, owners, marks = names[order], owners[order], marks[order]
+        same = names[1:] == names[:-1]
+        met = marks | np.append(same, False) | np.append(False, same)
+        kept = pa.array(ids, table.column("ids").type.value_type).take(pa.array(owners[met]))
+        return pa.table({"gram": pa.array(names[met].astype(np.int64)), "id": kept})
+
+    return packed.groupBy("bucket").applyInArrow(meet, f"gram long, id {id_type}")
 
 
 def set_rows(docs: DataFrame, level) -> DataFrame:
@@ -251,9 +339,9 @@ def joined(docs: DataFrame) -> DataFrame:
     facts = scanned.filter("range is null").select("doc_id", "n", "digest", "marks")
     classes = keep_table(facts.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("marks").alias("marks")))
     firsts = keep_table(classes.groupBy(F.col("least").alias("id")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.when(F.count("*") == 1, F.min("marks")).alias("marks")))  # more than one set only where an id repeats
-    rare = prefixes(docs, level)
-    met = keep_table(rare.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("gram"))
-    shared = keep_table(rare.join(met, "gram").join(firsts.select("id", "low", "high"), "id"))
+    length = F.when(F.col("n") > 0, F.col("n") - F.ceil(SHARE * F.col("n") / WHOLE) + 1)
+    total = facts.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
+    shared = keep_table(met_prefixes(docs, level, int(total)).join(firsts.select("id", "low", "high"), "id"))
     heads = keep_table(shared.groupBy("gram").agg(F.min("id").alias("head"), F.count("*").alias("k")).filter("k > 1"))
     stars = keep_table(shared.join(heads, "gram").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"), (F.col("k") > LISTED).alias("large")))
     first_pairs = keep_table(worth_reading(stars.select("a", "b").distinct(), firsts))
