@@ -291,3 +291,15 @@ def test_marks_never_part_similar_sets(spark):
     similar = {k for k, (a, b) in enumerate(cases) if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
     assert similar <= kept and len(similar) > 20
     assert not any(k in kept for k, (a, b) in enumerate(cases) if len(a) >= 60 and not len(np.intersect1d(a, b)))
+
+
+def test_hashes_find_pairs_at_the_threshold_for_every_number_of_vectors():
+    r, how = np.random.default_rng(1), vectors.Hashing()
+    assert [how.joined(n, 64) for n in (10, 5_000, 500_000, 50_000_000)] == [2, 3, 4, 5]
+    x, z = r.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    for joined in (2, 3, 4, 5):
+        a, b = vectors.bucket_codes(x, how, joined), vectors.bucket_codes(y, how, joined)
+        assert ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2)).mean() > 0.97

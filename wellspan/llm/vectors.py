@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,18 +14,35 @@ from pyspark.sql import DataFrame, functions as F
 from wellspan.llm.common import keep_table, row_numbers
 from wellspan.llm.components import components
 
+#: Buckets of a table for each vector of a label; tables of two joined hashes, and how many times more for each further hash.
+SPACE, FIRST_TABLES, MORE_TABLES = 16, 6, 1.7
+
 
 @dataclass(frozen=True)
 class Hashing:
-    """``tables`` tables of ``joined`` cross-polytope hashes each, ``probes`` next-best buckets per table; vectors compared at once."""
+    """Tables of joined cross-polytope hashes, ``probes`` next-best buckets per table; vectors compared at once.
+
+    How many hashes are joined follows from the number of vectors of a label (``joined``), how many tables from that (``tables``),
+    so that buckets of unlike vectors stay small and a pair at the threshold is found about as surely at every size.
+    """
 
     cosine: float = 0.93
-    tables: int = 6
-    joined: int = 2
     probes: int = 2
     block: int = 512
+    lot: int = 20_000
     seed: int = 20_011
 
+    def joined(self, vectors: int, width: int) -> int:
+        """The least number, 2 or more, that gives ``SPACE`` buckets a vector."""
+        n = 2
+        while (2 * width) ** n < SPACE * vectors:
+            n += 1
+        return n
+
+    def tables(self, joined: int) -> int:
+        """``FIRST_TABLES`` for two hashes, ``MORE_TABLES`` times as many for each one more."""
+        return math.ceil(FIRST_TABLES * MORE_TABLES ** (joined - 2))
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows; their length is a power of two."""
@@ -37,7 +55,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def bucket_codes(x: np.ndarray, how: Hashing) -> np.ndarray:
+def bucket_codes(x: np.ndarray, how: Hashing, joined: int) -> np.ndarray:
     """[vectors, tables, 1 + probes] bucket numbers: the own one, then those reached by the next-best vertex of one hash.
 
     A hash is the nearest vertex of the cross-polytope, i.e. the largest coordinate and its sign, after three rounds of
@@ -47,12 +65,12 @@ def bucket_codes(x: np.ndarray, how: Hashing) -> np.ndarray:
     width = 1 << max(1, (d - 1).bit_length())
     padded = np.zeros((n, width))
     padded[:, :d] = x
-    signs = np.random.default_rng(how.seed).choice([-1.0, 1.0], size=(how.tables, how.joined, 3, width))
-    out = np.empty((n, how.tables, 1 + how.probes), np.int64)
+    signs = np.random.default_rng(how.seed).choice([-1.0, 1.0], size=(how.tables(joined), joined, 3, width))
+    out = np.empty((n, len(signs), 1 + how.probes), np.int64)
     row = np.arange(n)
-    for t in range(how.tables):
+    for t in range(len(signs)):
         best, alternatives = np.zeros(n, np.int64), []
-        for k in range(how.joined):
+        for k in range(joined):
             y = padded
             for r in range(3):
                 y = hadamard(y * signs[t, k, r])
@@ -94,67 +112,69 @@ def units(vectors: list[bytes]) -> np.ndarray:
 
 
 def hashed(classes: DataFrame, how: Hashing) -> DataFrame:
-    """One row for each distinct vector, table and bucket; ``codes`` are all its buckets, to count a pair once."""
-    schema = f"id long, label {classes.schema['label'].dataType.simpleString()}, n long, vector binary, width int, place int, bucket long, home boolean, codes binary"
+    """Each distinct vector with all its buckets: those of a table follow each other, its own one first."""
+    schema = f"id long, label {classes.schema['label'].dataType.simpleString()}, n long, vector binary, width int, codes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column(3).to_pylist()])
-            for length in np.unique(lengths):
-                part = batch.take(pa.array(np.flatnonzero(lengths == length)))
-                codes = bucket_codes(units(part.column(3).to_pylist()), how)
-                every = 1 + how.probes
-                at = np.repeat(np.arange(len(codes)), how.tables * every)
-                whole = part.take(pa.array(at))
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [*whole.columns, pa.array(np.full(n, length // 8, np.int32)), pa.array(np.tile(np.repeat(np.arange(how.tables, dtype=np.int32), every), len(codes))), pa.array(codes.reshape(-1)),
-                     pa.array(np.tile(np.arange(every) == 0, len(codes) * how.tables)), pa.array([codes[i].tobytes() for i in range(len(codes))], pa.binary()).take(pa.array(at))],
-                    ["id", "label", "n", "vector", "width", "place", "bucket", "home", "codes"],
-                )
-
-    return classes.select("id", "label", "n", "vector").mapInArrow(run, schema)
+            lengths = np.array([len(v) for v in batch.column(3).to_pylist()], np.int64)
+            joined = np.array([how.joined(k, 1 << max(1, (n // 8 - 1).bit_length())) for k, n in zip(batch.column(4).to_pylist(), lengths.tolist())], np.int64)
+            for length, hashes in sorted(set(zip(lengths.tolist(), joined.tolist()))):
+                part = batch.take(pa.array(np.flatnonzero((lengths == length) & (joined == hashes))))
+                codes = bucket_codes(units(part.column(3).to_pylist()), how, hashes).reshape(part.num_rows, -1)
+                ends = np.arange(part.num_rows + 1, dtype=np.int32) * codes.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.full(part.num_rows, length // 8, np.int32)), lists], ["id", "label", "n", "vector", "width", "codes"])
+
+    many = keep_table(classes.groupBy("label").agg(F.count("*").alias("many")))
+    return classes.select("id", "label", "n", "vector").join(many, "label").select("id", "label", "n", "vector", "many").mapInArrow(run, schema)
+
+
+def links_in(place: int, bucket: int, cut: bool, rows: pd.DataFrame, how: Hashing) -> pd.DataFrame:
+    """Links in a bucket, or between two of its blocks (``cut``): for each vector its links counted here and the least id it hangs together with."""
+    x, ids, n, home = units(list(rows["vector"])), rows["id"].to_numpy(), rows["n"].to_numpy(), rows["home"].to_numpy()
+    met = (x @ x.T >= how.cosine) & (home[:, None] | home[None, :]) & (ids[:, None] != ids[None, :])
+    if cut:
+        block = rows["part"].to_numpy()
+        met &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(met))
+    if not len(i):
+        return rows[:0].assign(links=0, least=0)[["id", "links", "least"]]
+    codes = np.stack(list(rows["codes"])).reshape(len(rows), -1, 1 + how.probes)
+    order = np.argsort(ids, kind="stable")
+    label = np.empty_like(order)
+    label[order] = np.arange(len(rows))
+    while True:  # least rank among linked rows, until nothing moves
+        now = label.copy()
+        np.minimum.at(now, i, label[j])
+        np.minimum.at(now, j, label[i])
+        now = now[order[now]]
+        if (now == label).all():
+            break
+        label = now
+    counts = np.zeros(len(rows), np.int64)
+    fresh = np.ones(len(i), bool)
+    for t in range(place + 1):
+        own, other = codes[i, t], codes[j, t]
+        at_own, at_other = (other == own[:, :1]).any(1), (own == other[:, :1]).any(1)
+        if t < place:
+            fresh &= ~(at_own | at_other)
+        else:
+            fresh &= ~(at_own & (own[:, 0] < bucket)) & ~(at_other & (other[:, 0] < bucket))
+    np.add.at(counts, i[fresh], n[j[fresh]])
+    np.add.at(counts, j[fresh], n[i[fresh]])
+    least = ids[order[label]]
+    some = (counts > 0) | (least != ids)
+    return pd.DataFrame({"id": ids[some], "links": counts[some], "least": least[some]})
 
 
 def compare(how: Hashing):
-    """Links inside one pair of blocks of a bucket: for each vector its links counted here and the least id it hangs together with."""
+    """The links of each bucket of a lot, or of two blocks of a large bucket."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        place, bucket, first, second = key[2], key[3], key[4], key[5]
-        x, ids, n, home = units(list(rows["vector"])), rows["id"].to_numpy(), rows["n"].to_numpy(), rows["home"].to_numpy()
-        block = rows["part"].to_numpy()
-        codes = np.frombuffer(b"".join(rows["codes"]), np.int64).reshape(len(rows), how.tables, -1)
-        met = (x @ x.T >= how.cosine) & (home[:, None] | home[None, :]) & (ids[:, None] != ids[None, :])
-        if first != second:
-            met &= block[:, None] != block[None, :]
-        i, j = np.nonzero(np.triu(met))
-        label = np.arange(len(rows))
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = label
-        label = rank.copy()
-        while True:  # least rank among linked rows, until nothing moves
-            now = label.copy()
-            np.minimum.at(now, i, label[j])
-            np.minimum.at(now, j, label[i])
-            now = now[order[now]] if len(now) else now
-            if (now == label).all():
-                break
-            label = now
-        counts = np.zeros(len(rows), np.int64)
-        fresh = np.ones(len(i), bool)
-        for t in range(place + 1):
-            own, other = codes[i, t], codes[j, t]
-            at_own, at_other = (other == own[:, :1]).any(1), (own == other[:, :1]).any(1)
-            if t < place:
-                fresh &= ~(at_own | at_other)
-            else:
-                fresh &= ~(at_own & (own[:, 0] < bucket)) & ~(at_other & (other[:, 0] < bucket))
-        np.add.at(counts, i[fresh], n[j[fresh]])
-        np.add.at(counts, j[fresh], n[i[fresh]])
-        least = ids[order[label]]
-        some = (counts > 0) | (least != ids)
-        return pd.DataFrame({"id": ids[some], "links": counts[some], "least": least[some]})
+        found = [links_in(place, bucket, key[1] != key[2], part, how) for (_, _, place, bucket), part in rows.groupby(["label", "width", "place", "bucket"], sort=False) if len(part) > 1]
+        out = pd.concat(found) if found else rows[:0].assign(links=0, least=0)
+        return out.groupby("id", as_index=False).agg({"links": "sum", "least": "min"}) if key[1] != key[2] else out[["id", "links", "least"]]
 
     return run
 
@@ -162,7 +182,8 @@ def compare(how: Hashing):
 def linked(rows: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     """One row for each row of (vec_id, embedding, label): n_links, component_id and kept.
 
-    Equal vectors of a label become one class with a count, so copies cost nothing. Classes meet in buckets; a bucket with more
+    Equal vectors of a label become one class with a count, so copies cost nothing. Classes meet in buckets; vectors are sent only
+    to buckets that others share. Small buckets travel in lots; a bucket with more
     than ``block`` rows is cut into blocks, and every two blocks meet in a group of their own, so no group grows with a
     bucket and none is cut short. A group gives each of its vectors a count and the least id it hangs together with, not
     pairs; a pair that shares several buckets is counted in the first.
@@ -174,13 +195,19 @@ def linked(rows: DataFrame, how: Hashing = Hashing()) -> DataFrame:
     kept = keep_table(checked(rows))
     distinct = kept.filter("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
     classes = keep_table(row_numbers(distinct, ["vec_id", "label", "vector"], "id")[0])  # in the order of vec_id, and unique where a vec_id repeats
-    keyed = keep_table(hashed(classes, how))
+    coded = keep_table(hashed(classes, how))
+    every = 1 + how.probes
     spot = ["label", "width", "place", "bucket"]
-    sizes = keyed.groupBy(*spot).agg(F.count("*").alias("rows_here"), F.max("home").alias("any_home")).filter("rows_here > 1 and any_home")
-    parts = F.ceil(F.col("rows_here") / how.block).cast("int")
-    placed = keyed.join(keep_table(sizes), spot).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    keyed = coded.select("id", "label", "width", F.posexplode("codes").alias("at", "bucket"))
+    keyed = keyed.select("id", "label", "width", F.floor(F.col("at") / every).cast("int").alias("place"), "bucket", (F.col("at") % every == 0).alias("home"))
+    sizes = keep_table(keyed.groupBy(*spot).agg(F.count("*").alias("rows_here"), F.max("home").alias("any_home")).filter("rows_here > 1 and any_home"))
+    lots = sizes.agg(F.ceil(F.coalesce(F.sum("rows_here"), F.lit(0)) / how.lot)).first()[0]
+    name = F.xxhash64(*spot)
+    sizes = sizes.withColumn("parts", F.ceil(F.col("rows_here") / how.block).cast("int")).withColumn("lot", F.when(F.col("parts") == 1, F.pmod(name, F.lit(max(int(lots), 1)))).otherwise(name))
+    placed = keyed.join(sizes.select(*spot, "parts", "lot"), spot).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"first": F.least("part", "other"), "second": F.greatest("part", "other")})
-    found = keep_table(dealt.drop("rows_here", "any_home", "parts", "other").groupBy(*spot, "first", "second").applyInPandas(compare(how), "id long, links long, least long"))
+    met = keep_table(dealt.select("id", *spot, "home", "part", "lot", "first", "second")).join(coded.select("id", "n", "vector", "codes"), "id")
+    found = keep_table(met.groupBy("lot", "first", "second").applyInPandas(compare(how), "id long, links long, least long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.filter("least != id").select(F.col("id").alias("a"), F.col("least").alias("b")))
     names = classes.select(F.col("id").alias("root"), F.col("vec_id").alias("component_id"))
