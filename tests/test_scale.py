@@ -1,6 +1,9 @@
 """Histories and plans travel with a pair in one row."""
 
+from pyspark.sql import functions as F
+
 from wellspan.operators import fit
+from wellspan.plans import forecast
 
 PAIRS = [("A", "i1", "p1", 0, 0.5), ("A", "i1", "p2", 0, 0.25), ("A", "i2", "p2", 0, 0.5), ("A", "i1", "p1", 1, 0.4)]
 
@@ -35,3 +38,18 @@ def test_closed_producer_passes_its_share_on(spark):
     out = fit.shutin_redistribution(pairs_of(spark), on, ["field", "member"]).collect()
     got = {(r["member"], r["injector"], r["step"]): round(r["g"], 9) for r in out}
     assert got == {(0, "i1", 0): 1.0, (0, "i1", 1): 1.5, (0, "i2", 0): 1.0, (0, "i2", 1): 1.0, (1, "i1", 0): 1.0, (1, "i1", 1): 1.0}
+
+
+def test_plans_of_a_pair_are_dealt_in_one_row(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = spark.createDataFrame([("A", "x", "i1", 8.0), ("A", "x", "i2", 2.0), ("A", "y", "i1", 4.0)], "field string, plan string, injector string, rate double")
+        g = pairs_of(spark).select("field", "member", "injector").distinct().withColumn("g", F.lit(2.0))
+        known = spark.createDataFrame([("A", 0, "p1"), ("A", 0, "p3")], "field string, member int, producer string")
+        out = forecast.plan_sources(plan, pairs_of(spark), g, ["field", "plan"], producers=known)
+        assert rows_dealt_folded(out)
+        got = {(r["plan"], r["member"], r["producer"]): (r["source"], r["support"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {("x", 0, "p1"): (8.0, 4.0), ("x", 0, "p2"): (6.0, 3.0), ("x", 1, "p1"): (6.4, 3.2), ("y", 0, "p1"): (4.0, 2.0), ("y", 0, "p2"): (2.0, 1.0), ("y", 1, "p1"): (3.2, 1.6)}
+    assert {k: tuple(round(x, 9) for x in v) for k, v in got.items()} == want | {("x", 0, "p3"): (0.0, 0.0), ("y", 0, "p3"): (0.0, 0.0)}
