@@ -63,7 +63,7 @@ def facts_and_counts(docs: DataFrame) -> DataFrame:
                 n += [len(s) for s in sets]
                 digests += [hashlib.md5(s.tobytes()).digest() for s in sets]
                 marks += [marks_of(s) for s in sets]
-                counts += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(counts))
+                np.add.at(counts, (np.concatenate(sets) & mask).astype(np.int64), 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(marks, marked), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
         if counts.any():
             parts = [pack(np.minimum(x, 0xFFFFFFFF)) for x in counts.reshape(RANGES, -1)]

@@ -6,7 +6,8 @@ import numpy as np
 
 #: Odd multipliers of the polynomial over a word's bytes, of the mix of words, and the finaliser's.
 BYTE, WORDS, FIRST, SECOND = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-BATCH = 4_000_000
+#: Characters of texts hashed at once; a worker holds some 80 bytes for each.
+BATCH = 1_000_000
 
 
 def finalised(x: np.ndarray) -> np.ndarray:
