@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wellspan.llm import bpe, jaccard, mixing, pii, quality
-from wellspan.llm.common import keep_table, read
+from wellspan.llm.common import keep_result, keep_table, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,7 +18,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group; documents without an id are in no group."""
-    firsts = keep_table(jaccard.joined(docs).filter("doc_id = component_id").select("doc_id").distinct())
+    firsts = keep_result(spark, lambda: jaccard.joined(docs).filter("doc_id = component_id").select("doc_id").distinct())
     stay = docs.select(COLUMNS).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return stay.unionByName(docs.select(COLUMNS).filter("doc_id is null"))
 
@@ -32,10 +32,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes."""
-    times = keep_table(mixing.mixed(docs).filter("times > 0").select("doc_id", "source", "times").distinct())
-    same = docs["doc_id"].eqNullSafe(times["doc_id"]) & docs["source"].eqNullSafe(times["source"])
-    taken = docs.join(times, same).select(*[docs[c] for c in COLUMNS], "times")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select(COLUMNS)
+    return mixing.repeated(docs.select(COLUMNS))
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,3 +93,43 @@ def test_tokens_are_those_of_the_library(stages):
 def test_run_is_the_stages_in_turn(spark, folder, stages):
     key = lambda r: zlib.crc32(str(tuple(r)).encode())
     assert sorted(map(key, cp.run(spark, folder).collect())) == sorted(map(key, stages[5]))
+
+
+def test_mix_leaves_texts_where_they_are_and_near_duplicates_leave_no_tables(spark, tmp_path):
+    import os
+    import uuid
+    from collections import Counter
+
+    from wellspan.llm import mixing
+    from wellspan.llm.common import keep_result, keep_table
+
+    r = random.Random(3)
+    ids = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(4000)]
+    rows = [(k, "w " * r.randint(0, 9), "en", r.choice(["a", "b", "c", None]), 1) for k in [*ids, *ids[:50], None, None]]
+    spark.createDataFrame(rows, DOCS.replace("doc_id long", "doc_id string")).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    times = {(x["doc_id"], x["source"]): x["times"] for x in mixing.mixed(docs).collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "32k")
+    try:
+        out = cp.to_target_weights(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = Counter(map(tuple, out.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    expected = Counter()
+    for x in map(tuple, docs.collect()):
+        expected[x] += times[x[0], x[3]]
+    assert got == +expected and len(got) > 3000
+    assert "Exchange hashpartitioning" not in plan  # texts are not shuffled
+
+    kept, paths = None, []
+
+    def build():
+        inner = keep_table(spark.range(5))
+        paths.extend(p.removeprefix("file:") for p in inner.inputFiles())
+        return inner.selectExpr("id + 1 as id")
+
+    kept = keep_result(spark, build)
+    assert sorted(x["id"] for x in kept.collect()) == [1, 2, 3, 4, 5]
+    assert paths and not any(os.path.exists(p) for p in paths)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -18,6 +19,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Folder, below the checkpoint folder, of the tables that are being written.
+_TABLES: ContextVar[str] = ContextVar("tables", default="tables")
+
+
 def keep_table(df: DataFrame) -> DataFrame:
     """Write to a new folder below the shared checkpoint folder and read it back.
 
@@ -26,11 +31,27 @@ def keep_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{_TABLES.get()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_result(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` as a kept table. Tables that were kept on the way are removed once the result is written, so that what follows
+    does not hold their disk; nothing else may read them."""
+    ensure_checkpoint_dir(spark)
+    own = f"{_TABLES.get()}/{uuid.uuid4().hex}"
+    mark = _TABLES.set(own)
+    try:
+        made = build()
+    finally:
+        _TABLES.reset(mark)
+    kept = keep_table(made)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.sparkContext.getCheckpointDir()}/{own}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return kept
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
     return F.transform(F.array(value), body)[0]

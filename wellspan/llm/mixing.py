@@ -101,15 +101,39 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     A null text has size 0. Null is a source of its own, after all others. A source without words has target 0. Rows with the
     same id share a hash and are taken or left together. An empty table gives no rows. Other columns are ignored.
     """
-    narrow = keep_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("_hash")))
+    narrow = _narrow(docs)
+    facts = _facts(narrow, mix)
+    times = _times(mix)
+    return narrow.join(facts, narrow["source"].eqNullSafe(facts["_source"])).select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+
+
+def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Each row of ``docs`` as many times as ``mixed`` takes it.
+
+    How often follows from a row's id and its source's facts, one row for each source, so texts meet those facts where they are and are not shuffled.
+    """
+    facts = _facts(_narrow(docs), mix).drop("source_size", "target")
+    rows = docs.withColumn("_hash", document_hash(F.col("doc_id")))
+    taken = rows.join(facts, rows["source"].eqNullSafe(facts["_source"])).select(*[rows[c] for c in docs.columns], _times(mix).alias("_times")).filter("_times > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(docs.columns)
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return keep_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("_hash")))
+
+
+def _facts(narrow: DataFrame, mix: Mix) -> DataFrame:
+    """One row for each source: _source, source_size, target, how often all its documents are taken, and the hash below which they are once more."""
     sources = keep_table(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), mix))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     budgets = keep_table(sources.select("source", (F.col("target") - whole * F.col("source_size")).alias("_rest")))
     below = thresholds(narrow, budgets)
     facts = sources.join(below, sources["source"].eqNullSafe(below["source"])).select(sources["source"].alias("_source"), "source_size", "target", whole.alias("_whole"), "_below")
-    facts = keep_table(facts)
-    times = F.least(F.col("_whole") + (F.col("_hash") < F.col("_below")).cast("long"), F.lit(mix.most).cast("long"))
-    return narrow.join(facts, narrow["source"].eqNullSafe(facts["_source"])).select("doc_id", "source", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return keep_table(facts)
+
+
+def _times(mix: Mix) -> Column:
+    return F.least(F.col("_whole") + (F.col("_hash") < F.col("_below")).cast("long"), F.lit(mix.most).cast("long"))
 
 
 #: DuckDB's form of the same mix: all documents of a source in hash order instead of thresholds.
