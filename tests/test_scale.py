@@ -1,9 +1,11 @@
 """Histories and plans travel with a pair in one row."""
 
+import re
+
 from pyspark.sql import functions as F
 
-from wellspan.operators import fit
-from wellspan.plans import forecast
+from wellspan.operators import fit, verify
+from wellspan.plans import forecast, scenarios
 
 PAIRS = [("A", "i1", "p1", 0, 0.5), ("A", "i1", "p2", 0, 0.25), ("A", "i2", "p2", 0, 0.5), ("A", "i1", "p1", 1, 0.4)]
 
@@ -53,3 +55,46 @@ def test_plans_of_a_pair_are_dealt_in_one_row(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = {("x", 0, "p1"): (8.0, 4.0), ("x", 0, "p2"): (6.0, 3.0), ("x", 1, "p1"): (6.4, 3.2), ("y", 0, "p1"): (4.0, 2.0), ("y", 0, "p2"): (2.0, 1.0), ("y", 1, "p1"): (3.2, 1.6)}
     assert {k: tuple(round(x, 9) for x in v) for k, v in got.items()} == want | {("x", 0, "p3"): (0.0, 0.0), ("y", 0, "p3"): (0.0, 0.0)}
+
+
+def by_field_alone(df):
+    """Some exchange deals rows by field only, so to as many tasks as there are fields."""
+    return re.search(r"hashpartitioning\(field#\d+, \d+\)", df._jdf.queryExecution().executedPlan().toString()) is not None
+
+
+def test_histories_are_scored_where_they_are(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = [("A", 0, "p1", k, True, float(k), float(k) + (k >= 4)) for k in range(8)]
+        pred = spark.createDataFrame(rows, "field string, member int, producer string, step int, on boolean, liq double, pred double")
+        out = verify.verify_report(pred, spark.createDataFrame([("A", 4)], "field string, n_train int"))
+        assert not by_field_alone(out)
+        got = {r["producer"]: (r["train_r2"], r["n_train_points"], r["n_blind_points"], r["sse_train"]) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {"p1": (1.0, 4, 4, 0.0), None: (1.0, 4, 4, 0.0)}
+
+
+def test_cases_are_simulated_in_as_many_tasks_as_a_shuffle_has(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.shuffle.partitions", 5)
+    try:
+        pairs = pairs_of(spark)
+        g = pairs.select("field", "member", "injector").distinct().withColumn("g", F.lit(2.0))
+        base = pairs.select("field", "member", "producer").distinct().withColumns({"source": F.lit(10.0), "support": F.lit(5.0)})
+        number = {c: F.lit(v) for c, v in {"x0": 10.0, "tau": 30.0, "gain_p": 0.0, "tau_p": 30.0, "q0": 0.0, "age": 0.0, "cwi0": 0.0, "ratio": 1.0, "level": 1.0, "anchor": 0.5}.items()}
+        none = {c: F.lit(None).cast("double") for c in ("alpha", "beta", "offset")}
+        state = base.select("field", "member", "producer").withColumns(number | none | {"active": F.lit(True)})
+        cal = spark.createDataFrame([("A", 1, 30.0, 30.0), ("A", 2, 30.0, 60.0)], "field string, h int, dt_days double, t_cum double").withColumn("date", F.lit("2000-01-01").cast("date"))
+        changes = spark.createDataFrame([("A", "c", "i1", 4.0)], "field string, case string, injector string, delta double")
+        current = changes.select("field", "injector", F.col("delta").alias("rate"))
+        out = scenarios.changed_oil(changes, current, pairs, g, base, state, cal)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and not re.search(r"SortMergeJoin \[field#\d+\]", plan)  # months come to the rows
+        got = {r["member"]: r["d_oil"] for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    gain = sum(1 - 2.718281828459045**-k for k in (1, 2)) * 30 * 0.5  # of a source that rises by one
+    assert {m: round(x / gain, 9) for m, x in got.items()} == {0: 4 * 2 * 0.75, 1: 4 * 2 * 0.4}

@@ -37,8 +37,9 @@ def aicc(n: Column, k: Column, sse: Column) -> Column:
 
 
 def verify_report(pred: DataFrame, n_train: DataFrame, model: str = "member") -> DataFrame:
-    """Metrics per producer and pooled per model, as one grouping-sets aggregate.  Pooled rows have no producer."""
-    r = pred.join(n_train, "field")
+    """Metrics per producer and pooled per model, as one grouping-sets aggregate.  Pooled rows have no producer.  The histories meet
+    ``n_train``, one row per field, where they are: dealt by field, they would come to as many tasks as there are fields."""
+    r = pred.join(F.broadcast(n_train), "field")
     train = F.col("on") & (F.col("step") < F.col("n_train"))
     blind = F.col("on") & (F.col("step") >= F.col("n_train"))
     o, p = F.col("liq"), F.col("pred")
