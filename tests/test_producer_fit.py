@@ -101,6 +101,30 @@ def test_sums_with_correlated_injectors_have_a_certified_gap(spark):
         assert all(0 <= r["f"] <= 1 for r in rows_of)
 
 
+def test_sums_of_nearly_collinear_injectors_settle_in_few_rounds(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for p in range(12):
+        near = [f"i{(p + k) % 12}" for k in range(4)]
+        c = rng.uniform(50, 400, (60, 1)) + rng.uniform(0, 40.0, (60, 4))
+        y = c @ rng.uniform(0.1, 0.6, 4) + rng.normal(0, 5, 60)
+        rows.append(("f", f"p{p}", 90.0, near, (c.T @ c).ravel().tolist(), (c.T @ y).tolist(), float(y @ y)))
+    rows.append(("f", "p12", 90.0, ["i0"], [0.0], [0.0], 0.0))  # no data
+    grams = spark.createDataFrame(rows, "field string, producer string, tau double, injectors array<string>, gram array<double>, rhs array<double>, yy double")
+    out = fit.injector_sum_bound(grams, rounds=25).collect()
+    assert len(out) == 49 and all(r["settled"] and r["gap"] <= 1e-6 for r in out)
+    f = {(r["producer"], r["injector"]): r["f"] for r in out}
+    assert f["p12", "i0"] == 0 and all(0 <= v <= 1 for v in f.values())
+    assert max(sum(v for (_, i), v in f.items() if i == f"i{k}") for k in range(12)) <= 1 + 1e-9
+    by_rounds = {(r["producer"], r["injector"]): r["f"] for r in fit.injector_sum_bound(grams, rounds=5, wells=0).collect()}
+
+    def value(f):
+        return sum(x @ np.reshape(g, (len(n), -1)) @ x - 2 * np.dot(r, x) + yy for _, p, _, n, g, r, yy in rows for x in [np.array([f[p, i] for i in n])])
+
+    total = sum(r[-1] for r in rows)
+    assert by_rounds.keys() == f.keys() and value(f) <= value(by_rounds) + 1e-6 * total and value(by_rounds) - value(f) < 0.05 * total
+
+
 def test_gradient_has_no_slope_between_equal_places(spark):
     from wellspan.plans.scenarios import gradient_by
 
