@@ -36,6 +36,11 @@ def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
     return least(x[: len(x) - rest], x[rest:]) if rest else x
 
 
+@lru_cache(maxsize=1)
+def usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return powers(BATCH + 1)
+
+
 def fragments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(value, text, first window, windows) of fragments and the value of every place where a window's least gram stands.
 
@@ -49,23 +54,25 @@ def fragments_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     lengths = np.array([len(texts[k]) for k in long])
     begins = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     stream = np.frombuffer(b"".join(texts[k] for k in long), np.uint8)
-    up, down = powers(len(stream) + 1)
+    up, down = (x[: len(stream) + 1] for x in (usual_powers() if len(stream) <= BATCH else powers(len(stream) + 1)))
     with np.errstate(over="ignore"):
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((stream.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)))
         grams = finalised((total[GRAM:] - total[:-GRAM]) * down[: len(stream) - GRAM + 1])
     least = sliding(grams, GRAMS, np.minimum)
-    owner = np.repeat(np.arange(len(long)), lengths)
-    inside = np.arange(len(least)) - begins[owner[: len(least)]] + LENGTH <= lengths[owner[: len(least)]]
+    inside = np.ones(len(stream), bool)
+    inside[((begins + lengths)[:, None] - np.arange(1, LENGTH)).ravel()] = False  # these windows would leave their text
+    inside = inside[: len(least)]
     starts = np.flatnonzero(inside)
-    value, text = least[starts], owner[starts]
-    new = np.concatenate(([True], (value[1:] != value[:-1]) | (text[1:] != text[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    value = least[starts]
+    new = np.concatenate(([True], (value[1:] != value[:-1]) | (starts[1:] != starts[:-1] + 1)))  # between texts there is a gap
     at = np.flatnonzero(new)
+    text = np.searchsorted(begins, starts[at], side="right") - 1
     count = np.diff(np.append(at, len(starts)))
     masked = np.where(inside, least, np.uint64(0))
     reach = sliding(np.concatenate((np.zeros(GRAMS - 1, np.uint64), masked, np.zeros(GRAMS - 1, np.uint64))), GRAMS, np.maximum)
     places = grams[grams == reach[: len(grams)]]
     # least hashes crowd near zero; mixed once more they fill all buckets evenly
-    return finalised(value[at]), np.array(long)[text[at]], starts[at] - begins[text[at]], count, finalised(places)
+    return finalised(value[at]), np.array(long)[text], starts[at] - begins[text], count, finalised(places)
 
 
 @lru_cache(maxsize=2)
@@ -166,12 +173,12 @@ def repeated_values(crowd: int):
 def replied(facts, replies: pd.DataFrame, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each fragment of the block whether its value is repeated, and whether it is crowded."""
     *_, (value, _, _, _), values, _ = facts
-    bucket = bucket_of(values, n_buckets)
+    bucket, asked = bucket_of(values, n_buckets), replies["bucket"].to_numpy(np.int32)
+    firsts, ends = (np.searchsorted(bucket, asked, side=side).tolist() for side in ("left", "right"))
     marks = np.zeros((2, len(values)), bool)
-    for b, *both in zip(replies["bucket"], replies["hits"], replies["crowded"]):
-        at = np.searchsorted(bucket, [b, b + 1])
+    for a, b, *both in zip(firsts, ends, replies["hits"], replies["crowded"]):
         for mark, bits in zip(marks, both):
-            mark[at[0] : at[1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[1] - at[0])
+            mark[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
     here = np.searchsorted(values, value)
     return marks[0][here], marks[1][here]
 
