@@ -131,7 +131,7 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = list(set().union(*(ws for ws in parts if ws)) - known.keys())
+        new = [w for w in set().union(*(ws for ws in parts if ws)) if w not in known]  # a difference of sets would go through all that is known
         known.update(zip(new, self.exact(new)))
         rest = iter(self.exact([t for t, ws in zip(texts, parts) if ws is None]))
         out = []
@@ -231,9 +231,10 @@ def aligned(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Align
         yield Aligned(np.array([x[0] for x in kept]), a_ids, b_ids, a_text, b_text, *groups(links[0], links[1], len(a_ids), len(b_ids)), links)
 
 
-def group_texts(x: Aligned, signs: list[bytes]) -> list[bytes]:
+def group_texts(x: Aligned, signs: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
     """For each text ``a1,a2|b1;a3|b2,b3``: the decimal ids of its groups."""
-    n = len(signs) // 3
+    shown, lengths = signs
+    n = len(lengths) // 3
     a_ends, b_ends = (np.cumsum(np.bincount(g)) for g in (x.a_groups, x.b_groups))
     a_at = np.arange(len(x.a_ids)) + np.append(0, b_ends)[x.a_groups]  # A's tokens of a group come first
     b_at = np.arange(len(x.b_ids)) + a_ends[x.b_groups]
@@ -241,17 +242,21 @@ def group_texts(x: Aligned, signs: list[bytes]) -> list[bytes]:
     sign[a_at] = x.a_ids + n * np.append(np.diff(x.a_groups) != 0, True)
     sign[b_at] = x.b_ids + 2 * n * np.append(np.diff(x.b_groups) != 0, True)
     counts = np.bincount(x.a_text, minlength=len(x.texts)) + np.bincount(x.b_text, minlength=len(x.texts))
-    pieces, out, start = list(map(signs.__getitem__, sign.tolist())), [], 0
-    for c in counts.tolist():
-        out.append(b"".join(pieces[start : start + c])[:-1])
-        start += c
+    out, first = [], 0
+    for last in np.cumsum(counts).tolist():
+        size = lengths[sign[first:last]]
+        out.append(shown[sign[first:last]][np.arange(shown.shape[1]) < size[:, None]][:-1].tobytes())
+        first = last
     return out
 
 
 @lru_cache(maxsize=1)
-def id_signs(n: int) -> list[bytes]:
-    """Ids below ``n`` with what follows them: a comma, the bar after A's last of a group, the semicolon after B's last."""
-    return [b"%d%s" % (k, mark) for mark in (b",", b"|", b";") for k in range(n)]
+def id_signs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below ``n`` with what follows them, as rows of bytes, and their lengths: a comma, the bar after A's last of a group, the
+    semicolon after B's last."""
+    signs = [b"%d%s" % (k, mark) for mark in (b",", b"|", b";") for k in range(n)]
+    width = max(map(len, signs))
+    return np.frombuffer(b"".join(s.ljust(width) for s in signs), np.uint8).reshape(-1, width), np.array([len(s) for s in signs], np.uint8)
 
 
 def block_rows(keys: list, texts: list[str | None], a_path: str, b_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
