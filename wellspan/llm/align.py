@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -64,7 +65,7 @@ def summed(rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[n
     """Entries in order, with those of one place added."""
     key = rows.astype(np.int64) << 32 | columns
     if (key[1:] < key[:-1]).any():
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key, values = key[by], values[by]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
     total = np.add.reduceat(values, head) if len(head) else values[:0]
@@ -107,24 +108,76 @@ def group_links(a_ids: np.ndarray, a_groups: np.ndarray, b_ids: np.ndarray, b_gr
 
 #: Characters that both regular expression engines class alike; a text with others is cut into words by the tokenizer itself.
 CLASSED = re.compile("[^\x00-\u052F\u2010-\u2027\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
-#: Words remembered by a worker.
-REMEMBERED = 400_000
+#: Words that an encoder remembers, and bytes (about) that a worker remembers of the parts of texts.
+REMEMBERED, MEMORY = 400_000, 192_000_000
+#: Characters that may be white space or nothing to see; no tokenizer's expression takes any other for white space.
+BLANK = "\x00-\x20\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff"
+#: A space behind such a character, and one at the end; the parts of a text that begins with a space.
+UNEVEN, LAST_BLANK = re.compile(f" (?<=[{BLANK}] )"), re.compile(f"[{BLANK}]\\Z")
+PARTS = re.compile(f" +[^ ]+(?:(?<=[{BLANK}]) +[^ ]+)*(?: +\\Z)?| +\\Z")
+#: Characters of parts that are encoded as one string.
+RUN = 1000
+
+
+def parts_of(text: str) -> list[str]:
+    """A text behind one space, cut before each space that stands behind something visible; its parts, each without its first space.
+
+    A pattern of words goes on over no such place, and looks ahead over none. Spaces at the end go with the last part.
+    """
+    if text[0] == " " or text[-1] == " " or UNEVEN.search(text):
+        return [p[1:] for p in PARTS.findall(" " + text)]
+    return text.split(" ")
+
+
+def runs(parts: list[str]) -> Iterator[list[str]]:
+    """Parts behind their first space, in lists that are encoded as one string. A list ends where a part ends in a blank, whose tokens
+    may depend on what follows."""
+    run, size = [], 0
+    for part in parts:
+        run.append(" " + part)
+        size += len(part)
+        if size > RUN or LAST_BLANK.search(part, len(part) - 1):
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 class Encoder:
     """Ids of texts behind one space as bytes of 32-bit numbers, None where the ids' bytes are not the text's.
 
     ``whole`` encodes a list of strings that begin with a space or stand where a text was cut, ``table`` has the bytes of each id, and ``cut``
-    gives the parts of a text between which the tokenizer never merges, or None. Each distinct part is encoded once.
+    gives the parts of a text between which the tokenizer never merges, or None. Each distinct part is encoded once. ``at_spaces`` says
+    that the parts of ``parts_of`` have the same tokens alone as in their text.
     """
 
-    def __init__(self, whole, table: list[bytes], cut):
-        self.whole, self.table, self.cut, self.known = whole, table, cut, {}
+    def __init__(self, whole, table: list[bytes], cut, at_spaces: bool = False):
+        self.whole, self.table, self.cut, self.known, self.at_spaces = whole, table, cut, {}, at_spaces
+        self.sizes = np.array([len(x) for x in table], np.int64)
 
     def exact(self, texts: list[str]) -> list[bytes | None]:
         table = self.table
         return [array("I", ids).tobytes() if b"".join([table[i] for i in ids]) == text.encode() else None for text, ids in zip(texts, self.whole(texts))]
 
+    def tokens(self, together: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all strings, how many each has) for lists of strings that are encoded as one; a string that its ids do not give back has none."""
+        table, flat, sizes = self.table, [], []
+        joined = ["".join(run) for run in together]
+        for run, text, ids in zip(together, joined, self.whole(joined)):
+            lengths = list(map(len, run if text.isascii() else map(str.encode, run)))
+            if b"".join([table[i] for i in ids]) != text.encode():
+                found = [np.frombuffer(x or b"", np.uint32).tolist() for x in self.exact(run)]
+                ids = [i for x in found for i in x]
+                lengths = [n if x else 0 for n, x in zip(lengths, found)]
+            flat += ids
+            sizes += lengths
+        ids, ends = np.array(flat, np.int64), np.cumsum(sizes)
+        reached = np.append(0, np.cumsum(self.sizes[ids]))
+        upto = np.searchsorted(reached, ends)
+        if not np.array_equal(reached[upto], ends):  # a token lies over a border
+            return self.tokens([[x] for run in together for x in run])
+        return ids, np.diff(upto, prepend=0)
+
     def __call__(self, texts: list[str]) -> list[bytes | None]:
         texts = [" " + t for t in texts]
         parts = [self.cut(t) for t in texts]
@@ -168,7 +221,8 @@ def first_tokenizer(path: str) -> Encoder:
     by_word = stages["normalizer"] is None and (stages["pre_tokenizer"] or {}).items() >= {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}.items()
     words = splitter(public_tokenizers.PATTERN)
     whole = lambda texts: [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    return Encoder(whole, table, lambda text: words(text) if by_word and not CLASSED.search(text) else None)
+    at_spaces = by_word and all(x["special"] for x in stages["added_tokens"])
+    return Encoder(whole, table, lambda text: words(text) if by_word and not CLASSED.search(text) else None, at_spaces)
 
 
 @lru_cache(maxsize=2)
@@ -184,7 +238,7 @@ def second_tokenizer(path: str) -> Encoder:
     table = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(pieces)]
     by_word = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
     words = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall  # a last space goes with its word: the model gives none for an empty text
-    return Encoder(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), table, words if by_word else lambda text: None)
+    return Encoder(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), table, words if by_word else lambda text: None, by_word)
 
 
 def in_batches(texts: list[str | None]) -> Iterator[list[int]]:
@@ -219,7 +273,6 @@ class Aligned:
 def aligned(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Aligned]:
     """The texts that both tokenizers give back byte for byte behind one space, aligned batch by batch."""
     encode_a, encode_b = first_tokenizer(a_path), second_tokenizer(b_path)
-    size_a, size_b = (np.array([len(x) for x in e.table], np.int64) for e in (encode_a, encode_b))
     for part in in_batches(texts):
         raw = [texts[k] for k in part]
         kept = [(k, a, b) for k, a, b in zip(part, encode_a(raw), encode_b(raw)) if a is not None and b is not None]
@@ -227,8 +280,13 @@ def aligned(texts: list[str | None], a_path: str, b_path: str) -> Iterator[Align
             continue
         a_ids, b_ids = (np.frombuffer(b"".join([x[side] for x in kept]), np.uint32).astype(np.int64) for side in (1, 2))
         a_text, b_text = (np.repeat(np.arange(len(kept)), [len(x[side]) // 4 for x in kept]) for side in (1, 2))
-        links = overlaps(size_a[a_ids], size_b[b_ids])
-        yield Aligned(np.array([x[0] for x in kept]), a_ids, b_ids, a_text, b_text, *groups(links[0], links[1], len(a_ids), len(b_ids)), links)
+        yield aligned_tokens(np.array([x[0] for x in kept]), a_ids, b_ids, a_text, b_text, encode_a.sizes, encode_b.sizes)
+
+
+def aligned_tokens(texts: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_text: np.ndarray, b_text: np.ndarray, a_sizes: np.ndarray, b_sizes: np.ndarray) -> Aligned:
+    """The alignment of texts whose tokens on both sides have the same bytes."""
+    links = overlaps(a_sizes[a_ids], b_sizes[b_ids])
+    return Aligned(texts, a_ids, b_ids, a_text, b_text, *groups(links[0], links[1], len(a_ids), len(b_ids)), links)
 
 
 def group_texts(x: Aligned, signs: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
@@ -242,12 +300,10 @@ def group_texts(x: Aligned, signs: tuple[np.ndarray, np.ndarray]) -> list[bytes]
     sign[a_at] = x.a_ids + n * np.append(np.diff(x.a_groups) != 0, True)
     sign[b_at] = x.b_ids + 2 * n * np.append(np.diff(x.b_groups) != 0, True)
     counts = np.bincount(x.a_text, minlength=len(x.texts)) + np.bincount(x.b_text, minlength=len(x.texts))
-    out, first = [], 0
-    for last in np.cumsum(counts).tolist():
-        size = lengths[sign[first:last]]
-        out.append(shown[sign[first:last]][np.arange(shown.shape[1]) < size[:, None]][:-1].tobytes())
-        first = last
-    return out
+    size = lengths[sign]
+    flat = shown[sign][np.arange(shown.shape[1]) < size[:, None]].tobytes()
+    ends = np.append(0, np.cumsum(size, dtype=np.int64))[np.append(0, np.cumsum(counts))].tolist()
+    return [flat[first : last - 1] for first, last in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -259,26 +315,132 @@ def id_signs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(s.ljust(width) for s in signs), np.uint8).reshape(-1, width), np.array([len(s) for s in signs], np.uint8)
 
 
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.room, self.n = np.empty(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.room):
+            self.room = np.append(self.room[: self.n], np.empty(n, self.room.dtype))
+        self.room[self.n : n] = values
+        self.n = n
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
+class Numbers(dict):
+    """The number of each part, given when it is first asked for; ``new`` lists those that nothing else is known of yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.new.append(part)
+        return number
+
+
+class Parts:
+    """What a worker knows of distinct parts of texts: their groups as text, numbers of tokens and groups, and links by id pair.
+
+    Both tokenizers cut a text between its parts, so groups and links lie inside parts, and a part is encoded and multiplied once.
+    A part that one tokenizer does not give back has no tokens.
+    """
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a, self.b = first_tokenizer(a_path), second_tokenizer(b_path)
+        n_ids = max(len(self.a.table), len(self.b.table))
+        if n_ids > 1 << ID_BITS:
+            raise ValueError(f"ids of {ID_BITS} bits at most, found {n_ids}")
+        self.id_signs = id_signs(n_ids)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers, self.shown, self.size = Numbers(), [], 0
+        self.facts = [Grown(np.int64) for _ in range(3)]
+        self.ends, self.pairs, self.links = Grown(np.int64), Grown(np.uint32), Grown(np.int64)
+        self.ends.add(np.zeros(1, np.int64))
+
+    def of(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's parts, of which all is known then; numbers of earlier calls may be void."""
+        if self.size > MEMORY:
+            self.forget()
+        cut = parts_of if self.a.at_spaces and self.b.at_spaces else lambda text: [text]
+        number = self.numbers.__getitem__
+        out = [list(map(number, cut(text))) for text in texts]
+        if self.numbers.new:
+            self.learn(self.numbers.new)
+            self.numbers.new = []
+        return out
+
+    def learn(self, parts: list[str]) -> None:
+        together = list(runs(parts)) if self.a.at_spaces and self.b.at_spaces else [[" " + p] for p in parts]
+        (a_ids, n_a), (b_ids, n_b) = self.a.tokens(together), self.b.tokens(together)
+        exact = (n_a > 0) & (n_b > 0)
+        a_ids, b_ids = a_ids[np.repeat(exact, n_a)], b_ids[np.repeat(exact, n_b)]
+        n_a, n_b, texts = n_a * exact, n_b * exact, np.flatnonzero(exact)
+        shown, n_groups, entries = [b""] * len(parts), np.zeros(len(parts), np.int64), []
+        if len(texts):
+            own = np.arange(len(texts))
+            x = aligned_tokens(texts, a_ids, b_ids, np.repeat(own, n_a[texts]), np.repeat(own, n_b[texts]), self.a.sizes, self.b.sizes)
+            text_of_group = np.empty(int(x.a_groups[-1]) + 1, np.int64)
+            text_of_group[x.a_groups] = x.a_text
+            n_groups[texts] = np.bincount(text_of_group, minlength=len(texts))
+            for k, s in zip(texts.tolist(), group_texts(x, self.id_signs)):
+                shown[k] = s
+            for group, a, b, links in group_links(x.a_ids, x.a_groups, x.b_ids, x.b_groups):
+                entries.append(summed(texts[text_of_group[group]], a << ID_BITS | b, links))
+        part, pair, links = summed(*(np.concatenate(c) for c in zip(*entries))) if entries else (np.zeros(0, np.int64),) * 3  # a part may lie in two parts of a product
+        self.shown += shown
+        for known, new in zip(self.facts, (n_a, n_b, n_groups)):
+            known.add(new)
+        self.ends.add(self.pairs.n + np.cumsum(np.bincount(part, minlength=len(parts))))
+        self.pairs.add(pair)
+        self.links.add(links)
+        self.size += sum(map(len, parts)) + sum(map(len, shown)) + 12 * len(pair) + 250 * len(parts)
+
+
+@lru_cache(maxsize=1)
+def remembered(a_path: str, b_path: str) -> Parts:
+    return Parts(a_path, b_path)
+
+
 def block_rows(keys: list, texts: list[str | None], a_path: str, b_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """(what is known of the block's documents, distinct linked id pairs, in how many of the documents each is linked)."""
+    """(what is known of the block's documents, distinct linked id pairs, in how many of the documents each is linked).
+
+    The links of documents are the product of their matrix of parts and the parts' matrix of id pairs.
+    """
     facts = np.zeros((len(texts), 4), np.int64)
     digests = [""] * len(texts)
     entries = []
-    n_ids = max(len(first_tokenizer(a_path).table), len(second_tokenizer(b_path).table))
-    if n_ids > 1 << ID_BITS:
-        raise ValueError(f"ids of {ID_BITS} bits at most, found {n_ids}")
-    signs = id_signs(n_ids)
-    for x in aligned(texts, a_path, b_path):
-        n = len(x.texts)
-        text_of_group = np.empty(int(x.a_groups[-1]) + 1, np.int64)
-        text_of_group[x.a_groups] = x.a_text
-        facts[x.texts, 0], facts[x.texts, 1], facts[x.texts, 2] = (np.bincount(t, minlength=n) for t in (x.a_text, x.b_text, text_of_group))
-        for k, shown in zip(x.texts.tolist(), group_texts(x, signs)):
-            digests[k] = hashlib.sha256(shown).hexdigest()
-        for group, a, b, links in group_links(x.a_ids, x.a_groups, x.b_ids, x.b_groups):
-            entries.append(summed(x.texts[text_of_group[group]], a << ID_BITS | b, links))
+    known = remembered(a_path, b_path)
+    for batch in in_batches(texts):
+        numbers = known.of([texts[k] for k in batch])
+        sizes = np.array([len(x) for x in numbers])
+        first = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, int(sizes.sum()))
+        counts = [x.held[flat] for x in known.facts]
+        exact = np.minimum.reduceat(counts[0], first) > 0
+        if not exact.any():
+            continue
+        docs = np.array(batch)[exact]
+        for column, x in enumerate(counts):
+            facts[docs, column] = np.add.reduceat(x, first)[exact]
+        shown = known.shown.__getitem__
+        for k, whole, of_text in zip(batch, exact.tolist(), numbers):
+            if whole:
+                digests[k] = hashlib.sha256(b";".join(map(shown, of_text))).hexdigest()
+        flat = flat[np.repeat(exact, sizes)]
+        row, part, times = summed(np.repeat(np.arange(len(docs)), sizes[exact]), flat, np.ones(len(flat), np.int64))
+        for doc, pair, links in Rows.of(row, part, times, len(docs)).times(Rows(known.ends.held, known.pairs.held, known.links.held)):
+            entries.append((docs[doc], pair, links))
     doc, pair, links = (np.concatenate(c) for c in zip(*entries)) if entries else (np.zeros(0, np.int64),) * 3
-    doc, pair, links = summed(doc, pair, links)  # a text may lie in two parts of a product
     facts[:, 3] = np.bincount(doc, weights=links, minlength=len(texts))
     pairs, place, docs = np.unique(pair, return_inverse=True, return_counts=True)
     payload = pickle.dumps((keys, facts, digests, pack(np.bincount(doc, minlength=len(texts))), pack(place), pack(links)))
