@@ -18,8 +18,10 @@ from wellspan.llm.shingles import in_batches
 
 #: Bits of the table of counts that orders n-grams (one byte for each entry goes to every executor), ranges it is summed in, parts summed at once.
 SKETCH_BITS, RANGES, PARTS = 22, 64, 256
-#: N-grams of the sets that a block holds (about); two blocks are compared at once.
-BLOCK = 60_000
+#: Steps of rarity for each doubling of a count: chance adds nearly the same to every bucket, and what is more must still be told from it.
+STEPS = 8
+#: N-grams of the sets that a block holds (about); two blocks are compared at once. Blocks whose marks are compared at once, on each side.
+BLOCK, WIDE = 60_000, 64
 #: Rare n-grams that a block of documents and a range of names hold (about) when they are looked up.
 PACKED = 1 << 20
 #: Documents that share an n-gram are listed in pairs up to this number, beyond it compared by blocks; partners of one document compared at once.
@@ -73,7 +75,8 @@ def facts_and_counts(docs: DataFrame) -> DataFrame:
 
 
 def rarity(counts: DataFrame, part: str) -> np.ndarray:
-    """The logarithm of the count in each bucket: a table of fixed size, summed by range in two steps of bounded groups."""
+    """The logarithm of the count in each bucket, ``STEPS`` for each doubling: a table of fixed size, summed by range in two steps of
+    bounded groups."""
 
     def added(rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(unpack(c).astype(np.int64) for c in rows["counts"])
@@ -84,7 +87,7 @@ def rarity(counts: DataFrame, part: str) -> np.ndarray:
     table = np.zeros((RANGES, (1 << SKETCH_BITS) // RANGES), np.int64)
     for r in rows:
         table[r["range"]] = unpack(r["counts"])
-    return np.ceil(np.log2(table.reshape(-1) + 1)).astype(np.uint8)
+    return np.minimum(np.ceil(STEPS * np.log2(table.reshape(-1) + 1)), 255).astype(np.uint8)
 
 
 def ordered(grams: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -191,15 +194,15 @@ def met_prefixes(docs: DataFrame, level, total: int) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, level) -> DataFrame:
-    """The documents' sets in order, the most frequent n-gram first: a tree of them shares long beginnings."""
+    """The documents' sets in order, the most frequent n-gram first: a tree of them shares long beginnings. With their number, digest and marks."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [(ordered(s, level.value)[::-1].tobytes(), hashlib.md5(s.tobytes()).digest()) for _, sets in in_batches(batch, 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in grams], pa.binary()), pa.array([d for _, d in grams], pa.binary())], ["id", "grams", "digest"])
+            rows = [(ordered(s, level.value)[::-1].tobytes(), hashlib.md5(s.tobytes()).digest(), marks_of(s).tobytes(), len(s)) for _, sets in in_batches(batch, 1) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], kind) for c, kind in enumerate([pa.binary()] * 3 + [pa.int64()])]], ["id", "grams", "digest", "marks", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {id_type}, grams binary, digest binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"id {id_type}, grams binary, digest binary, marks binary, n long")
 
 
 def tree_links(sets: list[np.ndarray], probes: list[np.ndarray], known: np.ndarray | None = None, probes_known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
@@ -266,6 +269,55 @@ class Forest:
         return pd.DataFrame([(i, self.root(i)) for i in self.least if self.root(i) != i], columns=["a", "b"])
 
 
+def alike(n: np.ndarray, marks: list[np.ndarray], others_n: np.ndarray, others_marks: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, others) for each set k: the others that can be similar to it by sizes and marks (see ``worth_reading``)."""
+    widths, others_widths = (np.array([len(m) for m in x], int) for x in (marks, others_marks))
+    for width in np.unique(others_widths).tolist():
+        at = np.flatnonzero(others_widths == width)
+        at = at[np.argsort(others_n[at], kind="stable")]
+        sizes, table = others_n[at], np.stack([others_marks[j] for j in at.tolist()])
+        halved = table[:, : width // 2] ^ table[:, width // 2 :] if width > 1 else None
+        for k in np.flatnonzero((widths == width) | (widths == 2 * width) | (2 * widths == width)).tolist():
+            part = slice(np.searchsorted(sizes, -(-SHARE * n[k] // WHOLE)), np.searchsorted(sizes, WHOLE * n[k] // SHARE, side="right"))
+            own = marks[k] if len(marks[k]) <= width else marks[k][:width] ^ marks[k][width:]
+            unlike_bits = np.bitwise_count((table if len(own) == width else halved)[part] ^ own).sum(axis=1, dtype=np.int64)
+            total = n[k] + sizes[part]
+            yield k, at[part][unlike_bits <= total + 2 * (-SHARE * total // (SHARE + WHOLE))]
+
+
+def like_parts(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For two wide blocks of a family: the sets that the comparison of its blocks ``first`` and ``second`` must read, which marks and
+    sizes allow to be similar to a set of another component in the other block."""
+    wide, part, known = rows["wide"].to_numpy(), rows["part"].to_numpy(), pd.factorize(rows["component"])[0]
+    n, marks = rows["n"].to_numpy(), [np.frombuffer(m, np.uint64) for m in rows["marks"]]
+    left, right = np.flatnonzero(wide == key[1]), np.flatnonzero(wide == key[2])
+    chosen = []
+    for k, found in alike(n[left], [marks[i] for i in left], n[right], [marks[j] for j in right]):
+        k, found = left[k], right[found]
+        found = found[known[found] != known[k]]
+        first, second = np.minimum(part[k], part[found]), np.maximum(part[k], part[found])
+        own = np.unique(np.stack([first, second], axis=1), axis=0)
+        chosen += [np.column_stack([own, np.full(len(own), k)]), np.column_stack([first, second, found])]
+    chosen = np.unique(np.concatenate([np.zeros((0, 3), np.int64), *chosen]), axis=0)
+    at = chosen[:, 2]
+    return pd.DataFrame({"family": key[0], "first": chosen[:, 0], "second": chosen[:, 1], **{c: rows[c].to_numpy()[at] for c in ("id", "digest", "part", "component")}})
+
+
+def dealt_blocks(gathered: DataFrame, sets: DataFrame) -> DataFrame:
+    """(family, first, second, id, part, component, grams): the sets that each two blocks of a family compare.
+
+    ``gathered`` holds family, id, digest, component, n and marks. Every block meets every other by marks, a small part of the sets'
+    length, ``WIDE`` of them at once; a set is read only where one of another component may be similar to it."""
+    id_type = gathered.schema["id"].dataType.simpleString()
+    sizes = keep_table(gathered.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")))
+    placed = gathered.dropDuplicates(["id", "digest"]).join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
+    wide = lambda part: F.floor(part / WIDE).cast("int")
+    met = placed.withColumn("wide", wide(F.col("part"))).withColumn("other", F.explode(F.sequence(F.lit(0), wide(F.col("parts") - 1))))
+    met = met.select("family", F.least("wide", "other").alias("low"), F.greatest("wide", "other").alias("high"), "id", "digest", "part", "wide", "component", "n", "marks")
+    chosen = met.groupBy("family", "low", "high").applyInPandas(like_parts, f"family {id_type}, first int, second int, id {id_type}, digest binary, part int, component {id_type}")
+    return keep_table(chosen).join(sets.select("id", "digest", "grams"), ["id", "digest"]).select("family", "first", "second", "id", "part", "component", "grams")
+
+
 def verify_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For two blocks of a family: (id, least id it hangs together with) for what is linked across components found before."""
     first, second = key[1], key[2]
@@ -326,8 +378,8 @@ def joined(docs: DataFrame) -> DataFrame:
     1. One scan hashes all sets, names equal sets and counts n-grams by bucket. 2. A second takes the rarest n-grams of each
     set: similar sets share one of those, and only the first of equal sets goes on. 3. Each document meets the least one that
     shares a rare n-gram; most copies hang together after that. Sets are read only for pairs whose marks (``worth_reading``) allow a
-    link. 4. Pairs from n-grams that few share are compared where their components differ. 5. Documents that share an n-gram with many form families, cut into blocks by size; every two blocks are
-    one group, in which a prefix tree of one is walked with the sets of the other. Groups return (id, least id), so pairs within
+    link. 4. Pairs from n-grams that few share are compared where their components differ. 5. Documents that share an n-gram with many form families, cut into blocks; every two blocks meet
+    by marks, and those of their sets that may be linked are one group, in which a prefix tree of one is walked with the sets of the other. Groups return (id, least id), so pairs within
     large groups are never listed, and no group grows with a family. 6. Connected components of all links.
 
     Null and empty texts, and texts of blanks, have no n-grams and are their own component. A null doc_id has component null. Rows
@@ -363,11 +415,8 @@ def joined(docs: DataFrame) -> DataFrame:
     known = keep_table(components(links)).select(F.col("node").alias("id"), "component")
     inside = keep_table(members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id")))
     open_ = keep_table(inside.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("family"))
-    gathered = sets.join(inside.join(open_, "family"), "id")
-    sizes = keep_table(gathered.groupBy("family").agg(F.ceil(F.sum(F.octet_length("grams")) / (8 * BLOCK)).cast("int").alias("parts")))
-    placed = gathered.join(sizes, "family").withColumn("part", F.pmod(F.xxhash64("id", "digest"), F.col("parts")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("family", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "id", "part", "component", "grams")
-    links = links.unionByName(keep_table(dealt.groupBy("family", "first", "second").applyInPandas(verify_blocks, f"a {id_type}, b {id_type}")))
+    gathered = sets.select("id", "digest", "n", "marks").join(inside.join(open_, "family"), "id")
+    links = links.unionByName(keep_table(dealt_blocks(gathered, sets).groupBy("family", "first", "second").applyInPandas(verify_blocks, f"a {id_type}, b {id_type}")))
 
     roots = components(links)
     of_class = keep_table(classes.join(roots, F.col("least") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "least").alias("component")))
