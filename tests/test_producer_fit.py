@@ -132,3 +132,47 @@ def test_gradient_has_no_slope_between_equal_places(spark):
     out = gradient_by(spark.createDataFrame(rows, "field string, x double, y double"), ["field"], "x", "y", "slope").collect()
     assert [r["slope"] for r in out if r["field"] == "f"] == [None, None]
     assert sorted(r["slope"] for r in out if r["field"] == "g") == [3.0, pytest.approx(4.0), 6.0]
+
+
+def test_sums_of_a_wide_field_settle_in_one_task(spark, monkeypatch):
+    from wellspan.operators import solver
+
+    rng = np.random.default_rng(8)
+    wells, steps = 1600, 30
+    rates, rows = rng.gamma(2.0, 100.0, (wells, steps)), []
+    for p in range(wells):  # injectors near by, named so that neither names nor rows follow the places
+        near = sorted({(p + k) % wells for k in (0, 1, 2, int(rng.integers(3, 9)))})
+        c = rates[near]
+        y = rng.uniform(0.2, 0.6, len(near)) @ c + rng.normal(0, 5, steps)
+        rows.append(("f", f"p{p * 7 % wells}", [f"i{i * 11 % wells}" for i in near], (c @ c.T).ravel().tolist(), (c @ y).tolist(), float(y @ y)))
+    rows += [("g", "p", ["i"], [1.0], [0.5], 1.0)]
+    grams = spark.createDataFrame(rows, "field string, producer string, injectors array<string>, gram array<double>, rhs array<double>, yy double").repartition(3)
+    monkeypatch.setattr(fit, "_drawn", None)  # no rounds between tasks
+    out = fit.injector_sum_bound(grams).toPandas()
+    assert len(out) == sum(len(r[2]) for r in rows) and out["settled"].all() and out["gap"].max() <= 1e-6
+    sums = out.groupby(["field", "injector"])["f"].sum()
+    assert sums.max() <= 1 + 1e-9 and (sums > 1 - 1e-6).mean() > 0.3 and out["f"].between(0, 1).all()
+    at = np.array([[int(i[1:]) for i in r[2]] + [-1] * (4 - len(r[2])) for r in rows[:-1]])
+    pieces = solver.in_levels(at, wells)
+    where = np.empty(wells, int)
+    for k, piece in enumerate(pieces):
+        where[piece] = k
+    assert len(pieces) > 2 and sorted(np.concatenate(pieces).tolist()) == list(range(wells))
+    spans = [np.ptp(where[a[a >= 0]]) for a in at]
+    assert max(spans) == 1
+
+
+def test_fields_that_share_too_widely_take_rounds(spark, monkeypatch):
+    from wellspan.operators import solver
+
+    g = [("f", p, ["i1", "i2"], [4.0, 1.0, 1.0, 3.0], [4.5, 2.0], 9.0) for p in ("p1", "p2", "p3")]
+    grams = spark.createDataFrame(g, "field string, producer string, injectors array<string>, gram array<double>, rhs array<double>, yy double")
+    whole = {(r["producer"], r["injector"]): r["f"] for r in fit.injector_sum_bound(grams).collect()}
+    with pytest.raises(MemoryError):
+        monkeypatch.setattr(solver, "CHAINED", 3)
+        solver.shared_least_squares(np.array([[[4.0, 1.0], [1.0, 3.0]]]), np.array([[4.5, 2.0]]), np.array([[0, 1]]), 1.0)
+    empty = lambda rows, bound, rounds, gap: at_once(rows.limit(0), bound, rounds, gap)
+    at_once = fit._bounded_at_once
+    monkeypatch.setattr(fit, "_bounded_at_once", empty)
+    by_rounds = {(r["producer"], r["injector"]): r["f"] for r in fit.injector_sum_bound(grams).collect()}
+    assert by_rounds.keys() == whole.keys() and all(v == pytest.approx(by_rounds[k], abs=0.01) for k, v in whole.items())
