@@ -56,3 +56,25 @@ def test_a_frequent_gram_shows_above_what_chance_adds(spark):
     table = spark.createDataFrame([(k, pack(c)) for k, c in enumerate(counts)], "range int, counts binary").withColumn("part", F.lit(0))
     level = jaccard.rarity(table, "part").reshape(counts.shape)
     assert level[0, 0] < level[3, 7] < level[5, 1]
+
+
+def test_near_duplicates_deal_only_like_members_of_a_family(spark, monkeypatch):
+    from corpus_pipeline import one_of_each_group
+
+    monkeypatch.setattr(jaccard, "LISTED", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    dealt, real = [], jaccard.dealt_blocks
+
+    def counted(gathered, sets):
+        out = real(gathered, sets)
+        dealt.append((gathered.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "dealt_blocks", counted)
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 40)) for _ in range(20)]
+    texts = [" ".join(lines[k] for k in rng.choice(20, 5, replace=False)) for _ in range(60)]  # of stock lines alone, so they share even their rarest n-grams
+    texts += [texts[0] + " more"] * 2
+    docs = spark.createDataFrame([(k, t, "en", "src", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in one_of_each_group(spark, docs, "").collect()) == list(range(60))
+    assert all(members >= 60 and rows <= members for members, rows in dealt) and dealt
